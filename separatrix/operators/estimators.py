@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -113,7 +114,9 @@ def decision_tree(train: DataFrame, categorical: Sequence[str], numeric: Sequenc
                   max_depth: int = 6, seed: int = 1) -> PipelineModel:
     """Decision tree on categorical and numeric columns; unseen categories are kept."""
     indexed = [f"{c}_idx" for c in categorical]
-    distinct = train.agg(*[F.approx_count_distinct(c).alias(c) for c in categorical]).first()
+    used = train.select(*categorical, *numeric, binary_label(label).alias("_label"))
+    used = used.persist(StorageLevel.MEMORY_AND_DISK)
+    distinct = used.agg(*[F.approx_count_distinct(c).alias(c) for c in categorical]).first()
     # Room for the estimate's error and for the extra category of unseen values.
     most = max(distinct, default=0)
     bins = max(32, int(most * 1.2) + 2)
@@ -122,4 +125,7 @@ def decision_tree(train: DataFrame, categorical: Sequence[str], numeric: Sequenc
         VectorAssembler(inputCols=[*indexed, *numeric], outputCol="features"),
         DecisionTreeClassifier(labelCol="_label", maxDepth=max_depth, maxBins=bins, seed=seed),
     ]
-    return Pipeline(stages=stages).fit(train.withColumn("_label", binary_label(label)))
+    try:
+        return Pipeline(stages=stages).fit(used)
+    finally:
+        used.unpersist()

@@ -11,23 +11,25 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from separatrix.storage import parallelism
 
 
-def _bucketed(df: DataFrame, features: Sequence[str]) -> DataFrame:
+def bucketed(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Add the quantile bucket of every feature as ``{feature}_bucket``."""
     buckets = max(32, parallelism(df))
     probabilities = [n / buckets for n in range(1, buckets)]
     cuts = df.approxQuantile(list(features), probabilities, 0.5 / buckets)
-    splits = []
-    for c in cuts:
-        inner = sorted(set(c)) or [0.0]
-        splits.append([float("-inf"), *inner, float("inf")])
-    return Bucketizer(
-        splitsArray=splits, inputCols=list(features), outputCols=[f"{f}_bucket" for f in features]
-    ).setHandleInvalid("keep").transform(df)
+    inner = [sorted(set(c)) or [0.0] for c in cuts]
+    model = Bucketizer(
+        splitsArray=[[float("-inf"), *c, float("inf")] for c in inner],
+        inputCols=list(features),
+        outputCols=[f"{f}_bucket" for f in features],
+    )
+    return model.setHandleInvalid("keep").transform(df)
 
 
 def _gini(n: Column, positive: Column) -> Column:
@@ -36,19 +38,20 @@ def _gini(n: Column, positive: Column) -> Column:
 
 
 def best_splits(df: DataFrame, features: Sequence[str], label: str, node: str) -> DataFrame:
-    """``(node, impurity, feature, threshold)``: per node the split ``x <= threshold`` with
-    the lowest weighted Gini impurity; ties go to the first feature, then value."""
-    rows = _bucketed(df.select(node, label, *[F.col(f).cast("double").alias(f) for f in features]), features)
+    """``(node, before, impurity, feature, threshold)``: per node the split ``x <= threshold``
+    with the lowest weighted Gini impurity, and the impurity without it; ties go to the first feature, then value.
+
+    ``df`` comes from ``bucketed``."""
     cells = [
         F.struct(
             F.lit(n).alias("feature"),
             F.col(f"{f}_bucket").cast("int").alias("bucket"),
-            F.col(f).alias("value"),
+            F.col(f).cast("double").alias("value"),
         )
         for n, f in enumerate(features)
     ]
     counts = (
-        rows.select(node, (F.col(label) == 1).cast("long").alias("p"), F.inline(F.array(*cells)))
+        df.select(node, (F.col(label) == 1).cast("long").alias("p"), F.inline(F.array(*cells)))
         .filter(F.col("value").isNotNull())
         .groupBy(node, "feature", "bucket", "value")
         .agg(F.count("*").alias("n"), F.sum("p").alias("p"))
@@ -85,15 +88,16 @@ def best_splits(df: DataFrame, features: Sequence[str], label: str, node: str) -
     )
     rn, rp = F.col("n") - F.col("ln"), F.col("p") - F.col("lp")
     impurity = (F.col("ln") * _gini(F.col("ln"), F.col("lp")) + rn * _gini(rn, rp)) / F.col("n")
-    best = F.min(F.struct(F.round("impurity", 10).alias("impurity"), "feature", "value")).alias("b")
+    before = F.round(_gini(F.col("n"), F.col("p")), 10)
+    best = F.min(F.struct(F.round("impurity", 10).alias("impurity"), "feature", "value", "before")).alias("b")
     names = F.array(*[F.lit(f) for f in features])
     return (
         sums.filter(F.col("ln") < F.col("n"))
-        .withColumn("impurity", impurity)
+        .withColumns({"impurity": impurity, "before": before})
         .groupBy(node)
         .agg(best)
         .select(
-            node, "b.impurity",
+            node, "b.before", "b.impurity",
             F.get(names, F.col("b.feature")).alias("feature"),
             F.col("b.value").alias("threshold"),
         )
@@ -122,21 +126,19 @@ class Tree:
 def grow(df: DataFrame, features: Sequence[str], label: str, max_depth: int) -> Tree:
     """Grow a tree level by level; one job finds the splits of all nodes of a level."""
     tree = Tree({})
-    for depth in range(max_depth):
-        low = 2 ** depth
-        open_rows = df.withColumn("node", tree.leaf()).filter(F.col("node") >= low)
-        # A node of one class cannot improve and stays a leaf.
-        mixed = (
-            open_rows.groupBy("node")
-            .agg(F.min(label).alias("a"), F.max(label).alias("b"))
-            .filter("a <> b")
-        )
-        nodes = [r["node"] for r in mixed.collect()]
-        if not nodes:
-            break
-        found = best_splits(open_rows.filter(F.col("node").isin(nodes)), features, label, "node")
-        for r in found.collect():
-            tree.splits[r["node"]] = (r["feature"], r["threshold"])
+    doubles = [F.col(f).cast("double").alias(f) for f in features]
+    rows = bucketed(df.select(label, *doubles), features).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for depth in range(max_depth):
+            level = rows.withColumn("node", tree.leaf()).filter(F.col("node") >= 2**depth)
+            # A node of one class cannot improve: its best split has no lower impurity.
+            found = best_splits(level, features, label, "node").filter("impurity < before").collect()
+            if not found:
+                break
+            for r in found:
+                tree.splits[r["node"]] = (r["feature"], r["threshold"])
+    finally:
+        rows.unpersist()
     return tree
 
 

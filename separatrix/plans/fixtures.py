@@ -12,6 +12,7 @@ from separatrix.functions.text import PUNCTUATION, remove_punctuation, vocabular
 from separatrix.operators.sampling import balance_classes, random_split
 from separatrix.operators.tables import drop_neutral, rating_sentiment, safe_label
 from separatrix.sources.readers import load_table, xor_label
+from separatrix.storage import materialize, spread
 
 WORDS = 20
 SPLIT_SEED = 2
@@ -33,6 +34,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return load_table(spark, f"{folder}/{name}.parquet", SCHEMAS[name])
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """``(doc_id, text)``."""
+    return spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+
+
 # --- Spark side -----------------------------------------------------------------
 
 
@@ -65,7 +71,7 @@ def balanced_opinions(spark: SparkSession, folder: str) -> DataFrame:
 
 def reviews(spark: SparkSession, folder: str) -> DataFrame:
     """``(doc_id, text, rating)``."""
-    texts = table(spark, folder, "documents").select("doc_id", "text")
+    texts = documents(spark, folder)
     return texts.join(rated(spark, folder), "doc_id")
 
 
@@ -78,11 +84,12 @@ def review_matrix(spark: SparkSession, folder: str, words: list[str]) -> DataFra
     """``(doc_id, features, rating, sentiment, split)`` of the balanced reviews.
 
     Texts become count vectors before the join, so the join moves vectors only.
+    The matrix is stored: training and scoring read it, and the texts once.
     """
-    texts = table(spark, folder, "documents").select("doc_id", remove_punctuation("text").alias("clean"))
+    texts = documents(spark, folder).select("doc_id", remove_punctuation("text").alias("clean"))
     vectors = with_word_vector(texts, "clean", words).select("doc_id", "features")
     tagged = random_split(balanced_opinions(spark, folder), "doc_id", TRAIN_SHARE, SPLIT_SEED)
-    return vectors.join(tagged, "doc_id")
+    return materialize(vectors.join(tagged, "doc_id"), "review-matrix")
 
 
 def loans(spark: SparkSession, folder: str) -> DataFrame:

@@ -343,7 +343,7 @@ def training_log(spark, folder):
 
 
 def _tagged_tokens(spark, folder):
-    texts = fx.table(spark, folder, "documents").select("doc_id", tokens(remove_punctuation("text"), True).alias("t"))
+    texts = fx.documents(spark, folder).select("doc_id", tokens(remove_punctuation("text"), True).alias("t"))
     tagged = fx.random_split(fx.balanced_opinions(spark, folder), "doc_id", fx.TRAIN_SHARE, fx.SPLIT_SEED)
     return texts.join(tagged, "doc_id")
 
@@ -514,8 +514,9 @@ def tree_splits(spark, folder):
     ),
 )
 def best_split(spark, folder):
-    rows = train_loans(spark, folder).withColumn("node", F.lit(1))
-    return rounded(trees.best_splits(rows, TREE_FEATURES, "safe_loans", "node"))
+    rows = trees.bucketed(train_loans(spark, folder), TREE_FEATURES).withColumn("node", F.lit(1))
+    best = trees.best_splits(rows, TREE_FEATURES, "safe_loans", "node")
+    return rounded(best.select("node", "feature", "threshold", "impurity"))
 
 
 @query(

@@ -54,7 +54,7 @@ def vector_length(spark, folder):
 def unit_vectors(spark, folder):
     vectors = fx.table(spark, folder, "embeddings")
     unit = vectors.select("vec_id", vc.normalize("embedding").alias("u"))
-    return rounded(unit.select("vec_id", F.posexplode("u").alias("dim", "v")))
+    return rounded(unit.select("vec_id", F.posexplode_outer("u").alias("dim", "v")))
 
 
 @query(

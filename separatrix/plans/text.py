@@ -26,8 +26,7 @@ _ALL_VOCAB = f"""
 
 
 def _documents(spark, folder):
-    documents = fx.table(spark, folder, "documents")
-    return documents.select("doc_id", tx.remove_punctuation("text").alias("clean"))
+    return fx.documents(spark, folder).select("doc_id", tx.remove_punctuation("text").alias("clean"))
 
 
 @query("E1", f"SELECT doc_id, {_CLEAN} AS clean FROM documents")
@@ -56,7 +55,7 @@ def counts_of_given_words(spark, folder):
     documents = _documents(spark, folder)
     words = tx.vocabulary(documents, "clean", 50)
     counted = tx.with_word_vector(documents, "clean", words).select("doc_id", vector_to_array("features").alias("v"))
-    long = counted.select("doc_id", F.posexplode("v").alias("idx", "n"))
+    long = counted.select("doc_id", F.posexplode_outer("v").alias("idx", "n"))
     return long.withColumn("n", F.col("n").cast("long"))
 
 
@@ -76,7 +75,8 @@ def _trimmed_sql(negate: str) -> str:
 def _trimmed(spark, folder, exclude: bool):
     maps = tx.word_count_map(_documents(spark, folder), "doc_id", "clean")
     kept = maps.select("doc_id", tx.trim_map("word_count", _KEPT, exclude).alias("m"))
-    return kept.select("doc_id", F.explode("m").alias("word", "n"))
+    pairs = kept.select("doc_id", F.explode_outer("m").alias("word", "n"))
+    return pairs.filter(F.col("word").isNotNull())
 
 
 @query("E4", _trimmed_sql(""))

@@ -52,3 +52,15 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
 def parallelism(df: DataFrame) -> int:
     """Number of shuffle partitions of the session."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a table that was read in fewer partitions than there are cores.
+
+    Tables of many files stay as they are; a table in one row group would keep
+    all but one core idle in expensive map steps.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
