@@ -343,9 +343,10 @@ def training_log(spark, folder):
 
 
 def _tagged_tokens(spark, folder):
-    texts = fx.documents(spark, folder).select("doc_id", tokens(remove_punctuation("text"), True).alias("t"))
+    """Tokens of the balanced reviews; texts are split after the join, in the rows that are left."""
     tagged = fx.random_split(fx.balanced_opinions(spark, folder), "doc_id", fx.TRAIN_SHARE, fx.SPLIT_SEED)
-    return texts.join(tagged, "doc_id")
+    joined = fx.documents(spark, folder).join(tagged, "doc_id")
+    return joined.withColumn("t", tokens(remove_punctuation("text"), True)).drop("text")
 
 
 @query("I10 J4")
@@ -460,9 +461,10 @@ def _split_sql(rows: str, out: str) -> str:
         (sum(n) OVER whole)::DOUBLE AS n, (sum(p) OVER whole)::DOUBLE AS p FROM {out}_counts
         WINDOW whole AS (PARTITION BY node, feature), run AS (PARTITION BY node, feature ORDER BY value)),
     {out}_gini AS MATERIALIZED (SELECT node, feature, value, round((ln * (2.0::DOUBLE * (lp / ln) * (1.0::DOUBLE - lp / ln))
-        + (n - ln) * (2.0::DOUBLE * ((p - lp) / (n - ln)) * (1.0::DOUBLE - (p - lp) / (n - ln)))) / n, 10) AS impurity
+        + (n - ln) * (2.0::DOUBLE * ((p - lp) / (n - ln)) * (1.0::DOUBLE - (p - lp) / (n - ln)))) / n, 10) AS impurity,
+        round(2.0::DOUBLE * (p / n) * (1.0::DOUBLE - p / n), 10) AS before
         FROM {out}_sums WHERE ln < n),
-    {out} AS MATERIALIZED (SELECT node, impurity, feature, value FROM {out}_gini
+    {out} AS MATERIALIZED (SELECT node, impurity, feature, value FROM {out}_gini WHERE impurity < before
         QUALIFY row_number() OVER (PARTITION BY node ORDER BY impurity, feature, value) = 1)"""
 
 
