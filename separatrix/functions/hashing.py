@@ -15,7 +15,7 @@ def key_digest(key, seed, *more) -> Column:
     return F.md5(F.concat_ws(":", *parts))
 
 
-def stable_uniform(key, seed) -> Column:
-    """Uniform double in [0, 1) fixed by key and seed."""
-    head = F.conv(F.substring(key_digest(key, seed), 1, 8), 16, 10)
+def stable_uniform(key, seed, *more) -> Column:
+    """Uniform double in [0, 1) fixed by key and seed; it grows with the digest."""
+    head = F.conv(F.substring(key_digest(key, seed, *more), 1, 8), 16, 10)
     return head.cast("double") / F.lit(4294967296.0)

@@ -18,9 +18,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel, TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from separatrix.functions.hashing import key_digest
+from separatrix.functions.hashing import key_digest, stable_uniform
 from separatrix.operators.models import LinearModel
 from separatrix.storage import parallelism
 
@@ -128,12 +128,20 @@ def _chunks(df: DataFrame, size: int) -> int:
     return max(1, min(parallelism(df), DRIVER_BYTES // bytes_each))
 
 
-def sweeps(df: DataFrame, columns: Sequence[str], label: str, order: Sequence, eta: float) -> list[Sweep]:
-    """One ``Sweep`` per range partition of the ordered rows, in order."""
+def sweeps(df: DataFrame, columns: Sequence[str], label: str, order: Sequence, eta: float,
+           place: Column | None = None) -> list[Sweep]:
+    """One ``Sweep`` per range partition of the ordered rows, in order.
+
+    ``place`` is a uniform number in [0, 1) that grows with the order, if there is
+    one; it gives the partition directly, without a job that samples the order.
+    """
     names, size = list(columns), len(columns) + 1
     keys = [F.col(o) if isinstance(o, str) else o for o in order]
     order_names = [f"_o{n}" for n in range(len(keys))]
-    rows = _labelled(df, names, label, *[k.alias(n) for k, n in zip(keys, order_names, strict=True)])
+    extra = [k.alias(n) for k, n in zip(keys, order_names, strict=True)]
+    if place is not None:
+        extra.append(place.alias("_place"))
+    rows = _labelled(df, names, label, *extra)
 
     def reduce_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sweep = Sweep.empty(size)
@@ -151,9 +159,13 @@ def sweeps(df: DataFrame, columns: Sequence[str], label: str, order: Sequence, e
                 names=["part", "n", "a", "b", "m"],
             )
 
+    chunks = _chunks(df, size)
+    if place is None:
+        ranged = rows.repartitionByRange(chunks, *order_names)
+    else:
+        ranged = rows.repartitionById(chunks, F.floor(F.col("_place") * chunks).cast("int"))
     parts = (
-        rows.repartitionByRange(_chunks(df, size), *order_names)
-        .sortWithinPartitions(*order_names)
+        ranged.sortWithinPartitions(*order_names)
         .select("_y", *names)
         .mapInArrow(
             reduce_partition,
@@ -208,7 +220,8 @@ def fit_stochastic(df: DataFrame, columns: Sequence[str], label: str, key: str,
     try:
         for epoch in range(1, epochs + 1):
             order = [key_digest(key, seed, epoch), F.col(key)]
-            w, cost = _apply(sweeps(rows, columns, label, order, eta), w)
+            place = stable_uniform(key, seed, epoch)
+            w, cost = _apply(sweeps(rows, columns, label, order, eta, place), w)
             history.append(cost)
     finally:
         rows.unpersist()

@@ -23,7 +23,7 @@ def row_count(df: DataFrame) -> DataFrame:
 def distribution(df: DataFrame, column: str) -> DataFrame:
     """``(column, n, share)`` of every value of a column."""
     counts = df.groupBy(column).agg(F.count("*").alias("n"))
-    total = df.agg(F.count("*").alias("n")).scalar()
+    total = counts.agg(F.sum("n")).scalar()
     return counts.withColumn("share", F.col("n").cast("double") / total)
 
 

@@ -14,7 +14,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from separatrix.functions.hashing import key_digest
 
@@ -23,7 +23,9 @@ GROUP_ROWS = 50_000
 # Distances computed at once inside a group.
 BLOCK_CELLS = 4_000_000
 # Upper bound on the number of pivots, whatever the table size.
-MAX_PIVOTS = 512
+MAX_PIVOTS = 2048
+# Rows measured against all pivots at once.
+SLICE = 1024
 
 
 def _points(column) -> np.ndarray:
@@ -46,44 +48,62 @@ def _pivots(train: DataFrame, n: int) -> np.ndarray:
 
 
 def _assigned(train: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Training points with the cell of their nearest pivot and their distance to it."""
+    def measure(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        d = _distances(points, pivots)
+        cell = d.argmin(1)
+        return cell, d[np.arange(len(d)), cell]
+
     def assign(batches):
         for batch in batches:
-            d = _distances(_points(batch.column("x")), pivots)
-            cell = d.argmin(1)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(cell.astype("int32")), pa.array(d[np.arange(len(d)), cell])],
-                names=[*batch.schema.names, "cell", "r"],
-            )
+            points = _points(batch.column("x"))
+            parts = [measure(points[at:at + SLICE]) for at in range(0, len(points), SLICE)]
+            if parts:
+                cell, r = (np.concatenate(c) for c in zip(*parts, strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(cell.astype("int32")), pa.array(r)],
+                    names=[*batch.schema.names, "cell", "r"],
+                )
 
     schema = train.schema.simpleString()[len("struct<"):-1]
     return train.mapInArrow(assign, f"{schema},cell:int,r:double")
 
 
 def _visits(queries: DataFrame, pivots: np.ndarray, sizes: np.ndarray, radii: np.ndarray, k: int) -> DataFrame:
-    """Queries with the array of cells that may hold one of their ``k`` nearest points."""
+    """``(qid, x, cell)``: a query once for every cell that may hold one of its ``k`` nearest."""
     between = _distances(pivots, pivots)
     wanted = min(k, int(sizes.sum()))
     filled = sizes > 0
     scale = 1.0 + np.abs(pivots).max(initial=0.0)
 
+    def reach(points: np.ndarray) -> np.ndarray:
+        d = _distances(points, pivots)
+        # All points of a cell lie within the distance to its pivot plus its radius, so
+        # the nearest such cells with k points together bound the k-th distance.
+        farthest = np.where(filled, d + radii, np.inf)
+        order = farthest.argsort(1)
+        enough = (sizes[order].cumsum(1) >= wanted).argmax(1)
+        rows = np.arange(len(d))
+        bound = farthest[rows, order[rows, enough]]
+        bound = bound + 1e-6 * (scale + bound + np.abs(points).max(1, initial=0.0))
+        # A cell is out of reach behind its own radius, or behind the plane halfway
+        # between its pivot and the query's own.
+        own = d.argmin(1)
+        gap = between[own]
+        plane = (d * d - (d[rows, own] ** 2)[:, None]) / np.where(gap > 0, 2.0 * gap, np.inf)
+        return filled & (np.maximum(d - radii, plane) <= bound[:, None])
+
     def visit(batches):
         for batch in batches:
             points = _points(batch.column("x"))
-            d = _distances(points, pivots)
-            farthest = np.where(filled, d + radii, np.inf)
-            order = farthest.argsort(1)
-            enough = (sizes[order].cumsum(1) >= wanted).argmax(1)
-            rows = np.arange(len(d))
-            bound = farthest[rows, order[rows, enough]]
-            bound = bound + 1e-6 * (scale + bound + np.abs(points).max(1, initial=0.0))
-            own = d.argmin(1)
-            gap = between[own]
-            plane = (d * d - (d[rows, own] ** 2)[:, None]) / np.where(gap > 0, 2.0 * gap, np.inf)
-            reach = filled & (np.maximum(d - radii, plane) <= bound[:, None])
-            hit_row, hit_cell = np.nonzero(reach)
-            offsets = np.r_[0, np.bincount(hit_row, minlength=len(d)).cumsum()].astype("int32")
-            cells = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hit_cell.astype("int32")))
-            yield pa.RecordBatch.from_arrays([*batch.columns, cells], names=[*batch.schema.names, "cells"])
+            for at in range(0, len(points), SLICE):
+                part = batch.slice(at, SLICE)
+                hit_row, hit_cell = np.nonzero(reach(points[at:at + SLICE]))
+                offsets = np.r_[0, np.bincount(hit_row, minlength=part.num_rows).cumsum()]
+                cells = pa.ListArray.from_arrays(
+                    pa.array(offsets.astype("int32")), pa.array(hit_cell.astype("int32"))
+                )
+                yield pa.RecordBatch.from_arrays([*part.columns, cells], names=[*part.schema.names, "cells"])
 
     schema = queries.schema.simpleString()[len("struct<"):-1]
     visited = queries.mapInArrow(visit, f"{schema},cells:array<int>")
@@ -121,18 +141,23 @@ def _nearest(group_train: pa.Table, group_queries: pa.Table, k: int) -> pa.Table
     )
 
 
-def _chunks_of(counts: dict[int, int], cells: int) -> list[int]:
+def _chunks(counts: dict[int, int], cells: int) -> list[int]:
     return [max(1, -(-counts.get(c, 0) // GROUP_ROWS)) for c in range(cells)]
 
 
-def _spread(df: DataFrame, mine: list[int], others: list[int], key: str, own: str, other: str) -> DataFrame:
-    """Give a row its own chunk of its cell, and one copy per chunk of the other side."""
-    def per_cell(values: list[int]) -> Column:
-        return F.get(F.array(*[F.lit(v) for v in values]), F.col("cell"))
+def _spread(df: DataFrame, chunks: DataFrame, key: str, own: str, other: str) -> DataFrame:
+    """Give a row its own chunk of its cell, and one copy per chunk of the other side.
 
-    copies = F.sequence(F.lit(0), per_cell(others) - 1)
-    chunk = F.pmod(F.xxhash64(key), per_cell(mine)).cast("int")
-    return df.withColumn(own, chunk).withColumn(other, F.explode(copies))
+    ``chunks`` has one row per cell, so it is small enough for every task.
+    """
+    chunk = F.pmod(F.xxhash64(key), F.col(f"{own}_count")).cast("int")
+    copies = F.sequence(F.lit(0), F.col(f"{other}_count") - 1)
+    return (
+        df.join(F.broadcast(chunks), "cell")
+        .withColumn(own, chunk)
+        .withColumn(other, F.explode(copies))
+        .drop(f"{own}_count", f"{other}_count")
+    )
 
 
 def neighbours(train: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
@@ -156,9 +181,12 @@ def neighbours(train: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
         sizes[cell], radii[cell], train_counts[cell] = n, r, n
     visits = _visits(queries, pivots, sizes, radii, k)
     query_counts = dict(visits.groupBy("cell").agg(F.count("*")).collect())
-    t, q = _chunks_of(train_counts, cells), _chunks_of(query_counts, cells)
-    left = _spread(assigned.drop("r"), t, q, "id", "tc", "qc")
-    right = _spread(visits, q, t, "qid", "qc", "tc")
+    chunks = train.sparkSession.createDataFrame(
+        list(zip(range(cells), _chunks(train_counts, cells), _chunks(query_counts, cells), strict=True)),
+        "cell int, tc_count int, qc_count int",
+    )
+    left = _spread(assigned.drop("r"), chunks, "id", "tc", "qc")
+    right = _spread(visits, chunks, "qid", "qc", "tc")
     group = ["cell", "tc", "qc"]
 
     def join(a: pa.Table, b: pa.Table) -> pa.Table:

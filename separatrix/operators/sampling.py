@@ -38,13 +38,15 @@ def balance_classes(df: DataFrame, key: str, label: str, seed) -> DataFrame:
     counts are aggregated; the rows themselves are filtered where they are.
     """
     counts = df.groupBy(label).agg(F.count("*").alias("n"))
+    # One structure, so that both figures come from one subquery.
     sizes = counts.agg(
-        F.expr(f"max_by({label}, struct(n, {label}))").alias("larger"),
-        (F.min("n").cast("double") / F.max("n")).alias("ratio"),
-    )
-    larger = sizes.select("larger").scalar()
-    ratio = sizes.select("ratio").scalar()
-    return df.filter((F.col(label) != larger) | (stable_uniform(key, seed) < ratio))
+        F.struct(
+            F.expr(f"max_by({label}, struct(n, {label}))").alias("larger"),
+            (F.min("n").cast("double") / F.max("n")).alias("ratio"),
+        )
+    ).scalar()
+    kept = stable_uniform(key, seed) < sizes.getField("ratio")
+    return df.filter((F.col(label) != sizes.getField("larger")) | kept)
 
 
 def hash_rank(df: DataFrame, key: str, seed, *more, rank: str = "position") -> DataFrame:
@@ -79,30 +81,31 @@ def shuffle_order(df: DataFrame, key: str, seed, epoch: int) -> DataFrame:
 def exact_split(df: DataFrame, key: str, test_share: float, seed, tag: str = "split") -> DataFrame:
     """Tag exactly ``ceil(n * test_share)`` rows as test, the others as train.
 
-    The test rows are those with the smallest ``(digest, key)``. Three passes over
-    the key column find the cut: bucket sizes, the bucket with the cut, the row in
-    that bucket. The rows themselves are then tagged without a shuffle.
+    The test rows are those with the smallest ``(digest, key)``. Two passes over the
+    key column find the cut: the bucket sizes tell which bucket has it, and that
+    bucket's rows are ranked. The rows themselves are tagged without a shuffle.
     """
     digest = key_digest(key, seed)
     hashed = df.select(F.col(key).alias("_k"), digest.alias("_h"))
     hashed = hashed.withColumn("_b", F.substring("_h", 1, BUCKET_DIGITS))
-    sizes = hashed.groupBy("_b").agg(F.count("*").alias("_n"))
-    total = sizes.agg(F.sum("_n")).scalar()
-    wanted = F.ceil(total * F.lit(float(test_share)))
+    # Windows without a partition see one row per bucket here, 65,536 at most.
     through = F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
+    wanted = F.ceil(F.sum("_n").over(Window.partitionBy()) * F.lit(float(test_share)))
     cut_bucket = (
-        sizes.withColumn("_through", through)
-        .filter((F.col("_through") >= wanted) & (F.col("_through") - F.col("_n") < wanted))
-        .select("_b", (wanted - F.col("_through") + F.col("_n")).alias("_r"))
+        hashed.groupBy("_b")
+        .agg(F.count("*").alias("_n"))
+        .withColumns({"_through": through, "_wanted": wanted})
+        .withColumn("_r", F.col("_wanted") - F.col("_through") + F.col("_n"))
+        .filter((F.col("_r") > 0) & (F.col("_r") <= F.col("_n")))
+        .select(F.struct("_b", "_r"))
+        .scalar()
     )
     inside = Window.partitionBy("_b").orderBy("_h", "_k")
     cut = (
-        hashed.filter(F.col("_b") == cut_bucket.select("_b").scalar())
+        hashed.filter(F.col("_b") == cut_bucket.getField("_b"))
         .withColumn("_rank", F.row_number().over(inside))
-        .filter(F.col("_rank") == cut_bucket.select("_r").scalar())
+        .filter(F.col("_rank") == cut_bucket.getField("_r"))
         .select(F.struct("_h", "_k").alias("_cut"))
     )
     mine = F.struct(digest.alias("_h"), F.col(key).alias("_k"))
     return df.withColumn(tag, F.when(mine <= cut.scalar(), "test").otherwise("train"))
-
-
