@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from separatrix.functions.hashing import key_digest
+from separatrix.storage import materialize
 
 # Rows of either side in one group.
 GROUP_ROWS = 50_000
@@ -70,7 +71,7 @@ def _assigned(train: DataFrame, pivots: np.ndarray) -> DataFrame:
 
 
 def _visits(queries: DataFrame, pivots: np.ndarray, sizes: np.ndarray, radii: np.ndarray, k: int) -> DataFrame:
-    """``(qid, x, cell)``: a query once for every cell that may hold one of its ``k`` nearest."""
+    """Queries with the ``cells`` that may hold one of their ``k`` nearest points."""
     between = _distances(pivots, pivots)
     wanted = min(k, int(sizes.sum()))
     filled = sizes > 0
@@ -106,8 +107,7 @@ def _visits(queries: DataFrame, pivots: np.ndarray, sizes: np.ndarray, radii: np
                 yield pa.RecordBatch.from_arrays([*part.columns, cells], names=[*part.schema.names, "cells"])
 
     schema = queries.schema.simpleString()[len("struct<"):-1]
-    visited = queries.mapInArrow(visit, f"{schema},cells:array<int>")
-    return visited.select("qid", "x", F.explode("cells").alias("cell"))
+    return queries.mapInArrow(visit, f"{schema},cells:array<int>")
 
 
 def _nearest(group_train: pa.Table, group_queries: pa.Table, k: int) -> pa.Table:
@@ -165,6 +165,9 @@ def neighbours(train: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
 
     ``train`` has ``id``, ``label`` (whole numbers) and ``x`` (array of doubles),
     ``queries`` has ``qid`` and ``x``. Ties in distance go to the smaller id.
+
+    Of copies of one point only the ``k`` smallest ids can be among the nearest, so
+    the others are left out first; most of them before the shuffle.
     """
     train = train.select(
         F.col("id").cast("long").alias("id"), F.col("label").cast("long").alias("label"),
@@ -175,11 +178,14 @@ def neighbours(train: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
     )
     pivots = _pivots(train, train.count())
     cells = len(pivots)
-    assigned = _assigned(train, pivots)
+    copies = Window.partitionBy("x").orderBy("id")
+    train = train.withColumn("_copy", F.row_number().over(copies)).filter(F.col("_copy") <= k).drop("_copy")
+    assigned = materialize(_assigned(train, pivots), "neighbour-cells")
     sizes, radii, train_counts = np.zeros(cells, dtype="int64"), np.zeros(cells), {}
     for cell, n, r in assigned.groupBy("cell").agg(F.count("*"), F.max("r")).collect():
         sizes[cell], radii[cell], train_counts[cell] = n, r, n
-    visits = _visits(queries, pivots, sizes, radii, k)
+    visits = materialize(_visits(queries, pivots, sizes, radii, k), "neighbour-visits")
+    visits = visits.select("qid", "x", F.explode("cells").alias("cell"))
     query_counts = dict(visits.groupBy("cell").agg(F.count("*")).collect())
     chunks = train.sparkSession.createDataFrame(
         list(zip(range(cells), _chunks(train_counts, cells), _chunks(query_counts, cells), strict=True)),

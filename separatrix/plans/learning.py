@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from separatrix.functions.text import remove_punctuation, tokens
+from separatrix.functions.vectors import link, sign_strict
 from separatrix.operators import (
     adaline,
     estimators,
@@ -356,6 +357,40 @@ def word_classifier_coefficients(spark, folder):
     return estimators.word_coefficients(spark, estimators.word_logistic(train, "t", "sentiment"))
 
 
+@query(
+    "J11 I10",
+    with_sql("docs", "SELECT count(*) AS n, 0::BIGINT AS class_differs, 0::BIGINT AS probability_differs FROM docs"),
+)
+def library_agreement(spark, folder):
+    """Rows where a library model's class or probability is not what its own margin says: none."""
+    rows = _tagged_tokens(spark, folder)
+    words = fx.review_words(spark, folder)
+    scored = estimators.with_outputs(estimators.word_logistic(rows, "t", "sentiment", words), rows)
+    by_hand = link("margin")
+    return scored.agg(
+        F.count("*").alias("n"),
+        metrics.hits(sign_strict("margin") != F.col("prediction_class")).alias("class_differs"),
+        metrics.hits(F.abs(by_hand - F.col("probability_pos")) > 1e-9).alias("probability_differs"),
+    )
+
+
+@query(
+    "J11 I15",
+    with_sql(
+        "loan_rows",
+        "SELECT split, count(*) AS n, 0::BIGINT AS class_differs FROM loan_rows GROUP BY split",
+    ),
+)
+def tree_agreement(spark, folder):
+    """Rows where a tree's class is not the side of one half its probability is on: none."""
+    rows = fx.balanced_loans(spark, folder)
+    model = estimators.decision_tree(rows.filter("split = 'train'"), CATEGORICAL, NUMERIC, "safe_loans", 6)
+    scored = estimators.with_outputs(model, rows)
+    p = F.col("probability_pos")
+    differs = ((p > 0.5) & (F.col("prediction_class") != 1)) | ((p < 0.5) & (F.col("prediction_class") != -1))
+    return scored.groupBy("split").agg(F.count("*").alias("n"), metrics.hits(differs).alias("class_differs"))
+
+
 def _species(spark, folder):
     return scaled_flowers(spark, folder).withColumn("species", F.col("species").cast("double"))
 
