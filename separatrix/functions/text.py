@@ -46,30 +46,44 @@ def exploded(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.explode_outer(column)).filter(F.col(column).isNotNull())
 
 
-def word_counts(df: DataFrame, key: str, text, lower: bool = True) -> DataFrame:
-    """``(key, word, n)``, one row per distinct word of a row's text.
+def with_word_runs(df: DataFrame, text, lower: bool = True) -> DataFrame:
+    """Add ``_words`` and ``_counts``: the distinct words of a text and how often each occurs.
 
-    Counting starts on the map side, so only distinct words are shuffled, and the
-    shuffle key holds the row key: neither a common word nor a long text is hot.
+    Equal words are neighbours in the sorted tokens, so a word's count is the
+    distance between the ends of two runs. All of it happens inside a row: a
+    text is counted whole and nothing is shuffled.
     """
-    words = exploded(df.select(key, tokens(text, lower).alias("word")), "word")
-    return words.groupBy(key, "word").agg(F.count("*").alias("n"))
+    ordered = df.withColumn("_sorted", F.sort_array(tokens(text, lower)))
+
+    def end_of_run(word: Column, at: Column) -> Column:
+        last = F.coalesce(F.get("_sorted", at + 1) != word, F.lit(True))
+        return F.when(last, at + 1)
+
+    ends = ordered.withColumn("_ends", F.array_compact(F.transform("_sorted", end_of_run)))
+    return ends.withColumns(
+        {
+            "_words": F.transform("_ends", lambda end: F.get("_sorted", end - 1)),
+            "_counts": F.transform(
+                "_ends",
+                lambda end, n: (end - F.coalesce(F.get("_ends", n - 1), F.lit(0))).cast("long"),
+            ),
+        }
+    ).drop("_sorted", "_ends")
+
+
+def word_counts(df: DataFrame, key: str, text, lower: bool = True) -> DataFrame:
+    """``(key, word, n)``, one row per distinct word of a row's text."""
+    runs = with_word_runs(df, text, lower)
+    pairs = exploded(runs.select(key, F.arrays_zip("_words", "_counts").alias("p")), "p")
+    return pairs.select(key, F.col("p._words").alias("word"), F.col("p._counts").alias("n"))
 
 
 def word_count_map(df: DataFrame, key: str, text, lower: bool = True) -> DataFrame:
     """``(key, word_count)`` with a word-to-count map; rows without words get an empty map."""
-    entries = F.collect_list(F.struct("word", "n"))
-    maps = (
-        word_counts(df, key, text, lower)
-        .groupBy(key)
-        .agg(F.map_from_entries(entries).alias("word_count"))
-    )
+    runs = with_word_runs(df, text, lower)
     empty = F.expr("cast(map() as map<string,bigint>)")
-    return (
-        df.select(key)
-        .join(maps, key, "left")
-        .withColumn("word_count", F.coalesce("word_count", empty))
-    )
+    counted = F.coalesce(F.map_from_arrays("_words", "_counts"), empty)
+    return runs.select(key, counted.alias("word_count"))
 
 
 def trim_map(word_count, keys: Sequence[str], exclude: bool = False) -> Column:

@@ -119,11 +119,14 @@ def table_shape(spark, folder):
 
 @query(
     "B10",
-    "SELECT (ordinal_position - 1)::INTEGER AS position, column_name FROM (SELECT row_number() OVER () AS "
+    "SELECT (ordinal_position - 1)::INTEGER AS position, column_name, (SELECT count(*) FROM orders) AS rows FROM (SELECT row_number() OVER () AS "
     "ordinal_position, column_name FROM (DESCRIBE SELECT * FROM orders))",
 )
 def table_columns(spark, folder):
-    return tables.column_names(fx.table(spark, folder, "orders"))
+    """The column names of a table next to its number of rows."""
+    orders = fx.table(spark, folder, "orders")
+    rows = tables.shape(orders).select("rows").scalar()
+    return tables.column_names(orders).withColumn("rows", rows)
 
 
 @query("B11", "SELECT DISTINCT label FROM embeddings")

@@ -9,7 +9,7 @@ from separatrix.functions import text as tx
 from separatrix.plans import fixtures as fx
 from separatrix.plans.registry import query
 
-# The twenty words of the reference's small model.
+# The twenty words of the small sentiment model.
 SIGNIFICANT_WORDS = [
     "love", "great", "easy", "old", "little", "perfect", "loves", "well", "able", "car",
     "broke", "less", "even", "waste", "disappointed", "work", "product", "money", "would", "return",
