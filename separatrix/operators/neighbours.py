@@ -141,8 +141,8 @@ def _nearest(group_train: pa.Table, group_queries: pa.Table, k: int) -> pa.Table
     )
 
 
-def _chunks(counts: dict[int, int], cells: int) -> list[int]:
-    return [max(1, -(-counts.get(c, 0) // GROUP_ROWS)) for c in range(cells)]
+def _chunks(rows: int) -> int:
+    return -(-rows // GROUP_ROWS)
 
 
 def _spread(df: DataFrame, chunks: DataFrame, key: str, own: str, other: str) -> DataFrame:
@@ -181,14 +181,15 @@ def neighbours(train: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
     copies = Window.partitionBy("x").orderBy("id")
     train = train.withColumn("_copy", F.row_number().over(copies)).filter(F.col("_copy") <= k).drop("_copy")
     assigned = materialize(_assigned(train, pivots), "neighbour-cells")
-    sizes, radii, train_counts = np.zeros(cells, dtype="int64"), np.zeros(cells), {}
+    sizes, radii = np.zeros(cells, dtype="int64"), np.zeros(cells)
     for cell, n, r in assigned.groupBy("cell").agg(F.count("*"), F.max("r")).collect():
-        sizes[cell], radii[cell], train_counts[cell] = n, r, n
+        sizes[cell], radii[cell] = n, r
     visits = materialize(_visits(queries, pivots, sizes, radii, k), "neighbour-visits")
     visits = visits.select("qid", "x", F.explode("cells").alias("cell"))
-    query_counts = dict(visits.groupBy("cell").agg(F.count("*")).collect())
+    # Cells that no query visits drop out here.
+    visited = visits.groupBy("cell").agg(F.count("*")).collect()
     chunks = train.sparkSession.createDataFrame(
-        list(zip(range(cells), _chunks(train_counts, cells), _chunks(query_counts, cells), strict=True)),
+        [(cell, _chunks(int(sizes[cell])), _chunks(n)) for cell, n in visited],
         "cell int, tc_count int, qc_count int",
     )
     left = _spread(assigned.drop("r"), chunks, "id", "tc", "qc")

@@ -79,7 +79,7 @@ def best_splits(df: DataFrame, features: Sequence[str], label: str, node: str) -
         .withColumn("run_p", F.sum("p").over(running))
         .join(shifts, [node, "feature", "bucket"])
         .select(
-            node, "feature", "value",
+            node, "feature", "bucket", "value",
             (F.col("before_n") + F.col("run_n")).cast("double").alias("ln"),
             (F.col("before_p") + F.col("run_p")).cast("double").alias("lp"),
             F.col("all_n").cast("double").alias("n"),
@@ -94,8 +94,11 @@ def best_splits(df: DataFrame, features: Sequence[str], label: str, node: str) -
     return (
         sums.filter(F.col("ln") < F.col("n"))
         .withColumns({"impurity": impurity, "before": before})
-        .groupBy(node)
+        # The best of a bucket first: its rows are together and sorted already.
+        .groupBy(node, "feature", "bucket")
         .agg(best)
+        .groupBy(node)
+        .agg(F.min("b").alias("b"))
         .select(
             node, "b.before", "b.impurity",
             F.get(names, F.col("b.feature")).alias("feature"),

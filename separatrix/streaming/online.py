@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -62,8 +63,12 @@ def learn_stream(stream: DataFrame, columns: Sequence[str], label: str, order: S
     through the driver.
     """
     def learn(batch: DataFrame, batch_id: int) -> None:
-        weights = table.before(batch_id)
-        model = partial_fit(batch, columns, label, order, eta, weights)
+        # The batch is read twice: once to find the ranges of its order, once to learn.
+        rows = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            model = partial_fit(rows, columns, label, order, eta, table.before(batch_id))
+        finally:
+            rows.unpersist()
         table.write(batch_id, model.weights)
 
     return (
