@@ -56,13 +56,16 @@ class LogisticPath:
 
     def coefficients(self, spark: SparkSession) -> DataFrame:
         """``(l2, idx, word, value)``."""
-        names = [INTERCEPT, *self.words]
-        rows = [
-            (p, j, names[j], float(v))
-            for p, w in zip(self.penalties, self.weights, strict=True)
-            for j, v in enumerate(w)
-        ]
-        return spark.createDataFrame(rows, "l2 double, idx int, word string, value double")
+        models, width = self.weights.shape
+        table = pa.table(
+            {
+                "l2": np.repeat(np.array(self.penalties), width),
+                "idx": np.tile(np.arange(width, dtype="int32"), models),
+                "word": pa.array([INTERCEPT, *self.words] * models, pa.string()),
+                "value": self.weights.ravel(),
+            }
+        )
+        return spark.createDataFrame(table)
 
     def log_likelihoods(self, spark: SparkSession) -> DataFrame:
         """``(l2, iteration, log_likelihood)``, iterations from 0 on."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from separatrix.functions.vectors import affine, sign_inclusive
@@ -36,8 +37,14 @@ class LinearModel:
 
 def coefficient_frame(spark: SparkSession, names: Sequence[str], weights: Sequence[float]) -> DataFrame:
     """``(idx, name, value)`` of a model, the intercept at index 0."""
-    rows = [(j, n, float(w)) for j, (n, w) in enumerate(zip([INTERCEPT, *names], weights, strict=True))]
-    return spark.createDataFrame(rows, "idx int, name string, value double")
+    table = pa.table(
+        {
+            "idx": pa.array(range(len(weights)), pa.int32()),
+            "name": pa.array([INTERCEPT, *names], pa.string()),
+            "value": pa.array([float(w) for w in weights], pa.float64()),
+        }
+    )
+    return spark.createDataFrame(table)
 
 
 def weight_signs(coefficients: DataFrame) -> DataFrame:

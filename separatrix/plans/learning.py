@@ -23,6 +23,7 @@ from separatrix.operators import (
 )
 from separatrix.plans import fixtures as fx
 from separatrix.plans.registry import query, rounded
+from separatrix.storage import materialize
 
 with_sql = fx.with_sql
 
@@ -344,10 +345,14 @@ def training_log(spark, folder):
 
 
 def _tagged_tokens(spark, folder):
-    """Tokens of the balanced reviews; texts are split after the join, in the rows that are left."""
+    """Tokens of the balanced reviews, stored, as a library learner reads them several times.
+
+    Texts are split after the join, in the rows that are left.
+    """
     tagged = fx.random_split(fx.balanced_opinions(spark, folder), "doc_id", fx.TRAIN_SHARE, fx.SPLIT_SEED)
     joined = fx.documents(spark, folder).join(tagged, "doc_id")
-    return joined.withColumn("t", tokens(remove_punctuation("text"), True)).drop("text")
+    split = joined.withColumn("t", tokens(remove_punctuation("text"), True)).drop("text")
+    return materialize(split, "review-tokens")
 
 
 @query("I10 J4")
