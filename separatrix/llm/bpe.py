@@ -15,17 +15,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 # Characters of text that are split and encoded at a time.
-PORTION = 2_000_000
+PORTION = 1_000_000
 # Distinct words that a task remembers before it starts anew.
 REMEMBERED = 400_000
 # Letters that one recursive query starts with, and the states of letters it may hold. A query
 # ends after at most ROUNDS rounds; unfinished words go on in the next.
-LETTERS, HELD, ROUNDS = 500_000, 4_000_000, 64
+LETTERS, HELD, ROUNDS = 250_000, 4_000_000, 64
 
-# A round contracts, in each word, the leftmost pair of least rank and the pair's further
-# places that do not overlap. Later places cannot be spoilt: in a vocabulary whose tokens
+# A round opens each word to one row for every token and its place, joins these rows with the
+# merge table, and contracts the leftmost pair of least rank. A word without pairs is done.
+LEFTMOST = """
+WITH RECURSIVE state(turn, word, toks, done) AS (
+    SELECT 0, word, toks, false FROM words
+    UNION ALL
+    (WITH places AS (
+        SELECT word, unnest(toks[:-2]) AS tok, unnest(toks[2:]) AS after, generate_subscripts(toks[2:], 1) AS pos
+        FROM state WHERE NOT done),
+    best AS (
+        SELECT word, min(m.merged * 1000::BIGINT + pos) AS spot
+        FROM places p JOIN merges m ON m.first = p.tok AND m.second = p.after GROUP BY word)
+    SELECT turn + 1, s.word,
+           CASE WHEN spot IS NULL THEN toks ELSE toks[:spot % 1000 - 1] || [(spot // 1000)::INT] || toks[spot % 1000 + 2:] END,
+           spot IS NULL
+    FROM state s LEFT JOIN best USING (word) WHERE NOT s.done))
+SELECT word, toks FROM state WHERE done ORDER BY word
+"""
+
+# Words of more than SHORT letters stay rows, and a round also contracts that pair's further
+# places that do not overlap. Those cannot be spoilt: in a vocabulary whose tokens
 # encode to themselves, a contraction of rank r never makes a pair of rank below r.
-CONTRACT = """
+SHORT = 64
+ALL_PLACES = """
 WITH RECURSIVE state(turn, word, pos, tok, done) AS (
     SELECT 0, word, pos, tok, false FROM letters
     UNION ALL
@@ -75,7 +95,7 @@ def merge_table(ranks: dict[bytes, int]) -> pa.Table:
 def _database():
     import duckdb
 
-    return duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})
+    return duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
 
 
 def _load(con, name: str, rows: pa.Table) -> None:
@@ -102,7 +122,17 @@ class Encoder:
         self.starts, self.lengths, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
 
     def contract(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word of two bytes or more."""
+        """Ids of each of a few words of two to SHORT bytes."""
+        ends = np.cumsum([0, *map(len, words)])
+        tok = self.letters[np.frombuffer(b"".join(words), np.uint8)]
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tok))
+        self.con.register("words", pa.table({"word": pa.array(range(len(words)), pa.int32()), "toks": lists}))
+        found = self.con.sql(LEFTMOST).to_arrow_table()["toks"].combine_chunks()
+        self.con.unregister("words")
+        return np.split(found.flatten().to_numpy(), found.offsets.to_numpy()[1:-1] - found.offsets[0].as_py())
+
+    def contract_long(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of each of a few words of any length from two bytes on."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         word = np.repeat(np.arange(len(words)), lengths)
         pos = np.arange(len(word)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
@@ -111,7 +141,7 @@ class Encoder:
         while len(word):
             self.con.register("letters", pa.table({"word": word, "pos": pos, "tok": tok}))
             rounds = min(ROUNDS, max(1, HELD // len(word)))
-            found = self.con.execute(CONTRACT, {"rounds": rounds}).fetchnumpy()
+            found = self.con.execute(ALL_PLACES, {"rounds": rounds}).fetchnumpy()
             self.con.unregister("letters")
             word, pos, tok, done = (np.asarray(found[c]) for c in ("word", "pos", "tok", "done"))
             ready = done.astype(bool)
@@ -125,10 +155,12 @@ class Encoder:
         """Encode words that are new; a word that is a token as a whole is that token."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         whole = [self.ranks.get(r) for r in raw]
-        split = [r for r, t in zip(raw, whole, strict=True) if t is None]
-        portions = _portions(map(len, split), LETTERS)
-        rest = (ids for start, end in portions for ids in self.contract(split[start:end]))
-        ids = [next(rest) if t is None else np.array([t], np.int32) for t in whole]
+        ids = [None if t is None else np.array([t], np.int32) for t in whole]
+        for contract, short in ((self.contract, True), (self.contract_long, False)):
+            split = [n for n, t in enumerate(whole) if t is None and (len(raw[n]) <= SHORT) == short]
+            for start, end in _portions((len(raw[n]) for n in split), LETTERS):
+                for n, found in zip(split[start:end], contract([raw[n] for n in split[start:end]]), strict=True):
+                    ids[n] = found
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         self.starts = np.append(self.starts, len(self.ids) + np.cumsum(lengths) - lengths)
         self.lengths = np.append(self.lengths, lengths)
