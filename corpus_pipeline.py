@@ -1,14 +1,81 @@
-"""Queries of the training-data operators."""
+"""A training-data pipeline over the documents, and the queries of its operators.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet
+and read again as the next stage's documents. Rows without a doc_id cannot be named by a
+decision and stay; rows that repeat are kept or dropped alike.
+"""
 
 from __future__ import annotations
 
 import importlib
 import pkgutil
 
-from separatrix.llm import queries
-from separatrix.llm.registry import QUERIES
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from separatrix.llm import exact_dedup, language_id, minmax, queries, secret_scan
+from separatrix.llm.queries.packing import packed
+from separatrix.llm.registry import QUERIES, query, table
+from separatrix.storage import materialize
 
 for module in pkgutil.iter_modules(queries.__path__):
     importlib.import_module(f"{queries.__name__}.{module.name}")
 
-__all__ = ["QUERIES"]
+__all__ = ["ORACLE_SQL", "QUERIES", "STAGES", "run"]
+
+# Documents in which no language has this share are rejected, as are those without letters.
+LEAST_SHARE = 0.4
+
+
+def _without(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """``docs`` but for the rows that are not kept. The list of those may be long or short: Spark picks the join."""
+    return docs.join(judged.filter("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language; the model learns from all that have a label."""
+    judged = language_id.predict(docs, language_id.train(docs))
+    return judged.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text."""
+    return _without(docs, exact_dedup.deduplicate(docs))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: shingles of five words, 0.8 or more."""
+    return _without(docs, minmax.near_duplicates(docs))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced by their kind."""
+    return secret_scan.redact(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents and their places in sequences."""
+    return packed(docs)
+
+
+STAGES = [
+    ("language_id", language),
+    ("exact_dedup", exact),
+    ("near_dedup", near),
+    ("secret_scan", secrets),
+    ("packing", packing),
+]
+
+# Language models, signatures and packing have no SQL; tests compare with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs
+
+
+@query("pipeline", ORACLE_SQL)
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return run(spark, folder)

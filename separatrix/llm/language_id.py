@@ -150,36 +150,40 @@ def infer(model: Model, buckets: np.ndarray) -> tuple[dict[int, float], float]:
     return {c: float(s) for c, s in zip(chosen, shares, strict=True)}, best / total
 
 
-def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Key, ``lang_pred``, ``score`` and ``languages`` (language and share) of each row.
+def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """``docs`` with ``lang_pred``, ``score`` and ``languages`` (language and share).
 
     ``score`` is the share of the predicted language; of equal shares the first language by
     name wins. A text that is null or has no letter is ``und`` with score 0, and so is any
-    text if the model has no language. Whole texts count; rows may repeat.
+    text if the model has no language. Whole texts count; rows may repeat. Columns of
+    ``docs`` with the names of new ones are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = dict(docs.dtypes)[key]
+    carried = [c for c in docs.columns if c not in ("lang_pred", "score", "languages")]
+    kinds = dict(docs.dtypes)
+    names = [*carried, "lang_pred", "score", "languages"]
+    place = carried.index(text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         grams = Grams(model.settings)
         for batch in batches:
-            names, scores, lists = [], [], []
-            for content in batch.column(1):
-                found = grams.buckets(content.as_py() or "")
-                if not len(found) or not model.languages:
-                    names.append(UNDETERMINED), scores.append(0.0), lists.append([])
+            found, scores, lists = [], [], []
+            for content in batch.column(place):
+                buckets = grams.buckets(content.as_py() or "")
+                if not len(buckets) or not model.languages:
+                    found.append(UNDETERMINED), scores.append(0.0), lists.append([])
                     continue
-                shares, _ = infer(model, found)
+                shares, _ = infer(model, buckets)
                 top = min(shares, key=lambda c: (-shares[c], c))
-                names.append(model.languages[top])
+                found.append(model.languages[top])
                 scores.append(min(1.0, max(0.0, shares[top])))
                 lists.append([{"lang": model.languages[c], "share": s} for c, s in sorted(shares.items())])
             mixture = pa.array(lists, pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))
-            columns = [batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), mixture]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "lang_pred", "score", "languages"])
+            columns = [*batch.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64()), mixture]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    out = docs.select(F.col(key).alias("key"), text).mapInArrow(
-        work, f"key {kind}, lang_pred string, score double, languages array<struct<lang:string,share:double>>"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in carried)
+    return docs.select(*carried).mapInArrow(
+        work, f"{schema}, lang_pred string, score double, languages array<struct<lang:string,share:double>>"
     )
-    return out.withColumnRenamed("key", key)

@@ -115,11 +115,11 @@ def update(docs: DataFrame, path: str, text: str = "text", rules: tuple[Rule, ..
     return read_ledger(spark, path)
 
 
-def findings(docs: DataFrame, ledger: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``found`` (kind, start, end; by start, then the order of rules) for each row of ``docs``.
+def by_blob(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``blob_id`` and ``found`` (start, place of the rule, kind, end) of blobs with findings.
 
-    A null text is empty and has none. Rows that repeat, and keys that are null, each get
-    their findings; an empty table gives no rows.
+    A blob has one ledger row for each rule, so its list is gathered from a few rows; a rule
+    that was scanned twice by jobs side by side counts once.
     """
     order = F.create_map(*(F.lit(x) for r in rules for x in (r.name, rules.index(r))))
     kind = F.create_map(*(F.lit(x) for r in rules for x in (r.name, r.kind)))
@@ -127,11 +127,18 @@ def findings(docs: DataFrame, ledger: DataFrame, key: str = "doc_id", text: str
     tagged = F.transform(
         "spans", lambda s: F.struct(s["start"].alias("start"), order[F.col("rule")].alias("place"), kind[F.col("rule")].alias("kind"), s["end"].alias("end"))
     )
-    # At most one row for each rule of a blob: a bounded list.
-    per_blob = rows.groupBy("blob_id").agg(F.array_sort(F.flatten(F.collect_list(tagged))).alias("found"))
+    return rows.groupBy("blob_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(tagged)))).alias("found"))
+
+
+def findings(docs: DataFrame, ledger: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``found`` (kind, start, end; by start, then the order of rules) for each row of ``docs``.
+
+    A null text is empty and has none. Rows that repeat, and keys that are null, each get
+    their findings; an empty table gives no rows.
+    """
     paths = docs.select(F.col(key), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("blob_id"))
     nothing = F.array().cast("array<struct<start:int,place:int,kind:string,end:int>>")
-    return paths.join(per_blob, "blob_id", "left").withColumn("found", F.coalesce("found", nothing))
+    return paths.join(by_blob(ledger, rules), "blob_id", "left").withColumn("found", F.coalesce("found", nothing))
 
 
 def scan_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -152,18 +159,16 @@ def _redacted(text: Column, found: Column) -> Column:
     return F.aggregate(found, start, add, lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.length(text))))
 
 
-def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with secrets replaced by the kind in brackets; all rows and columns stay.
 
     Spans go back by blob, so only texts with findings are rewritten. A null text stays null.
     """
     ledger = update(docs, fresh_path(docs.sparkSession, "ledger"), text, rules, first=True)
-    per_blob = findings(docs, ledger, key, text, rules).filter(F.size("found") > 0).select("blob_id", "found").dropDuplicates(["blob_id"])
-    names = docs.columns
-    rows = docs.withColumn("__blob", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    rows = rows.join(per_blob.select(F.col("blob_id").alias("__blob"), F.col("found").alias("__found")), "__blob", "left")
+    found = by_blob(ledger, rules).select(F.col("blob_id").alias("__blob"), F.col("found").alias("__found"))
+    rows = docs.withColumn("__blob", F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).join(found, "__blob", "left")
     clean = F.when(F.col("__found").isNull(), F.col(text)).otherwise(_redacted(F.col(text), F.col("__found")))
-    return rows.withColumn(text, clean).select(*names)
+    return rows.withColumn(text, clean).select(*docs.columns)
 
 
 def joined(found: Column) -> Column:
