@@ -21,13 +21,26 @@ def _total(terms: Sequence[Column]) -> Column:
 
 
 def dot(vector, weights: Sequence[float]) -> Column:
-    """Dot product of an array column with fixed weights."""
+    """Dot product of an array column with fixed weights.
+
+    Null for a null vector or a null element; a vector of another length than the
+    weights is an error.
+    """
     vector = _col(vector)
-    if len(weights) <= UNROLL_LIMIT:
-        return _total([F.lit(float(w)) * F.get(vector, F.lit(j)) for j, w in enumerate(weights)])
-    fixed = F.array(*[F.lit(float(w)) for w in weights])
-    return F.aggregate(
-        F.zip_with(vector, fixed, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v
+    if not weights:
+        total = F.lit(0.0)
+    elif len(weights) <= UNROLL_LIMIT:
+        total = _total([F.lit(float(w)) * F.get(vector, F.lit(j)) for j, w in enumerate(weights)])
+    else:
+        fixed = F.array(*[F.lit(float(w)) for w in weights])
+        total = F.aggregate(
+            F.zip_with(vector, fixed, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v
+        )
+    message = F.concat(F.lit(f"{len(weights)} weights, vector of length "), F.size(vector).cast("string"))
+    return (
+        F.when(vector.isNull(), F.lit(None).cast("double"))
+        .when(F.size(vector) == len(weights), total)
+        .otherwise(F.raise_error(message).cast("double"))
     )
 
 

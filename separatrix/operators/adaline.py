@@ -6,8 +6,10 @@ Both learners are linear in the weights, which is what makes them distributable.
   One job collects them; every epoch is then arithmetic on a small matrix.
 * Row-by-row descent maps weights to ``A w + b`` at every row. Such maps compose,
   so each range partition of the ordered rows reduces to one small map plus the
-  sums that give its cost, and the maps are applied in order. The result equals a
-  sequential run over all rows, up to rounding.
+  sums that give its cost. Neighbouring maps are composed on the executors until one
+  is left. The result equals a sequential run over all rows, up to rounding.
+
+Rows without a label or with a null feature take no part in either.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
@@ -28,8 +31,8 @@ from separatrix.storage import parallelism
 AGGREGATE_LIMIT = 16
 # Rows per triangular solve in a row-by-row sweep.
 BLOCK = 64
-# Bound on what the maps of all partitions may take on the driver.
-DRIVER_BYTES = 256 << 20
+# Neighbouring maps that one task composes.
+FAN_IN = 8
 
 
 def _matrix(batch: pa.RecordBatch, columns: Sequence[str]) -> np.ndarray:
@@ -40,7 +43,8 @@ def _matrix(batch: pa.RecordBatch, columns: Sequence[str]) -> np.ndarray:
 
 def _labelled(df: DataFrame, columns: Sequence[str], label: str, *more) -> DataFrame:
     doubles = [F.col(c).cast("double").alias(c) for c in columns]
-    return df.select(F.col(label).cast("double").alias("_y"), *doubles, *more)
+    rows = df.select(F.col(label).cast("double").alias("_y"), *doubles, *more)
+    return rows.dropna(subset=["_y", *columns])
 
 
 def moments(df: DataFrame, columns: Sequence[str], label: str) -> np.ndarray:
@@ -117,21 +121,49 @@ class Sweep:
         self.a, self.b = block_a @ self.a, block_a @ self.b + block_b
         self.rows += len(y)
 
+    def then(self, later: Sweep) -> Sweep:
+        """Both sweeps as one: this one first."""
+        # What the later sweep starts from, in terms of [1, -w] at the start of this one.
+        start = np.zeros((len(self.b) + 1, len(self.b) + 1))
+        start[0, 0], start[1:, 0], start[1:, 1:] = 1.0, -self.b, self.a
+        gram = self.errors_gram + start.T @ later.errors_gram @ start
+        return Sweep(later.a @ self.a, later.a @ self.b + later.b, gram, self.rows + later.rows)
+
+    def record(self) -> dict:
+        return {"n": self.rows, "a": self.a.ravel(), "b": self.b, "m": self.errors_gram.ravel()}
+
+    @classmethod
+    def of(cls, record) -> Sweep:
+        b = np.array(record["b"])
+        return cls(
+            np.array(record["a"]).reshape(len(b), len(b)), b,
+            np.array(record["m"]).reshape(len(b) + 1, len(b) + 1), int(record["n"]),
+        )
+
     def run(self, w: np.ndarray) -> tuple[np.ndarray, float]:
         """End weights and half the sum of squared errors."""
         v = np.concatenate([[1.0], -w])
         return self.a @ w + self.b, 0.5 * float(v @ self.errors_gram @ v)
 
 
-def _chunks(df: DataFrame, size: int) -> int:
-    bytes_each = 8 * (size * size + size + (size + 1) ** 2)
-    return max(1, min(parallelism(df), DRIVER_BYTES // bytes_each))
+RECORD = "n long, a array<double>, b array<double>, m array<double>"
+
 
+def composed(group: pd.DataFrame) -> Sweep:
+    """The maps of a group as one, in the order of ``part``."""
+    sweeps = [Sweep.of(r) for r in group.sort_values("part").to_dict("records")]
+    out = sweeps[0]
+    for later in sweeps[1:]:
+        out = out.then(later)
+    return out
 
-def sweeps(df: DataFrame, columns: Sequence[str], label: str, order: Sequence, eta: float,
-           place: Column | None = None) -> list[Sweep]:
-    """One ``Sweep`` per range partition of the ordered rows, in order.
 
+def sweep_over(df: DataFrame, columns: Sequence[str], label: str, order: Sequence, eta: float,
+               place: Column | None = None) -> Sweep:
+    """All rows in order as one ``Sweep``.
+
+    Each range partition of the ordered rows becomes one, and tasks compose neighbours,
+    so the driver gets a single map however many partitions or features there are.
     ``place`` is a uniform number in [0, 1) that grows with the order, if there is
     one; it gives the partition directly, without a job that samples the order.
     """
@@ -150,16 +182,12 @@ def sweeps(df: DataFrame, columns: Sequence[str], label: str, order: Sequence, e
             for start in range(0, len(y), BLOCK):
                 sweep.extend(z[start:start + BLOCK], y[start:start + BLOCK], eta)
         if sweep.rows:
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([TaskContext.get().partitionId()], pa.int32()),
-                    pa.array([sweep.rows], pa.int64()),
-                    *[pa.array([m.ravel()]) for m in (sweep.a, sweep.b, sweep.errors_gram)],
-                ],
-                names=["part", "n", "a", "b", "m"],
-            )
-
-    chunks = _chunks(df, size)
+            part = {"part": TaskContext.get().partitionId(), **sweep.record()}
+            yield pa.RecordBatch.from_pylist([part], schema=arrow)
+
+    doubles = pa.list_(pa.float64())
+    arrow = pa.schema([("part", pa.int32()), ("n", pa.int64()), ("a", doubles), ("b", doubles), ("m", doubles)])
+    chunks = parallelism(df)
     if place is None:
         ranged = rows.repartitionByRange(chunks, *order_names)
     else:
@@ -167,37 +195,30 @@ def sweeps(df: DataFrame, columns: Sequence[str], label: str, order: Sequence, e
     parts = (
         ranged.sortWithinPartitions(*order_names)
         .select("_y", *names)
-        .mapInArrow(
-            reduce_partition,
-            "part int, n long, a array<double>, b array<double>, m array<double>",
-        )
-        .collect()
+        .mapInArrow(reduce_partition, f"part int, {RECORD}")
     )
-    return [
-        Sweep(
-            np.array(r["a"]).reshape(size, size),
-            np.array(r["b"]),
-            np.array(r["m"]).reshape(size + 1, size + 1),
-            r["n"],
-        )
-        for r in sorted(parts, key=lambda r: r["part"])
-    ]
+
+    def compose(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([{"part": int(group["part"].iloc[0]) // FAN_IN, **composed(group).record()}])
+
+    while chunks > 1:
+        parts = parts.groupBy(F.floor(F.col("part") / FAN_IN).alias("_next")).applyInPandas(compose, f"part int, {RECORD}")
+        chunks = -(-chunks // FAN_IN)
+    found = parts.collect()
+    return Sweep.of(found[0]) if found else Sweep.empty(size)
 
 
-def _apply(parts: list[Sweep], w: np.ndarray) -> tuple[np.ndarray, float]:
-    """End weights and mean cost per row of one pass over all parts."""
-    cost = 0.0
-    for part in parts:
-        w, c = part.run(w)
-        cost += c
-    return w, cost / max(1, sum(p.rows for p in parts))
+def _apply(whole: Sweep, w: np.ndarray) -> tuple[np.ndarray, float]:
+    """End weights and mean cost per row of one pass."""
+    w, cost = whole.run(w)
+    return w, cost / max(1, whole.rows)
 
 
 def partial_fit(df: DataFrame, columns: Sequence[str], label: str, order: Sequence, eta: float = 0.01,
                 weights: Sequence[float] | None = None) -> LinearModel:
     """One pass over the rows in order, going on from ``weights`` (zeros if there are none)."""
     w = np.zeros(len(columns) + 1) if weights is None else np.array(weights, dtype=float)
-    w, cost = _apply(sweeps(df, columns, label, order, eta), w)
+    w, cost = _apply(sweep_over(df, columns, label, order, eta), w)
     return LinearModel(list(columns), w.tolist(), [cost])
 
 
@@ -211,9 +232,9 @@ def fit_stochastic(df: DataFrame, columns: Sequence[str], label: str, key: str,
     w = np.zeros(len(columns) + 1)
     history = []
     if not shuffle:
-        parts = sweeps(df, columns, label, [key], eta)
+        whole = sweep_over(df, columns, label, [key], eta)
         for _ in range(epochs):
-            w, cost = _apply(parts, w)
+            w, cost = _apply(whole, w)
             history.append(cost)
         return LinearModel(list(columns), w.tolist(), history)
     rows = df.select(key, label, *columns).persist(StorageLevel.MEMORY_AND_DISK)
@@ -221,7 +242,7 @@ def fit_stochastic(df: DataFrame, columns: Sequence[str], label: str, key: str,
         for epoch in range(1, epochs + 1):
             order = [key_digest(key, seed, epoch), F.col(key)]
             place = stable_uniform(key, seed, epoch)
-            w, cost = _apply(sweeps(rows, columns, label, order, eta, place), w)
+            w, cost = _apply(sweep_over(rows, columns, label, order, eta, place), w)
             history.append(cost)
     finally:
         rows.unpersist()

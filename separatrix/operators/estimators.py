@@ -13,7 +13,7 @@ from pyspark.ml.classification import (
     LogisticRegression,
     OneVsRest,
 )
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, StringIndexer, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -21,6 +21,10 @@ from separatrix.functions.vectors import affine
 from separatrix.operators.models import coefficient_frame
 
 
+# Words a dense weight vector may have; their list goes through the driver.
+MOST_WORDS = 5_000_000
+
+
 def binary_label(label: str) -> Column:
     """Labels -1 and +1 as the 0.0 and 1.0 that Spark ML expects."""
     return F.when(F.col(label) == 1, 1.0).otherwise(0.0)
@@ -28,12 +32,19 @@ def binary_label(label: str) -> Column:
 
 def word_logistic(train: DataFrame, tokens: str, label: str, words: Sequence[str] | None = None,
                   penalty: float = 0.01, max_iter: int = 10) -> PipelineModel:
-    """Logistic classifier on word counts: of all words, or of the given ones."""
+    """Logistic classifier on word counts: of all words, or of the given ones.
+
+    All words means all: they are ordered by document frequency, then by word. Weights are
+    dense, so more than ``MOST_WORDS`` of them are an error and not a shorter list.
+    """
     n = max(1, train.count())
     if words is None:
-        counter = CountVectorizer(inputCol=tokens, outputCol="features")
-    else:
-        counter = CountVectorizerModel.from_vocabulary(list(words), tokens, "features")
+        each = train.select(F.explode(F.array_distinct(tokens)).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+        ranked = each.orderBy(F.desc("df"), "word").limit(MOST_WORDS + 1).collect()
+        if len(ranked) > MOST_WORDS:
+            raise ValueError(f"more than {MOST_WORDS} words; give the words to use")
+        words = [r["word"] for r in ranked]
+    counter = CountVectorizerModel.from_vocabulary(list(words), tokens, "features")
     learner = LogisticRegression(
         featuresCol="features", labelCol="_label", regParam=penalty / n, maxIter=max_iter
     )

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -169,10 +169,16 @@ def with_margins(df: DataFrame, features: str, weights: dict[str, Sequence[float
     """Add one affine score column per named weight vector and drop the features.
 
     Narrow vectors are scored by generated code; wide ones by numpy on the stored
-    entries of sparse vectors, without making them dense.
+    entries of sparse vectors, without making them dense. Either way a null vector has
+    null scores, and a vector of another size than the weights is an error.
     """
+    sizes = {len(w) - 1 for w in weights.values()}
     if max(len(w) for w in weights.values()) <= UNROLL_LIMIT:
-        dense = df.withColumn("_x", vector_to_array(features))
+        # The conversion fails on nulls, so it sees an empty vector in their place.
+        nothing = array_to_vector(F.array().cast("array<double>"))
+        known = F.col(features).isNotNull()
+        array = vector_to_array(F.when(known, F.col(features)).otherwise(nothing))
+        dense = df.withColumn("_x", F.when(known, array))
         named: dict[str, Column] = {
             name: F.lit(float(w[0])) + dot("_x", w[1:]) for name, w in weights.items()
         }
@@ -185,9 +191,19 @@ def with_margins(df: DataFrame, features: str, weights: dict[str, Sequence[float
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, idx, value = unpack(batch.column(features))
+            vectors = batch.column(features)
+            missing = vectors.is_null().to_numpy(zero_copy_only=False)
+            row, idx, value = unpack(vectors)
+            lengths = np.where(
+                vectors.field("type").to_numpy(zero_copy_only=False) == 1,
+                np.bincount(row, minlength=batch.num_rows),
+                vectors.field("size").to_numpy(zero_copy_only=False),
+            )
+            if wrong := {int(n) for n in lengths[~missing]} - sizes:
+                raise ValueError(f"weights for vectors of length {sorted(sizes)}, found {sorted(wrong)}")
             found = [
-                pa.array(scores(row, idx, value, batch.num_rows, w)) for w in shared.value.values()
+                pa.array(scores(row, idx, value, batch.num_rows, w), mask=missing)
+                for w in shared.value.values()
             ]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in kept], *found], names=[*kept, *shared.value]

@@ -22,12 +22,13 @@ def _tiles(entries: DataFrame, row: str, col: str, tile: int) -> DataFrame:
     ).agg(F.collect_list(packed).alias("cells"))
 
 
-def _dense(cells, tile: int) -> np.ndarray:
-    out = np.zeros((tile, tile))
+def _dense(cells, tile: int) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a tile, and 1 where it has an entry."""
+    out, present = np.zeros((tile, tile)), np.zeros((tile, tile), np.float32)
     flat = cells.values
     r, c, v = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("r", "c", "v"))
-    out[r, c] = v
-    return out
+    out[r, c], present[r, c] = v, 1.0
+    return out, present
 
 
 def multiply(a: DataFrame, b: DataFrame, tile: int = TILE, salts: int = 4) -> DataFrame:
@@ -54,14 +55,18 @@ def multiply(a: DataFrame, b: DataFrame, tile: int = TILE, salts: int = 4) -> Da
     def products(batches):
         for batch in batches:
             lists_a, lists_b = batch.column("a"), batch.column("b")
-            sums: dict[tuple[int, int], np.ndarray] = {}
+            sums: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
             for n, place in enumerate(
                 zip(batch.column("bi").to_pylist(), batch.column("bj").to_pylist(), strict=True)
             ):
-                part = _dense(lists_a[n], tile) @ _dense(lists_b[n], tile)
-                sums[place] = sums[place] + part if place in sums else part
-            for (bi, bj), part in sums.items():
-                r, c = np.nonzero(part)
+                (a, in_a), (b, in_b) = _dense(lists_a[n], tile), _dense(lists_b[n], tile)
+                part, met = a @ b, in_a @ in_b > 0
+                if place in sums:
+                    part, met = sums[place][0] + part, sums[place][1] | met
+                sums[place] = part, met
+            for (bi, bj), (part, met) in sums.items():
+                # Cells whose terms add up to zero are cells of the product, too.
+                r, c = np.nonzero(met)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(bi * tile + r), pa.array(bj * tile + c), pa.array(part[r, c])],
                     names=["i", "j", "v"],

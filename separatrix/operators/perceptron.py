@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
+from separatrix.functions.hashing import stable_uniform
 from separatrix.operators.models import LinearModel
-from separatrix.storage import materialize, parallelism
+from separatrix.storage import materialize
 
 # Rows per chunk; a chunk is what one task holds in memory.
 CHUNK_ROWS = 1_000_000
@@ -104,18 +105,21 @@ def fit_ordered(df: DataFrame, columns: Sequence[str], label: str, order: Sequen
 
 
 def fit_mixing(df: DataFrame, columns: Sequence[str], label: str, key: str, eta: float = 0.01,
-               epochs: int = 10, parts: int | None = None) -> LinearModel:
+               epochs: int = 10, shards: int = 8, seed: int = 0) -> LinearModel:
     """Iterative parameter mixing (McDonald, Hall, Mann 2010).
 
-    Every partition runs an epoch on its own rows, then the weights are averaged.
-    It separates separable data, with other weights than the sequential learner.
-    Each epoch is one job that brings ``parts`` small vectors to the driver.
+    A digest of key and seed deals the rows to ``shards``. Every shard runs an epoch on its
+    own rows in key order, then the weights are averaged; shards with rows count alike,
+    whatever their number of rows. The result depends on nothing else, so ``shards`` should
+    grow with the table. It separates separable data, with other weights than the
+    sequential learner. Each epoch is one job that brings ``shards`` small vectors to the
+    driver.
     """
     names = list(columns)
-    n = parts or parallelism(df)
+    shard = F.floor(stable_uniform(key, seed) * shards).cast("int")
     rows = (
         df.select(key, F.col(label).cast("double").alias("_y"), *names)
-        .repartition(n, key)
+        .repartitionById(shards, shard)
         .sortWithinPartitions(key)
         .persist(StorageLevel.MEMORY_AND_DISK)
     )

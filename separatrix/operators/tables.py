@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from separatrix.functions.hashing import _col
@@ -13,8 +14,9 @@ INTERCEPT = "(intercept)"
 
 def coefficient_words(spark: SparkSession, words: Sequence[str]) -> DataFrame:
     """``(idx, word)`` of a linear model: the intercept, then the words in order."""
-    named = F.array(*[F.lit(w) for w in [INTERCEPT, *words]])
-    return spark.range(1).select(F.posexplode(named).alias("idx", "word"))
+    named = [INTERCEPT, *words]
+    table = pa.table({"idx": pa.array(range(len(named)), pa.int32()), "word": pa.array(named, pa.string())})
+    return spark.createDataFrame(table)
 
 
 def preview(df: DataFrame, key: str, n: int = 10) -> DataFrame:

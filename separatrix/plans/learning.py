@@ -98,13 +98,41 @@ def perceptron_errors(spark, folder):
     return model.epochs(spark, "errors")
 
 
-@query("I1")
-def perceptron_mixing(spark, folder):
-    return named_weights(
-        spark, perceptron.fit_mixing(scaled_flowers(spark, folder), ["x0", "x1"], "y", "flower_id", ETA, EPOCHS)
+SHARDS = 8
+
+
+def _mixing_sql(select: str) -> str:
+    """Each shard's fold of an epoch starts from the last mixed weights; their mean goes on."""
+    shard = f"floor({fx.uniform_sql('flower_id', 0)} * {SHARDS})"
+    fold = _fold_sql(_PERCEPTRON_STEP, _PERCEPTRON_MISS)
+    return with_sql(
+        "scaled",
+        f"""WITH passes AS MATERIALIZED (SELECT e, shard, list({_ITEM} ORDER BY flower_id) AS xs
+            FROM (SELECT *, {shard} AS shard FROM scaled), range(1, {EPOCHS + 1}) t(e) GROUP BY e, shard),
+        run AS (SELECT 0::BIGINT AS epoch, 0.0::DOUBLE AS w0, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2, 0.0::DOUBLE AS c
+            UNION ALL SELECT epoch, avg(f.w0), avg(f.w1), avg(f.w2), sum(f.c) FROM (
+                SELECT run.epoch + 1 AS epoch, {fold} AS f
+                FROM run JOIN passes ON passes.e = run.epoch + 1) t GROUP BY epoch)
+        {select}""",
+        recursive=True,
     )
 
 
+def _mixed(spark, folder):
+    flowers = scaled_flowers(spark, folder)
+    return perceptron.fit_mixing(flowers, ["x0", "x1"], "y", "flower_id", ETA, EPOCHS, SHARDS)
+
+
+@query("I1", _mixing_sql(_last_weights_sql()))
+def perceptron_mixing(spark, folder):
+    return named_weights(spark, _mixed(spark, folder))
+
+
+@query("I1", _mixing_sql("SELECT epoch::INTEGER AS epoch, c AS errors FROM run WHERE epoch > 0"))
+def perceptron_mixing_errors(spark, folder):
+    return _mixed(spark, folder).epochs(spark, "errors")
+
+
 BATCH_EPOCHS = 40
 
 

@@ -46,16 +46,15 @@ def online_model(spark, folder):
 def online_model_per_user(spark, folder):
     """Weights of every user's own online model after the whole stream."""
     path = fresh_path(spark, "online-users")
-    learned = online.learn_per_key(_stream(spark, folder), "user_id", ["x"], "y", ["ts", "event_id"], STREAM_ETA)
-
-    def sink(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{path}/models/batch_id={batch_id}")
-
-    online.run_available(learned, sink, f"{path}/state", "update")
-    models = spark.read.schema("user_id long, seen long, w array<double>, batch_id long").parquet(f"{path}/models")
-    newest = models.groupBy("user_id").agg(F.max(F.struct("batch_id", "seen", "w")).alias("m"))
-    weights = [F.get("m.w", F.lit(j)).alias(f"w{j}") for j in range(2)]
-    return rounded(newest.select("user_id", "m.seen", *weights))
+    table = online.KeyedWeights(spark, f"{path}/models", "user_id", "long")
+    run = online.learn_per_key(
+        _stream(spark, folder), "user_id", ["x"], "y", ["ts", "event_id"], STREAM_ETA, table, f"{path}/state"
+    )
+    run.awaitTermination()
+    models = table.read()
+    newest = models.filter(F.col("batch_id") == models.agg(F.max("batch_id")).scalar())
+    weights = [F.get("w", F.lit(j)).alias(f"w{j}") for j in range(2)]
+    return rounded(newest.select("user_id", "seen", *weights))
 
 
 @query(

@@ -6,13 +6,13 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from separatrix.operators.adaline import Sweep, partial_fit
+from separatrix.operators.adaline import BLOCK, RECORD, Sweep, composed, partial_fit
 from separatrix.operators.models import LinearModel
+from separatrix.storage import parallelism
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
@@ -79,39 +79,88 @@ def learn_stream(stream: DataFrame, columns: Sequence[str], label: str, order: S
     )
 
 
-def learn_per_key(stream: DataFrame, key: str, columns: Sequence[str], label: str,
-                  order: Sequence[str], eta: float) -> DataFrame:
-    """One online model per key with its weights as streaming state.
+class KeyedWeights:
+    """Weights of all keys after each micro-batch, one folder for each batch.
 
-    Emits ``(key, seen, w)`` of every key a micro-batch touches. A key's rows reach
-    the task as a sequence of Arrow batches and are never held together: each batch
-    is learned in ``order``, and batches in the order of arrival. Late rows are
-    applied when they arrive.
+    A repeated batch overwrites its own folder and starts from the batch before it.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str, kind: str):
+        self.spark, self.path, self.key = spark, path.rstrip("/"), key
+        self.schema = f"`{key}` {kind}, seen long, w array<double>"
+
+    def folder(self, batch_id: int) -> str:
+        return f"{self.path}/batch_id={batch_id}"
+
+    def after(self, batch_id: int) -> DataFrame:
+        """``(key, seen, w)`` that a batch left; no rows before the first one."""
+        if batch_id < 0:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(self.folder(batch_id))
+
+    def read(self) -> DataFrame:
+        """``(key, seen, w, batch_id)`` of all batches so far."""
+        return self.spark.read.schema(f"{self.schema}, batch_id long").parquet(self.path)
+
+
+def learn_per_key(stream: DataFrame, key: str, columns: Sequence[str], label: str, order: Sequence[str],
+                  eta: float, table: KeyedWeights, checkpoint: str) -> StreamingQuery:
+    """One online model per key; each micro-batch is learned row by row in ``order``.
+
+    The rows of a batch are put in the order of key and ``order`` over range partitions,
+    which cut a large key in several places. Each stretch of a key becomes one map of the
+    weights, and a key's few maps are applied in turn to what the batch before left, so the
+    result does not depend on partitions or on the order of arrival within a batch. Late
+    rows are applied when they arrive. Rows with a null key, label or feature are left out.
     """
     names, size = list(columns), len(columns) + 1
+    kind = stream.schema[key].dataType.simpleString()
 
-    def update(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, weights = state.get if state.exists else (0, [0.0] * size)
-        w = np.array(weights)
+    def reduce_partition(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, current, sweep = TaskContext.get().partitionId(), None, Sweep.empty(size)
         for pdf in frames:
-            pdf = pdf.sort_values(list(order))
+            keys = pdf[key].to_numpy()
             z = np.column_stack([np.ones(len(pdf)), pdf[names].to_numpy(dtype=float)])
-            y = pdf[label].to_numpy(dtype=float)
-            for start in range(0, len(y), 64):
-                sweep = Sweep.empty(size)
-                sweep.extend(z[start:start + 64], y[start:start + 64], eta)
-                w, _ = sweep.run(w)
-            seen += len(pdf)
-        state.update((seen, w.tolist()))
-        yield pd.DataFrame({key: [keys[0]], "seen": [seen], "w": [w.tolist()]})
+            y = pdf["_y"].to_numpy(dtype=float)
+            starts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(keys)] if len(keys) else [0]
+            for start, end in zip(starts[:-1], starts[1:], strict=True):
+                if current is not None and current != keys[start]:
+                    yield pd.DataFrame([{key: current, "part": part, **sweep.record()}])
+                    sweep = Sweep.empty(size)
+                current = keys[start]
+                for at in range(start, end, BLOCK):
+                    sweep.extend(z[at:min(at + BLOCK, end)], y[at:min(at + BLOCK, end)], eta)
+        if sweep.rows:
+            yield pd.DataFrame([{key: current, "part": part, **sweep.record()}])
+
+    def go_on(maps: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
+        held = stored.iloc[0] if len(stored) else None
+        seen, w = (int(held["seen"]), np.array(held["w"])) if held is not None else (0, np.zeros(size))
+        if len(maps):
+            sweep = composed(maps)
+            w, _ = sweep.run(w)
+            seen += sweep.rows
+        whose = (maps if len(maps) else stored)[key].iloc[0]
+        return pd.DataFrame({key: [whose], "seen": [seen], "w": [w.tolist()]})
 
-    kind = stream.schema[key].dataType.simpleString()
-    return stream.groupBy(key).applyInPandasWithState(
-        update,
-        f"{key} {kind}, seen long, w array<double>",
-        "seen long, w array<double>",
-        "update",
-        GroupStateTimeout.NoTimeout,
+    def learn(batch: DataFrame, batch_id: int) -> None:
+        doubles = [F.col(c).cast("double").alias(c) for c in names]
+        rows = batch.select(key, *order, F.col(label).cast("double").alias("_y"), *doubles)
+        # The batch is read twice: once to find the ranges of its order, once to learn.
+        rows = rows.dropna(subset=[key, "_y", *names]).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            ranged = rows.repartitionByRange(parallelism(rows), key, *order).sortWithinPartitions(key, *order)
+            maps = ranged.select(key, "_y", *names).mapInPandas(reduce_partition, f"`{key}` {kind}, part int, {RECORD}")
+            both = maps.groupBy(key).cogroup(table.after(batch_id - 1).groupBy(key))
+            both.applyInPandas(go_on, table.schema).write.mode("overwrite").parquet(table.folder(batch_id))
+        finally:
+            rows.unpersist()
+
+    return (
+        stream.writeStream.foreachBatch(learn)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
     )
 
 

@@ -45,23 +45,36 @@ def test_global_model_over_batches(spark, tmp_path):
     assert table.read().filter("batch_id = 2").count() == 2
 
 
+def per_key(spark, tmp_path, files):
+    table = online.KeyedWeights(spark, f"{tmp_path}/models", "k", "long")
+    source = online.read_stream(spark, f"{tmp_path}/in", SCHEMA, files_per_batch=files)
+    online.learn_per_key(source, "k", ["x"], "y", ["n"], 0.05, table, f"{tmp_path}/state").awaitTermination()
+    newest = table.read().agg({"batch_id": "max"}).first()[0]
+    return {r["k"]: (r["seen"], r["w"]) for r in table.after(newest).collect()}, newest
+
+
 def test_model_per_key_keeps_its_state(spark, tmp_path):
     data = rows()
     write_batches(spark, f"{tmp_path}/in", data)
-    learned = online.learn_per_key(stream(spark, f"{tmp_path}/in"), "k", ["x"], "y", ["n"], 0.05)
-    seen = {}
-
-    def sink(batch, batch_id):
-        for r in batch.collect():
-            seen[r["k"]] = (r["seen"], r["w"])
-
-    online.run_available(learned, sink, f"{tmp_path}/state", "update")
+    seen, newest = per_key(spark, tmp_path, 1)
+    assert newest == 2
     for key in {d[1] for d in data}:
         mine = [d for d in data if d[1] == key]
         assert seen[key][0] == len(mine)
         assert np.allclose(seen[key][1], learn(mine, 0.05))
 
 
+def test_large_key_in_files_out_of_order(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    data = [(i, 1 if i % 50 else 2, float(v), 1 if v > 0.3 else -1) for i, v in enumerate(rng.normal(size=25_000))]
+    mixed = [data[i] for i in rng.permutation(len(data))]
+    write_batches(spark, f"{tmp_path}/in", mixed, 9000)
+    seen, _ = per_key(spark, tmp_path, None)
+    for key in (1, 2):
+        mine = [d for d in data if d[1] == key]
+        assert seen[key][0] == len(mine) and np.allclose(seen[key][1], learn(mine, 0.05), atol=1e-8)
+
+
 def test_stateless_scores(spark, tmp_path):
     data = rows(50)
     write_batches(spark, f"{tmp_path}/in", data, 20)

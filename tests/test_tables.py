@@ -172,3 +172,30 @@ def test_shared_folder_is_the_session_setting(spark):
     if folder:
         assert fresh_path(spark, "x").startswith(folder.rstrip("/"))
     assert fresh_path(spark, "x") != fresh_path(spark, "x")
+
+
+def test_dot_has_one_contract_for_all_widths(spark):
+    for width in (10, 300):
+        df = spark.createDataFrame([([1.0] * width,), (None,), ([None] + [1.0] * (width - 1),)], "x array<double>")
+        assert [r["d"] for r in df.select(vc.dot("x", [2.0] * width).alias("d")).collect()] == [2.0 * width, None, None]
+        for other in (width - 1, width + 1):
+            with pytest.raises(Exception, match="vector of length"):
+                df.select(vc.dot("x", [2.0] * other)).collect()
+
+
+def test_product_keeps_cells_that_add_up_to_zero(spark):
+    a = spark.createDataFrame([(0, 0, 1.0), (0, 40, 1.0), (1, 0, 2.0)], "i long, j long, v double")
+    b = spark.createDataFrame([(0, 0, 1.0), (40, 0, -1.0)], "i long, j long, v double")
+    assert sorted(map(tuple, matrix.multiply(a, b).collect())) == [(0, 0, 0.0), (1, 0, 2.0)]
+
+
+def test_words_are_never_dropped(spark, monkeypatch):
+    from separatrix.operators import estimators
+
+    rows = [(["a", "b", "c"], 1), (["a", "d"], -1), (["b"], -1), (["a"], 1)]
+    df = spark.createDataFrame(rows, "t array<string>, y int")
+    model = estimators.word_logistic(df, "t", "y")
+    assert model.stages[0].vocabulary == ["a", "b", "c", "d"]
+    monkeypatch.setattr(estimators, "MOST_WORDS", 3)
+    with pytest.raises(ValueError, match="more than 3 words"):
+        estimators.word_logistic(df, "t", "y")
