@@ -124,9 +124,24 @@ def rbf_svm(train: DataFrame, columns: Sequence[str], label: str, gamma: float =
 def decision_tree(train: DataFrame, categorical: Sequence[str], numeric: Sequence[str], label: str,
                   max_depth: int = 6, seed: int = 1) -> PipelineModel:
     """Decision tree on categorical and numeric columns; unseen categories are kept."""
+    inputs, bins = tree_inputs(train, categorical, numeric)
+    rows = inputs.transform(train).select("features", label)
+    return PipelineModel([*inputs.stages, fit_tree(rows, label, bins, max_depth, seed)])
+
+
+def fit_tree(rows: DataFrame, label: str, bins: int, max_depth: int = 6, seed: int = 1):
+    """Decision tree on assembled ``features``."""
+    learner = DecisionTreeClassifier(labelCol="_label", maxDepth=max_depth, maxBins=bins, seed=seed)
+    return learner.fit(rows.select("features", binary_label(label).alias("_label")))
+
+
+def tree_inputs(train: DataFrame, categorical: Sequence[str], numeric: Sequence[str]) -> tuple[PipelineModel, int]:
+    """Indexer and assembler for trees, and the number of bins that categories need.
+
+    Trees of several depths can share them and the table they make.
+    """
     indexed = [f"{c}_idx" for c in categorical]
-    used = train.select(*categorical, *numeric, binary_label(label).alias("_label"))
-    used = used.persist(StorageLevel.MEMORY_AND_DISK)
+    used = train.select(*categorical, *numeric).persist(StorageLevel.MEMORY_AND_DISK)
     distinct = used.agg(*[F.approx_count_distinct(c).alias(c) for c in categorical]).first()
     # Room for the estimate's error and for the extra category of unseen values.
     most = max(distinct, default=0)
@@ -134,9 +149,8 @@ def decision_tree(train: DataFrame, categorical: Sequence[str], numeric: Sequenc
     stages = [
         StringIndexer(inputCols=list(categorical), outputCols=indexed, handleInvalid="keep"),
         VectorAssembler(inputCols=[*indexed, *numeric], outputCol="features"),
-        DecisionTreeClassifier(labelCol="_label", maxDepth=max_depth, maxBins=bins, seed=seed),
     ]
     try:
-        return Pipeline(stages=stages).fit(used)
+        return Pipeline(stages=stages).fit(used), bins
     finally:
         used.unpersist()

@@ -99,8 +99,12 @@ def precision_recall(df: DataFrame, label: str, prediction: str) -> DataFrame:
     )
 
 
+# Cost of a false negative and of a false positive.
+FN_COST, FP_COST = 10000.0, 20000.0
+
+
 def mistake_cost(
-    df: DataFrame, label: str, prediction: str, fn_cost: float = 10000.0, fp_cost: float = 20000.0
+    df: DataFrame, label: str, prediction: str, fn_cost: float = FN_COST, fp_cost: float = FP_COST
 ) -> DataFrame:
     """Cost of false negatives, of false positives, and their sum."""
     return (

@@ -32,6 +32,9 @@ SLICE = 1024
 def _points(column) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    sizes = np.unique(np.diff(column.offsets.to_numpy()))
+    if len(sizes) > 1:
+        raise ValueError(f"points of different lengths: {sizes.tolist()}")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
     return flat.reshape(len(column), -1)
 
@@ -164,7 +167,8 @@ def neighbours(train: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
     """``(qid, id, label, distance, rank)`` of the ``k`` nearest training points.
 
     ``train`` has ``id``, ``label`` (whole numbers) and ``x`` (array of doubles),
-    ``queries`` has ``qid`` and ``x``. Ties in distance go to the smaller id.
+    ``queries`` has ``qid`` and ``x``. Ties in distance go to the smaller id. Rows with
+    a null point are left out; points of different lengths are an error.
 
     Of copies of one point only the ``k`` smallest ids can be among the nearest, so
     the others are left out first; most of them before the shuffle.
@@ -172,10 +176,10 @@ def neighbours(train: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
     train = train.select(
         F.col("id").cast("long").alias("id"), F.col("label").cast("long").alias("label"),
         F.col("x").cast("array<double>").alias("x"),
-    )
+    ).filter("x is not null")
     queries = queries.select(
         F.col("qid").cast("long").alias("qid"), F.col("x").cast("array<double>").alias("x")
-    )
+    ).filter("x is not null")
     pivots = _pivots(train, train.count())
     cells = len(pivots)
     copies = Window.partitionBy("x").orderBy("id")

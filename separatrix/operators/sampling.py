@@ -32,21 +32,22 @@ def sample(df: DataFrame, key: str, fraction: float, seed) -> DataFrame:
 
 
 def balance_classes(df: DataFrame, key: str, label: str, seed) -> DataFrame:
-    """Undersample the larger of two classes to the size of the smaller one.
+    """Undersample every class to about the size of the smallest one.
 
-    The kept share of the larger class is ``n_min / n_max``. Only the class
-    counts are aggregated; the rows themselves are filtered where they are.
+    The kept share of a class is ``n_min / n_class``. Only the class counts are
+    aggregated; the rows themselves are filtered where they are. Rows without a
+    label are left out.
     """
-    counts = df.groupBy(label).agg(F.count("*").alias("n"))
-    # One structure, so that both figures come from one subquery.
+    counts = df.select(label).filter(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))
+    # One structure, so that all figures come from one subquery.
     sizes = counts.agg(
         F.struct(
-            F.expr(f"max_by({label}, struct(n, {label}))").alias("larger"),
-            (F.min("n").cast("double") / F.max("n")).alias("ratio"),
+            F.min("n").alias("least"),
+            F.map_from_entries(F.collect_list(F.struct(F.col(label), "n"))).alias("of"),
         )
     ).scalar()
-    kept = stable_uniform(key, seed) < sizes.getField("ratio")
-    return df.filter((F.col(label) != sizes.getField("larger")) | kept)
+    share = sizes.getField("least").cast("double") / F.element_at(sizes.getField("of"), F.col(label))
+    return df.filter(stable_uniform(key, seed) < share)
 
 
 def hash_rank(df: DataFrame, key: str, seed, *more, rank: str = "position") -> DataFrame:

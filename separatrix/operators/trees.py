@@ -17,6 +17,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from separatrix.storage import parallelism
 
+# Bucket of null values, after all others.
+LAST_BUCKET = 2**31 - 1
+
 
 def bucketed(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Add the quantile bucket of every feature as ``{feature}_bucket``."""
@@ -40,19 +43,19 @@ def _gini(n: Column, positive: Column) -> Column:
 def best_splits(df: DataFrame, features: Sequence[str], label: str, node: str) -> DataFrame:
     """``(node, before, impurity, feature, threshold)``: per node the split ``x <= threshold``
     with the lowest weighted Gini impurity, and the impurity without it; ties go to the first feature, then value.
+    Null values are on the right of every threshold, as in ``Tree.leaf``.
 
     ``df`` comes from ``bucketed``."""
     cells = [
         F.struct(
             F.lit(n).alias("feature"),
-            F.col(f"{f}_bucket").cast("int").alias("bucket"),
+            F.coalesce(F.col(f"{f}_bucket").cast("int"), F.lit(LAST_BUCKET)).alias("bucket"),
             F.col(f).cast("double").alias("value"),
         )
         for n, f in enumerate(features)
     ]
     counts = (
         df.select(node, (F.col(label) == 1).cast("long").alias("p"), F.inline(F.array(*cells)))
-        .filter(F.col("value").isNotNull())
         .groupBy(node, "feature", "bucket", "value")
         .agg(F.count("*").alias("n"), F.sum("p").alias("p"))
     )
@@ -92,7 +95,7 @@ def best_splits(df: DataFrame, features: Sequence[str], label: str, node: str) -
     best = F.min(F.struct(F.round("impurity", 10).alias("impurity"), "feature", "value", "before")).alias("b")
     names = F.array(*[F.lit(f) for f in features])
     return (
-        sums.filter(F.col("ln") < F.col("n"))
+        sums.filter((F.col("ln") < F.col("n")) & F.col("value").isNotNull())
         .withColumns({"impurity": impurity, "before": before})
         # The best of a bucket first: its rows are together and sorted already.
         .groupBy(node, "feature", "bucket")
@@ -130,8 +133,10 @@ def grow(df: DataFrame, features: Sequence[str], label: str, max_depth: int) ->
     """Grow a tree level by level; one job finds the splits of all nodes of a level."""
     tree = Tree({})
     doubles = [F.col(f).cast("double").alias(f) for f in features]
-    rows = bucketed(df.select(label, *doubles), features).persist(StorageLevel.MEMORY_AND_DISK)
+    # Stored before the quantiles are taken, so that the table is made once.
+    stored = df.select(label, *doubles).persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        rows = bucketed(stored, features)
         for depth in range(max_depth):
             level = rows.withColumn("node", tree.leaf()).filter(F.col("node") >= 2**depth)
             # A node of one class cannot improve: its best split has no lower impurity.
@@ -141,7 +146,7 @@ def grow(df: DataFrame, features: Sequence[str], label: str, max_depth: int) ->
             for r in found:
                 tree.splits[r["node"]] = (r["feature"], r["threshold"])
     finally:
-        rows.unpersist()
+        stored.unpersist()
     return tree
 
 

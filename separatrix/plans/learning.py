@@ -221,9 +221,11 @@ def partial_fit_weights(spark, folder):
 
 # --- logistic regression ----------------------------------------------------------
 
+# Penalties and step.
 PENALTIES = [0.0, 4.0, 10.0, 100.0, 1000.0, 100000.0]
 STEP = 5e-6
-ITERATIONS = 4
+# Enough for the second branch of the rule for log lines; SQL writes out every pass.
+ITERATIONS = 21
 
 
 def path_sql(body: str, penalties=PENALTIES, step=STEP, iterations=ITERATIONS, rows="split = 'train'",
@@ -359,6 +361,7 @@ def _history_sql() -> str:
         f"JOIN (SELECT l2, sum(CASE WHEN idx > 0 THEN value * value ELSE 0 END) AS sq FROM w_{t} GROUP BY l2) q USING (l2) "
         f"GROUP BY s.l2"
         for t in range(1, ITERATIONS + 1)
+        if t <= 16 or t % 10 == 1
     ]
     return path_sql(" UNION ALL ".join(lines), [0.0, 10.0], history=True)
 

@@ -199,3 +199,32 @@ def test_words_are_never_dropped(spark, monkeypatch):
     monkeypatch.setattr(estimators, "MOST_WORDS", 3)
     with pytest.raises(ValueError, match="more than 3 words"):
         estimators.word_logistic(df, "t", "y")
+
+
+def test_balance_of_three_classes(spark):
+    rows = [(i, 0 if i < 100 else 1 if i < 500 else 2) for i in range(1500)] + [(1500, None)]
+    df = spark.createDataFrame(rows, "id long, y int")
+    n = {r["y"]: r["count"] for r in sampling.balance_classes(df, "id", "y", 3).groupBy("y").count().collect()}
+    assert set(n) == {0, 1, 2} and n[0] == 100 and 70 < n[1] < 135 and 70 < n[2] < 135
+
+
+def test_splits_count_null_values_on_the_right(spark):
+    from separatrix.operators import trees
+
+    # Without the null rows x <= 1 would look perfect; with them, known values against nulls is best.
+    rows = [(1.0, -1)] * 4 + [(2.0, 1)] * 4 + [(None, -1)] * 8
+    df = spark.createDataFrame(rows, "x double, y int")
+    assert trees.grow(df, ["x"], "y", 1).splits == {1: ("x", 2.0)}
+    found = trees.best_splits(trees.bucketed(df.withColumn("node", F.lit(1)), ["x"]), ["x"], "y", "node").first()
+    assert (found["threshold"], found["impurity"], found["before"]) == (2.0, 0.25, 0.375)
+
+
+def test_points_of_different_lengths_are_an_error(spark):
+    from separatrix.operators import neighbours
+
+    train = spark.createDataFrame([(1, 0, [0.0, 1.0]), (2, 0, None), (3, 1, [5.0, 5.0])], "id long, label long, x array<double>")
+    queries = spark.createDataFrame([(1, [0.0, 0.0]), (2, None)], "qid long, x array<double>")
+    assert [(r["qid"], r["id"]) for r in neighbours.neighbours(train, queries, 1).collect()] == [(1, 1)]
+    ragged = spark.createDataFrame([(1, 0, [0.0, 1.0]), (2, 0, [0.0, 1.0, 2.0, 3.0])], "id long, label long, x array<double>").coalesce(1)
+    with pytest.raises(Exception, match="different lengths|inhomogeneous"):
+        neighbours.neighbours(ragged, queries, 1).collect()
