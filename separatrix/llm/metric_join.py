@@ -68,7 +68,7 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _split(points: DataFrame, large: DataFrame, settings: Settings) -> DataFrame:
+def _split(points: DataFrame, large: DataFrame, scratch: Scratch, turn: int, settings: Settings) -> DataFrame:
     """Points of large cells with ``sub`` and ``subhome``, a row for each cell they go to."""
     radius = math.sqrt(2 - 2 * settings.cosine) + 1e-9
     kind = dict(points.dtypes)["key"]
@@ -78,6 +78,7 @@ def _split(points: DataFrame, large: DataFrame, settings: Settings) -> DataFrame
     drawn = rows.filter(F.col("home") & (chance * F.col("homes") <= 4 * settings.pivots)).groupBy("cell").agg(
         F.slice(F.array_sort(F.collect_list(F.struct(chance.alias("c"), "key", "vector"))), 1, settings.pivots).alias("drawn"), F.first("n").alias("n")
     )
+    drawn = scratch.keep(drawn, f"pivots-{turn}")
     parts = F.ceil(F.col("n") / settings.portion).cast("int")
     pivots = drawn.select("cell", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.transform("drawn", lambda d: d["vector"]).alias("pivots"))
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("key"), parts).cast("int")).select("cell", "part", "key", "copies", "vector", "home")
@@ -117,7 +118,7 @@ def _cells(points: DataFrame, scratch: Scratch, settings: Settings) -> DataFrame
             done.append(open_points)
             break
         done.append(open_points.join(large, "cell", "left_anti"))
-        split = scratch.keep(_split(open_points, large, settings), f"split-{turn}")
+        split = scratch.keep(_split(open_points, large, scratch, turn, settings), f"split-{turn}")
         by_sub = split.groupBy("cell", "sub").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("subhome").cast("long")).alias("h"))
         work = by_sub.groupBy("cell").agg(F.sum(F.col("n") * F.col("h")).alias("work")).join(large, "cell")
         cheaper = scratch.keep(work.filter(F.col("work") <= settings.share * F.col("n") * F.col("homes")).select("cell"), f"cheaper-{turn}")
