@@ -93,12 +93,16 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", settings: Set
 
     rows = docs.select(text, lang).filter(F.col(text).isNotNull() & F.col(lang).isNotNull())
     sums = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    by_language = sums.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("counts"))
-    known = by_language.select("lang").count()
-    if known * size > MODEL_CELLS:
-        raise ValueError(f"{known} languages x {size} buckets exceed {MODEL_CELLS} cells; use fewer bits")
     languages, tables = [], []
-    for row in sorted(by_language.collect(), key=lambda r: r["lang"]):
+    sums.persist()
+    try:
+        known = sums.select("lang").distinct().count()
+        if known * size > MODEL_CELLS:
+            raise ValueError(f"{known} languages x {size} buckets exceed {MODEL_CELLS} cells; use fewer bits")
+        by_language = sums.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("counts")).collect()
+    finally:
+        sums.unpersist()
+    for row in sorted(by_language, key=lambda r: r["lang"]):
         counts = np.full(size, settings.smoothing)
         pairs = np.array(row["counts"], np.int64)
         counts[pairs[:, 0]] += pairs[:, 1]

@@ -14,5 +14,5 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     labels = table(spark, folder, "labels").select("doc_id", "toxic")
     held_out = fold(F.col("doc_id"), 5) == 0
-    model = toxicity.train(docs.join(labels.filter(~held_out), "doc_id"))
+    model = toxicity.train(docs, labels.filter(~held_out))
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")

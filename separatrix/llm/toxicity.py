@@ -19,6 +19,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, functions as F
 
+from separatrix.llm.scratch import Scratch
+
 # Plain English insults, and second-person words of four languages.
 INSULTS = (
     "clown", "coward", "creep", "disgusting", "dumb", "filth", "fool", "garbage", "idiot", "idiots", "imbecile", "jerk",
@@ -177,25 +179,31 @@ class Model:
     settings: Settings
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", settings: Settings = Settings()) -> Model:
-    """Fit on labelled rows, at most about ``most_rows`` of them (those with the least digests of the key).
+def train(
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", settings: Settings = Settings()
+) -> Model:
+    """Fit on rows of ``docs`` that ``labels`` (key and 0 or 1) marks, at most about ``most_rows`` of them.
 
-    Separate parts of the rows teach the lexicon, the trees and the calibration.
+    The labels with the least digests of the key are taken before texts are looked up, so
+    what is gathered stays bounded. Separate parts of the rows teach the lexicon, the trees
+    and the calibration. Other labels than 0 and 1 are left out.
     """
-    known = docs.select(key, text, label).filter(F.col(label).isin(0, 1))
-    digest = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(settings.seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    total = known.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("t")).first()
+    scratch = Scratch(docs.sparkSession)
+    known = labels.filter(F.col(label).isin(0, 1)).select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__label"))
+    total = known.agg(F.count(F.lit(1)).alias("n"), F.sum("__label").alias("t")).first()
     n, t = total["n"], total["t"] or 0
     prior = (t + 1) / (n + 2)
+    digest = F.pmod(F.xxhash64(F.col("__key").cast("string"), F.lit(settings.seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = min(1.0, settings.most_rows / max(1, n))
-    known = known.withColumn("__u", digest / F.lit(share)).filter("__u < 1")
-    lexicon = learn_lexicon(known.filter("__u < 0.45"), text, label, settings)
-    rows = with_features(known.filter("__u >= 0.45"), key, text, lexicon, settings, label, "__u")
-    rows = rows.select(F.col(label).cast("double").alias("label"), array_to_vector("features").alias("features"), "__u").persist()
+    taken = known.withColumn("__u", digest / F.lit(share)).filter("__u < 1")
+    texts = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+    taken = scratch.keep(texts.join(taken, "__key"), "labelled")
+    lexicon = learn_lexicon(taken.filter("__u < 0.45"), "__text", "__label", settings)
+    rows = with_features(taken.filter("__u >= 0.45"), "__key", "__text", lexicon, settings, "__label", "__u")
+    rows = rows.select(F.col("__label").cast("double").alias("label"), array_to_vector("features").alias("features"), "__u").persist()
     try:
         fit, held = rows.filter("__u < 0.8"), rows.filter("__u >= 0.8")
-        classes = {r["label"] for part in (fit, held) for r in part.select("label").distinct().collect()}
-        if fit.select("label").distinct().count() < 2 or held.isEmpty() or len(classes) < 2:
+        if fit.select("label").distinct().count() < 2 or held.isEmpty():
             return Model(lexicon, None, None, prior, settings)
         trees = GBTClassifier(
             labelCol="label", featuresCol="features", maxIter=settings.trees, maxDepth=settings.depth, stepSize=settings.step, seed=settings.seed
@@ -204,6 +212,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str =
         isotonic = IsotonicRegression(labelCol="label", featuresCol="raw", predictionCol="score").fit(raw)
     finally:
         rows.unpersist()
+        scratch.drop("labelled")
     return Model(lexicon, trees, isotonic, prior, settings)
 
 

@@ -25,7 +25,8 @@ def corpus(n):
 
 @pytest.fixture(scope="module")
 def model(spark):
-    return toxicity.train(spark.createDataFrame(corpus(700), "doc_id long, text string, toxic int"), settings=SMALL)
+    rows = spark.createDataFrame(corpus(700), "doc_id long, text string, toxic int")
+    return toxicity.train(rows.drop("toxic"), rows.drop("text"), settings=SMALL)
 
 
 def test_held_out_rows(spark, model):
@@ -58,7 +59,7 @@ def test_features():
 @pytest.mark.parametrize("labels", [[], [0, 0, 0, None], [1, 1]])
 def test_labels_of_one_class(spark, docs_of, labels):
     frame = spark.createDataFrame([(i, f"text {i}", y) for i, y in enumerate(labels)], "doc_id long, text string, toxic int")
-    model = toxicity.train(frame, settings=SMALL)
+    model = toxicity.train(frame.drop("toxic"), frame.drop("text"), settings=SMALL)
     known = [y for y in labels if y is not None]
     (row,) = toxicity.score(docs_of([(1, "a")]).drop("score"), model).collect()
     assert row["score"] == pytest.approx((sum(known) + 1) / (len(known) + 2))
