@@ -34,8 +34,10 @@ SECOND_PERSON = (
 # Signs that stand for letters in hidden spellings.
 STANDS_FOR = str.maketrans("013457@$!*", "oieastasii")
 
-WORD = re.compile(r"[^\W_](?:[^\W_]|[@$!*'](?=[^\W_]))*")
-HIDDEN = re.compile(r"[^\W\d_]+[\d@$!*]+[^\W\d_]+")
+WORD = re.compile(r"[^\W_]++(?:[@$!*'][^\W_]++)*+")
+# A word with signs or digits between its letters; possessive, so that long runs are passed once.
+HIDDEN = re.compile(r"(?<![\w@$!*])[\d@$!*]*+[^\W\d_]++(?:[\d@$!*]++[^\W\d_]++)++")
+CAPITAL_WORD = re.compile(r"(?<!\S)[A-Z][A-Z!?.,]++(?!\S)")
 REPEATED = re.compile(r"([!?.])\1+")
 
 FEATURES = (
@@ -61,7 +63,7 @@ class Settings:
 
 
 def words_of(text: str) -> list[str]:
-    return [w.casefold() for w in WORD.findall(text)]
+    return WORD.findall(text.casefold())
 
 
 def entries(word: str, prefixes: tuple[int, ...]) -> list[str]:
@@ -74,6 +76,9 @@ class Features:
         self.fixed, self.lexicon, self.prefixes = frozenset(INSULTS), lexicon, settings.prefixes
         self.second = frozenset(SECOND_PERSON)
         self.weights: dict[str, float] = {}
+        # 1 for marks, 2 for capitals, by code point; letters, digits and white space are 0.
+        points = map(chr, range(0x110000))
+        self.kinds = np.fromiter((2 if c.isupper() else not (c.isalnum() or c.isspace()) for c in points), np.uint8, 0x110000)
 
     def weight(self, word: str) -> float:
         """The largest weight of a word's entries; tasks remember words they have met."""
@@ -87,32 +92,30 @@ class Features:
     def of(self, text: str) -> list[float]:
         words, size = words_of(text), max(1, len(text))
         n = max(1, len(words))
-        plain = sum(w in self.fixed for w in words)
-        weights = [self.weight(w) for w in words]
-        learned = sum(w > 0 for w in weights)
-        persons = [i for i, w in enumerate(words) if w in self.second]
-        near, last = set(), -NEAR - 1
-        hits = [i for i, w in enumerate(words) if weights[i] > 0 or w in self.fixed]
-        for spots in (persons, [len(words) - 1 - i for i in reversed(persons)]):
-            # Forwards, then backwards: the nearest person before each hit.
-            back = spots is not persons
-            order = [len(words) - 1 - i for i in reversed(hits)] if back else hits
-            at = 0
-            last = -NEAR - 1
-            for h in order:
-                while at < len(spots) and spots[at] <= h:
-                    last = spots[at]
-                    at += 1
-                if h - last <= NEAR:
-                    near.add(len(words) - 1 - h if back else h)
+        # Distinct words first: most texts have no hit, and need no look at positions.
+        distinct = set(words)
+        plain = distinct & self.fixed
+        learned = {w: x for w in distinct if (x := self.weight(w)) > 0}
+        persons = distinct & self.second
+        times = {w: words.count(w) for w in plain | persons} if plain or persons else {}
+        times |= {w: words.count(w) for w in learned if w not in times}
+        n_plain, n_learned = sum(times[w] for w in plain), sum(times[w] for w in learned)
+        near = 0
+        if persons and (plain or learned):
+            at = np.flatnonzero(np.fromiter((w in persons for w in words), bool, len(words)))
+            hits = np.flatnonzero(np.fromiter((w in learned or w in plain for w in words), bool, len(words)))
+            after = np.searchsorted(at, hits)
+            to_next = at[np.minimum(after, len(at) - 1)] - hits
+            to_last = hits - at[np.maximum(after - 1, 0)]
+            near = int((np.minimum(np.abs(to_next), np.abs(to_last)) <= NEAR).sum())
         hidden = HIDDEN.findall(text)
         unhidden = [h.casefold().translate(STANDS_FOR) for h in hidden]
-        capitals = sum(map(str.isupper, text))
-        marks = sum(not (c.isalnum() or c.isspace()) for c in text)
+        kinds = np.bincount(self.kinds[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)], minlength=3)
         return [
-            plain / n, math.log1p(plain), learned / n, math.log1p(learned), max(weights, default=0.0), sum(weights) / n,
-            len(persons) / n, len(near) / n, capitals / size, sum(w.isupper() and len(w) > 1 for w in text.split()) / n,
-            text.count("!") / size, text.count("?") / size, len(REPEATED.findall(text)) / n, marks / size, len(hidden) / n,
+            n_plain / n, math.log1p(n_plain), n_learned / n, math.log1p(n_learned), max(learned.values(), default=0.0),
+            sum(times[w] * x for w, x in learned.items()) / n, sum(times[w] for w in persons) / n, near / n,
+            kinds[2] / size, len(CAPITAL_WORD.findall(text)) / n, text.count("!") / size, text.count("?") / size,
+            len(REPEATED.findall(text)) / n, kinds[1] / size, len(hidden) / n,
             sum(u in self.fixed or self.weight(u) > 0 for u in unhidden) / n, math.log1p(len(words)),
         ]
 

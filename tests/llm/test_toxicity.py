@@ -63,3 +63,9 @@ def test_labels_of_one_class(spark, docs_of, labels):
     known = [y for y in labels if y is not None]
     (row,) = toxicity.score(docs_of([(1, "a")]).drop("score"), model).collect()
     assert row["score"] == pytest.approx((sum(known) + 1) / (len(known) + 2))
+
+
+def test_hidden_spellings():
+    features = toxicity.Features({}, SMALL)
+    got = dict(zip(toxicity.FEATURES, features.of("1d10t m0r0n plain wrd5 " + "x" * 200_000 + "1"), strict=True))
+    assert got["hidden"] == 2 / 5 and got["hidden_hits"] == 2 / 5
