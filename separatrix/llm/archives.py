@@ -234,7 +234,7 @@ def convert(arc: DataFrame, place: str = "X-Place") -> DataFrame:
     names = [f.split(" ")[0] for f in CONVERTED.split(", ")]
     kinds = {"place": pa.int64(), "payload": pa.binary(), "payload_bytes": pa.int64()}
     arrow = pa.schema([(n, kinds.get(n, pa.string())) for n in names])
-    number = re.compile(rb"(?im)^" + re.escape(place.encode()) + rb":[ \t]*(\d{1,18})[ \t]*\r?$")
+    number = re.compile(rb"(?im)^" + re.escape(place.encode()) + rb":[ \t]*(-?\d{1,18})[ \t]*\r?$")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -25,7 +25,8 @@ FROM f
 @query("6", SQL)
 def op6_arc_to_warc(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select("page_id", "url", "html")
-    place = F.concat(F.lit("X-Place: "), F.col("page_id").cast("string"), F.lit("\r\n"))
+    # A page without an id has no such header and comes back without one.
+    place = F.coalesce(F.concat(F.lit("X-Place: "), F.col("page_id").cast("string"), F.lit("\r\n")), F.lit(""))
     block = archives.http_block(F.coalesce("html", F.lit("")), place)
     rows = pages.select("url", F.lit("0.0.0.0").alias("ip"), F.lit(DATE).alias("date"), F.lit("text/html").alias("mime"), block.alias("block"))
     old, new = fresh_path(spark, "arc"), fresh_path(spark, "warc")
@@ -33,8 +34,9 @@ def op6_arc_to_warc(spark: SparkSession, folder: str) -> DataFrame:
     archives.write_warc(archives.mark_revisits(archives.convert(archives.read_arc(spark, old))), new)
 
     back = archives.read_warc(spark, new)
-    headers, block = F.col("headers"), F.col("block").cast("string")
-    number = lambda name: F.regexp_extract(block, rf"(?i)\r\n{name}: (\d+)\r\n", 1).cast("long")
+    headers, http = F.col("headers"), F.concat(F.substring_index(F.col("block").cast("string"), "\r\n\r\n", 1), F.lit("\r\n"))
+    # Without a match there is no number.
+    number = lambda name: F.nullif(F.regexp_extract(http, rf"(?i)\r\n{name}: (-?\d+)\r\n", 1), F.lit("")).cast("long")
     return back.select(
         number("X-Place").alias("page_id"),
         number("Content-Length").alias("payload_bytes"),

@@ -37,18 +37,18 @@ def test_damaged_archives():
 
 def test_round_trip_of_pages(spark, tmp_path):
     same, small = "é" * 60, "s" * 99
-    pages = [(5, "http://a b/\n", same), (2, None, same), (9, "u", same + "\r\n\r\n"), (1, "u", small), (3, "u", small), (4, "u", None), (6, "u", ""), (7, "u", "x" * 300_000), (8, "u", "x" * 300_000)]
+    pages = [(5, "http://a b/\n", same), (2, None, same), (9, "u", same + "\r\n\r\n"), (1, "u", small), (3, "u", small), (4, "u", None), (6, "u", ""), (7, "u", "x" * 300_000), (8, "u", "x" * 300_000), (-3, "u", "x" * 300_000), (None, "u", "n\r\nX-Place: 5\r\n" + same)]
     frame = spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, block string")
     frame.write.parquet(f"{tmp_path}/pages.parquet")
     got = {r["page_id"]: r for r in op6_arc_to_warc(spark, str(tmp_path)).collect()}
     assert len(got) == len(pages)
     for page, _, html in pages:
         raw = (html or "").encode()
-        same_ones = [p for p, _, h in pages if (h or "") == (html or "")]
-        first = min(same_ones) if len(raw) >= 100 else page
+        same_ones = [p for p, _, h in pages if p is not None and (h or "") == (html or "")]
+        first = min(same_ones) if len(raw) >= 100 and page is not None else page
         r = got[page]
         assert (r["payload_bytes"], r["payload_digest"]) == (len(raw), hashlib.sha256(raw).hexdigest())
-        assert (r["record_type"], r["refers_to"]) == (("revisit", first) if first < page else ("response", None))
+        assert (r["record_type"], r["refers_to"]) == (("revisit", first) if page is not None and first < page else ("response", None))
     frame.limit(0).write.parquet(f"{tmp_path}/none/pages.parquet")
     assert op6_arc_to_warc(spark, f"{tmp_path}/none").count() == 0
 
