@@ -8,6 +8,7 @@ from separatrix.plans import (  # noqa: F401  (imported to register)
     quality,
     learning,
     inspection,
+    combined,
     streams,
 )
 
