@@ -21,6 +21,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from separatrix.functions.vectors import UNROLL_LIMIT, dot
 from separatrix.operators.tables import INTERCEPT
 
+# Most bytes of weights that travel to every task.
+MOST_BYTES = 1 << 30
 # Index under which the log likelihood travels with the gradient.
 LIKELIHOOD = -1
 
@@ -88,6 +90,7 @@ def fit_path(df: DataFrame, features: str, label: str, words: Sequence[str], ste
     """
     spark = df.sparkSession
     lams = np.array([float(p) for p in penalties])
+    _check_size(len(lams), len(words) + 1)
     if (2.0 * lams * step > 2.0).any():
         warnings.warn("2 * penalty * step exceeds 2: the iteration diverges", stacklevel=2)
     width = len(words) + 1
@@ -111,6 +114,11 @@ def fit_path(df: DataFrame, features: str, label: str, words: Sequence[str], ste
     return LogisticPath(list(words), lams.tolist(), w, figures)
 
 
+def _check_size(models: int, width: int) -> None:
+    if models * width * 8 > MOST_BYTES:
+        raise ValueError(f"{models} models of {width} weights exceed {MOST_BYTES} bytes; fit fewer penalties at a time")
+
+
 def _gradients(spark: SparkSession, rows: DataFrame, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     shared = spark.sparkContext.broadcast(w)
 
@@ -173,6 +181,7 @@ def with_margins(df: DataFrame, features: str, weights: dict[str, Sequence[float
     null scores, and a vector of another size than the weights is an error.
     """
     sizes = {len(w) - 1 for w in weights.values()}
+    _check_size(len(weights), max(sizes) + 1)
     if max(len(w) for w in weights.values()) <= UNROLL_LIMIT:
         # The conversion fails on nulls, so it sees an empty vector in their place.
         nothing = array_to_vector(F.array().cast("array<double>"))

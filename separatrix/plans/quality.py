@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from separatrix.functions.vectors import affine, link, sign_inclusive, sign_strict
+from separatrix.functions.vectors import affine, link, sign_strict
 from separatrix.operators import metrics, ranking, tables
 from separatrix.plans import fixtures as fx
 from separatrix.plans.registry import query, rounded, six
