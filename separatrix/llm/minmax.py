@@ -137,6 +137,28 @@ def confirm(pairs: DataFrame, elements: DataFrame, settings: Settings) -> DataFr
     return both.filter(near).filter(shared * settings.of >= union * settings.least).select("a", "b")
 
 
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set on the left with every set on the right."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    if not left or not right:
+        return out
+    rows = [np.repeat(np.arange(len(side)), [len(x) for x in side]) for side in (left, right)]
+    a, b = np.concatenate(left), np.concatenate(right)
+    # Only elements of both sides count; each becomes a column, a few thousand at a time.
+    known = np.intersect1d(a, b)
+    spots = [np.searchsorted(known, x) for x in (a, b)]
+    kept = [(s < len(known)) & (known[np.minimum(s, len(known) - 1)] == x) if len(known) else np.zeros(len(x), bool) for s, x in zip(spots, (a, b), strict=True)]
+    for start in range(0, len(known), 4096):
+        tables = []
+        for row, spot, keep, count in zip(rows, spots, kept, out.shape, strict=True):
+            here = keep & (spot >= start) & (spot < start + 4096)
+            table = np.zeros((count, min(4096, len(known) - start)), np.float32)
+            table[row[here], spot[here] - start] = 1.0
+            tables.append(table)
+        out += tables[0] @ tables[1].T
+    return out
+
+
 def _rest(shared: DataFrame, known: DataFrame, elements: DataFrame, settings: Settings) -> DataFrame:
     """Links within buckets between members that the first round left apart.
 
@@ -163,6 +185,12 @@ def _rest(shared: DataFrame, known: DataFrame, elements: DataFrame, settings: Se
     kind = dict(shared.dtypes)["key"]
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
+        asks = group["asks"].to_numpy(bool)
+        left, right = group[asks], group[~asks]
+        common = _common(list(left["elements"]), list(right["elements"]))
+        a, b = (side["elements"].map(len).to_numpy()[:, None] for side in (left, right))
+        near = common * settings.of >= (a + b.T - common) * settings.least
+        near &= left["component"].to_numpy()[:, None] != right["component"].to_numpy()[None, :]
         found, parent = [], {}
 
         def root(x):
@@ -170,19 +198,13 @@ def _rest(shared: DataFrame, known: DataFrame, elements: DataFrame, settings: Se
                 x = parent[x]
             return x
 
-        rows = [(k, c, np.sort(np.asarray(e))) for k, c, e in zip(group["key"], group["component"], group["elements"], strict=True)]
-        asks = group["asks"].to_numpy()
-        for n in np.flatnonzero(asks):
-            key, part, x = rows[n]
-            for m in np.flatnonzero(~asks):
-                other, its, y = rows[m]
-                small, large = sorted((len(x), len(y)))
-                if small * settings.of < large * settings.least or root(part) == root(its):
-                    continue
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                if common * settings.of >= (len(x) + len(y) - common) * settings.least:
-                    found.append((key, other))
-                    parent[root(part)] = root(its)
+        keys, others = left["key"].to_numpy(), right["key"].to_numpy()
+        mine, theirs = left["component"].to_numpy(), right["component"].to_numpy()
+        for n, m in zip(*np.nonzero(near), strict=True):
+            # One link between two components is enough.
+            if root(mine[n]) != root(theirs[m]):
+                parent[root(mine[n])] = root(theirs[m])
+                found.append((keys[n], others[m]))
         return pd.DataFrame(found, columns=["a", "b"])
 
     return groups.groupBy("bucket", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}")

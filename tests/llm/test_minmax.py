@@ -92,3 +92,10 @@ def test_components_of_long_paths(spark):
     for part in (order[:40], order[41:]):
         assert {got.get(n, n) for n in part} == {min(part)}
     assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark)).count() == 0
+
+
+def test_sizes_of_intersections():
+    rng = np.random.default_rng(2)
+    left, right = ([np.unique(rng.integers(0, 6000, n)) for n in sizes] for sizes in ((5, 4000, 90), (3000, 1, 60, 5000)))
+    assert minmax._common(left, right).tolist() == [[len(np.intersect1d(x, y)) for y in right] for x in left]
+    assert minmax._common(left, []).shape == (3, 0) and minmax._common([np.array([1])], [np.array([2])]).tolist() == [[0.0]]
