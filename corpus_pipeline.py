@@ -22,8 +22,9 @@ for module in pkgutil.iter_modules(queries.__path__):
 
 __all__ = ["ORACLE_SQL", "QUERIES", "STAGES", "run"]
 
-# Documents in which no language has this share are rejected, as are those without letters.
-LEAST_SHARE = 0.4
+# Documents in which no language has this share are rejected, as are those without letters. Texts
+# of fewer characters hold too few n-grams to be sure of that, and stay.
+LEAST_SHARE, SURE_FROM = 0.4, 500
 
 
 def _without(docs: DataFrame, judged: DataFrame) -> DataFrame:
@@ -34,7 +35,9 @@ def _without(docs: DataFrame, judged: DataFrame) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; the model learns from all that have a label."""
     judged = language_id.predict(docs, language_id.train(docs))
-    return judged.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+    named = F.col("lang_pred") != language_id.UNDETERMINED
+    mixed = (F.col("score") < LEAST_SHARE) & (F.length("text") >= SURE_FROM)
+    return judged.filter(named & ~mixed).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
