@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from separatrix.storage import materialize
 
 # Shortest and longest chunk in characters.
-SHORTEST, LONGEST = 512, 4096
-# A chunk ends after two such characters in sequence.
-ENDING = r"[adhlptx][bcefgiu\x20]"
+SHORTEST, LONGEST = 256, 4096
+# A chunk ends after three such characters in sequence, which are about one place in 200 of
+# Latin text. Text in other scripts is cut by length alone.
+ENDING = r"[ptx][ei\x20][cgkosw]"
 
 
 def chunks(text: Column, shortest: int = SHORTEST, longest: int = LONGEST) -> Column:

@@ -8,7 +8,7 @@ from llm_docs import docs_of  # noqa: F401
 from separatrix.llm import exact_dedup
 
 random.seed(2)
-LONG = " ".join(random.choices("the chapel had a plain bell and dark halls in every garden".split(), k=5000))
+LONG = " ".join(random.choices("the chapel had ten tickets and pictures of a plain bell in every garden hall by night".split(), k=5000))
 ROWS = [(5, "a"), (9, "a"), (7, "A"), (1, None), (2, ""), (3, LONG), (4, LONG), (6, LONG + "!"), (8, "x" * 20_000), (8, "x" * 20_000), (10, "x" * 20_001)]
 
 
@@ -36,7 +36,7 @@ def test_chunks_are_the_text_and_follow_content(docs_of):
     found = {r["doc_id"]: r["c"] for r in rows.collect()}
     assert "".join(found[1]) == LONG and "".join(found[2]) == "prefix " + LONG and found[3] == []
     assert [len(c) for c in found[4]] == [4096, 4096, 808]
-    assert all(512 <= len(c) <= 4096 for c in found[1][:-1]) and set(found[1]) & set(found[2])
+    assert all(256 <= len(c) <= 4096 for c in found[1][:-1]) and set(found[1]) & set(found[2])
 
 
 def test_missing_keys_and_no_rows(docs_of):
