@@ -32,13 +32,16 @@ class Tokenizer:
     """Ids of a byte-level BPE vocabulary in the JSON format of the tokenizers library.
 
     The merges of such a file are in the order of ranks, which is all that the faster
-    tiktoken needs to give the same ids. Special tokens' strings are ordinary text.
+    tiktoken needs to give the same ids. ``encode_special_tokens`` is the library's setting
+    of that name: if true, the strings of added tokens are ordinary text; if false, which is
+    the library's default, each is found in a text and gets its own id.
     """
 
-    def __init__(self, vocabulary: bytes, pattern: str):
+    def __init__(self, vocabulary: bytes, pattern: str, encode_special_tokens: bool = True):
         import tiktoken
 
-        model = json.loads(vocabulary)["model"]
+        file = json.loads(vocabulary)
+        model = file["model"]
         # The format writes bytes as printable characters: these stand for themselves, the rest follow from 256 on.
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         others = [b for b in range(256) if b not in set(plain)]
@@ -52,11 +55,18 @@ class Tokenizer:
             ids[bytes(byte[c] for c in token)] = model["vocab"][token]
         # Ranks must grow with the place in the list of merges; ids need not.
         tokens = list(dict.fromkeys([bytes([b]) for b in sorted(letters, key=letters.get)])) + [t for t in ids if len(t) > 1]
-        self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={t: n for n, t in enumerate(tokens)}, special_tokens={})
-        self.ids = np.array([ids[t] for t in tokens], np.uint32)
+        added = {} if encode_special_tokens else {a["content"]: a for a in file.get("added_tokens", [])}
+        if any(a.get(flag) for a in added.values() for flag in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that look at their surroundings are not supported")
+        if any(a != b and b.startswith(a) for a in added for b in added):
+            raise ValueError("added tokens that begin with another one are not supported")
+        self.encoding = tiktoken.Encoding(
+            "own", pat_str=pattern, mergeable_ranks={t: n for n, t in enumerate(tokens)}, special_tokens={t: len(tokens) + n for n, t in enumerate(added)}
+        )
+        self.ids = np.array([*(ids[t] for t in tokens), *(a["id"] for a in added.values())], np.uint32)
 
     def encode(self, text: str) -> np.ndarray:
-        return self.ids[self.encoding.encode_to_numpy(text, disallowed_special=())]
+        return self.ids[self.encoding.encode_to_numpy(text, allowed_special="all", disallowed_special=())]
 
 
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:
@@ -68,12 +78,13 @@ def cut(length: int, capacity: int) -> list[tuple[int, int]]:
 
 def pieces(
     docs: DataFrame, vocabulary: bytes, pattern: str, key: str = "doc_id", text: str = "text", end: int = 0, capacity: int = CAPACITY,
-    keep_ids: bool = True,
+    keep_ids: bool = True, encode_special_tokens: bool = True,
 ) -> DataFrame:
     """``key, piece, start, length, ids_crc32`` and, if kept, ``ids`` of each piece.
 
     A document is its text's ids and the id ``end``; a null text has ``end`` only. The
-    checksum is over little-endian unsigned 32-bit ids. Texts are tokenized whole.
+    checksum is over little-endian unsigned 32-bit ids. Texts are tokenized whole; for
+    ``encode_special_tokens`` see ``Tokenizer``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     kind = dict(docs.dtypes)[key]
@@ -86,7 +97,7 @@ def pieces(
         return pa.RecordBatch.from_arrays([keys.take(pa.array(whose)), *numbers, *lists], names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Tokenizer(shared.value, pattern)
+        tokenizer = Tokenizer(shared.value, pattern, encode_special_tokens)
         for batch in batches:
             rows, held = [], 0
             for n, content in enumerate(batch.column(1)):

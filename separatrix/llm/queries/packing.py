@@ -15,7 +15,7 @@ def vocabulary() -> bytes:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    cut_up = packing.pieces(docs, vocabulary(), public_tokenizers.PATTERN, keep_ids=False)
+    cut_up = packing.pieces(docs, vocabulary(), public_tokenizers.PATTERN, keep_ids=False, encode_special_tokens=False)
     return packing.pack(cut_up)
 
 

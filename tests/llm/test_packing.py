@@ -1,4 +1,5 @@
 import itertools
+import json
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ from tokenizers import Tokenizer
 from conftest import DATA
 from llm_docs import docs_of  # noqa: F401
 from separatrix.llm import packing
-from separatrix.llm.queries.packing import op2_best_fit_packing, vocabulary
+from separatrix.llm.queries.packing import op2_best_fit_packing, packed, vocabulary
 
 
 def library():
@@ -119,3 +120,25 @@ def test_query_is_as_good_as_the_bound(spark):
 def test_vocabulary_without_single_bytes_is_an_error():
     with pytest.raises(ValueError, match="single bytes"):
         packing.Tokenizer(b'{"model": {"vocab": {"a": 0}, "merges": []}}', public_tokenizers.PATTERN)
+
+
+def test_added_tokens_have_their_own_ids_as_in_the_library(docs_of):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    mark = "<|endoftext|>"
+    texts = dict(enumerate([f"a {mark} b", mark, mark * 3, f"x  {mark}  y", f"{mark}\n\n 12", f"<{mark}>", "<|endoftext|", f"it's {mark}'s", f"{mark} läuft 日本 " * 700]))
+    for i, text in texts.items():
+        own = packing.Tokenizer(vocabulary(), public_tokenizers.PATTERN, encode_special_tokens=False).encode(text)
+        assert own.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, i
+    want = {i: np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4") for i, t in texts.items()}
+    got = packed(docs_of(list(texts.items()))).collect()
+    assert sum(r["length"] for r in got) == sum(map(len, want.values()))
+    for r in got:
+        part = want[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert len(part) == r["length"] and r["ids_crc32"] == zlib.crc32(part.tobytes())
+
+
+@pytest.mark.parametrize("added", [[{"id": 9, "content": "<x>", "lstrip": True}], [{"id": 8, "content": "<x"}, {"id": 9, "content": "<x>"}]])
+def test_added_tokens_that_tiktoken_cannot_find_are_an_error(added):
+    file = json.dumps(json.loads(vocabulary()) | {"added_tokens": added}).encode()
+    with pytest.raises(ValueError, match="added tokens"):
+        packing.Tokenizer(file, public_tokenizers.PATTERN, encode_special_tokens=False)
