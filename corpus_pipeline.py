@@ -22,10 +22,6 @@ for module in pkgutil.iter_modules(queries.__path__):
 
 __all__ = ["ORACLE_SQL", "QUERIES", "STAGES", "run"]
 
-# Documents in which no language has this share are rejected, as are those without letters. Texts
-# of fewer characters hold too few n-grams to be sure of that, and stay.
-LEAST_SHARE, SURE_FROM = 0.4, 500
-
 
 def _without(docs: DataFrame, judged: DataFrame) -> DataFrame:
     """``docs`` but for the rows that are not kept. The list of those may be long or short: Spark picks the join."""
@@ -33,11 +29,13 @@ def _without(docs: DataFrame, judged: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; the model learns from all that have a label."""
+    """Documents with a language, or a mixture of several; the model learns from all that have a label.
+
+    Only what the operator calls undetermined goes. The share of the first language says
+    nothing against a text: parallel texts, and languages without a label, spread over several.
+    """
     judged = language_id.predict(docs, language_id.train(docs))
-    named = F.col("lang_pred") != language_id.UNDETERMINED
-    mixed = (F.col("score") < LEAST_SHARE) & (F.length("text") >= SURE_FROM)
-    return judged.filter(named & ~mixed).select(*docs.columns)
+    return judged.filter(F.col("lang_pred") != language_id.UNDETERMINED).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

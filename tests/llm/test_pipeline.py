@@ -2,8 +2,10 @@ import itertools
 import re
 
 import corpus_pipeline
+import numpy as np
 from conftest import DATA
 from llm_docs import docs_of  # noqa: F401
+from separatrix.llm import language_id
 from test_minmax import brute_force
 from test_secret_scan import expected
 
@@ -48,3 +50,23 @@ def test_awkward_documents(spark, docs_of):
     got = sorted(r["doc_id"] or 0 for r in docs.collect())
     # Texts without letters go; of equal texts the largest key stays; a row without a key cannot be named and stays.
     assert got == [0, 5, 6]
+
+
+def test_long_mixtures_and_unlearned_languages_stay(spark, docs_of):
+    rng = np.random.default_rng(0)
+
+    def words(letters, n):
+        return " ".join("".join(rng.choice(list(letters), rng.integers(3, 8))) for _ in range(n))
+
+    own = {"aa": "abcdef", "bb": "ghijkl", "cc": "mnopqr", "dd": "stuvwx"}
+    learned = [(i, words(letters, 400), lang) for i, (lang, letters) in enumerate(own.items())]
+    three = " ".join(words(own[lang], 60) for lang in ("aa", "bb", "cc"))
+    # Runs of letters as in all four languages in turn, as a language without a label may have them.
+    unlearned = " ".join(words(letters, 1) for _ in range(60) for letters in own.values())
+    foreign = words("абвгдежз", 120)
+    rows = [*learned, (10, three, None), (11, unlearned, None), (12, foreign, None), (13, "12 34 " * 200, None)]
+    docs = docs_of([r[:2] for r in rows]).join(spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, lang string"), "doc_id")
+    judged = language_id.predict(docs, language_id.train(docs)).filter("doc_id in (10, 11)").collect()
+    assert len(judged) == 2 and all(r["score"] < 0.4 and len(r["text"]) >= 500 for r in judged)
+    got = corpus_pipeline.language(spark, docs, DATA).collect()
+    assert sorted(r["doc_id"] for r in got) == [0, 1, 2, 3, 10, 11, 12]
