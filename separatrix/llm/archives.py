@@ -81,18 +81,19 @@ def _text(raw: bytes) -> str:
 def parse_arc(data: bytes) -> Iterator[dict]:
     """Records of one ARC file, cut by declared lengths.
 
-    The version is that of the latest ``filedesc`` block, else it is told by the number of
-    fields. A header line that fits neither form ends the file with a ``problem`` record, as
+    The version is that of a ``filedesc`` block at the start of the file, else it is told by
+    the number of fields; later on such a url is that of a page. A header line that fits neither form ends the file with a ``problem`` record, as
     nothing after it can be placed; so does a block shorter than declared, which is kept.
     """
-    source, version = _Bytes(data), 0
+    source, version, opening = _Bytes(data), 0, True
     while (head := source.line()) is not None:
         head = head.rstrip(b"\r")
         if not head:
             continue
+        describes, opening = opening and head.startswith(b"filedesc://"), False
         fields = _text(head).split(" ")
         names = {1: VERSION_1, 2: VERSION_2}.get(version) or {5: VERSION_1, 10: VERSION_2}.get(len(fields), ())
-        if head.startswith(b"filedesc://"):
+        if describes:
             names = VERSION_1 if len(fields) == len(VERSION_1) else VERSION_2
         if len(fields) != len(names) or not fields[-1].isdigit():
             yield {"version": version, "problem": "header line: " + _text(head[:200])}
@@ -100,7 +101,7 @@ def parse_arc(data: bytes) -> Iterator[dict]:
         record = dict(zip(names, fields, strict=True))
         length = int(record["length"])
         block = source.take(length)
-        if head.startswith(b"filedesc://"):
+        if describes:
             first = block.split(b"\n", 1)[0].split(b" ")[0]
             version = int(first) if first in (b"1", b"2") else 0
             continue
@@ -171,6 +172,12 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, parse_warc, WARC_SCHEMA)
 
 
+def sound(records: DataFrame) -> DataFrame:
+    """``records`` as they are; one with a ``problem`` ends the job, as rows may be missing after it."""
+    fail = F.raise_error(F.concat(F.col("path"), F.lit(": "), F.col("problem"))).cast("boolean")
+    return records.filter(F.when(F.col("problem").isNull(), F.lit(True)).otherwise(fail))
+
+
 def _safe(field: Column) -> Column:
     """A header field without white space or control characters; '-' if there is nothing."""
     text = F.regexp_replace(F.coalesce(field, F.lit("")), r"[\x00-\x20\x7F]", "%20")
@@ -190,15 +197,26 @@ def http_block(payload: Column, extra: Column) -> Column:
 
 
 def write_arc(rows: DataFrame, path: str, version: int = 1, records: int = 1000) -> None:
-    """Write ``url, ip, date, mime, block`` (strings) as gzip ARC files of at most ``records`` records."""
+    """Write ``url, ip, date, mime, block`` (strings) as gzip ARC files of at most ``records`` records.
+
+    Each file begins with a version block.
+    """
     block = F.coalesce(F.col("block"), F.lit(""))
     length = F.octet_length(block).cast("string")
     fields = [_safe(F.col(c)) for c in ("url", "ip", "date", "mime")]
+    names = ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"]
+    rest: list[Column] = []
     if version == 2:
         # Result code, checksum, location, offset and file name are not known before writing.
-        fields += [F.lit("200"), *[F.lit("-")] * 2, F.lit("0"), F.lit("-")]
-    line = F.concat_ws(" ", *fields, length)
-    _write(rows.select(F.concat(line, F.lit("\n"), block).alias("value")), path, "\n", records)
+        rest = [F.lit("200"), *[F.lit("-")] * 2, F.lit("0"), F.lit("-")]
+        names[4:4] = ["Result-code", "Checksum", "Location", "Offset", "Filename"]
+    line = F.concat_ws(" ", *fields, *rest, length)
+    about = f"{version} 0 separatrix\n{' '.join(names)}\n"
+    opening = F.concat_ws(" ", F.lit("filedesc://separatrix.arc 0.0.0.0"), fields[2], F.lit("text/plain"), *rest, F.lit(f"{len(about)}\n{about}\n"))
+    # The low 33 bits count a partition's rows as the writer does, which begins a file after so many.
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) % records == 0
+    head = F.concat(F.when(first, opening).otherwise(F.lit("")), line)
+    _write(rows.select(F.concat(head, F.lit("\n"), block).alias("value")), path, "\n", records)
 
 
 def _write(lines: DataFrame, path: str, separator: str, records: int) -> None:

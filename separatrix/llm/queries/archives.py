@@ -31,9 +31,9 @@ def op6_arc_to_warc(spark: SparkSession, folder: str) -> DataFrame:
     rows = pages.select("url", F.lit("0.0.0.0").alias("ip"), F.lit(DATE).alias("date"), F.lit("text/html").alias("mime"), block.alias("block"))
     old, new = fresh_path(spark, "arc"), fresh_path(spark, "warc")
     archives.write_arc(rows, old)
-    archives.write_warc(archives.mark_revisits(archives.convert(archives.read_arc(spark, old))), new)
+    archives.write_warc(archives.mark_revisits(archives.convert(archives.sound(archives.read_arc(spark, old)))), new)
 
-    back = archives.read_warc(spark, new)
+    back = archives.sound(archives.read_warc(spark, new))
     headers, http = F.col("headers"), F.concat(F.substring_index(F.col("block").cast("string"), "\r\n\r\n", 1), F.lit("\r\n"))
     # Without a match there is no number.
     number = lambda name: F.nullif(F.regexp_extract(http, rf"(?i)\r\n{name}: (-?\d+)\r\n", 1), F.lit("")).cast("long")

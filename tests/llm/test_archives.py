@@ -1,6 +1,8 @@
+import glob
 import gzip
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from separatrix.llm import archives
@@ -65,3 +67,24 @@ def test_converted_fields(spark, tmp_path):
     back = archives.read_warc(spark, str(tmp_path / "out")).withColumn("id", F.col("headers")["WARC-Record-ID"]).collect()
     assert {r["id"] for r in back} == {r["record_id"] for r in rows.values()} and all(r["problem"] is None for r in back)
     assert {bytes(r["block"])[-3:] for r in back} == {b"ppp", b"abc"}
+
+
+def test_urls_like_version_blocks_and_a_version_block_in_each_file(spark, tmp_path):
+    pages = [(i, f"filedesc://{i} x", f"page {i}") for i in range(7)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    frame.write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted(r["page_id"] for r in op6_arc_to_warc(spark, str(tmp_path)).collect()) == list(range(7))
+    rows = frame.select("url", F.lit("1.1.1.1").alias("ip"), F.lit("2001").alias("date"), F.lit("text/html").alias("mime"), F.col("html").alias("block"))
+    for version in (1, 2):
+        archives.write_arc(rows, f"{tmp_path}/arc{version}", version, 3)
+        files = [gzip.open(f).read() for f in glob.glob(f"{tmp_path}/arc{version}/*.gz")]
+        assert len(files) == 3 and all(f.startswith(b"filedesc://separatrix.arc ") and f.split(b"\n")[1].startswith(b"%d 0 " % version) for f in files)
+        back = archives.sound(archives.read_arc(spark, f"{tmp_path}/arc{version}")).collect()
+        assert sorted((r["url"], bytes(r["block"]).decode(), r["version"]) for r in back) == [(f"filedesc://{i}%20x", f"page {i}", version) for i in range(7)]
+
+
+def test_query_fails_on_an_unreadable_file(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    monkeypatch.setattr(archives, "write_arc", lambda rows, path: rows.select(F.lit("what is this").alias("value")).write.text(path))
+    with pytest.raises(Exception, match="header line: what is this"):
+        op6_arc_to_warc(spark, str(tmp_path)).collect()
