@@ -39,12 +39,12 @@ class Settings:
     """``most_rows`` bounds the labelled rows that the model is fitted on, by a digest of the key."""
 
     most_rows: int = 20_000
-    word_bits: int = 14  # words are hashed to 2 ** word_bits features
+    word_bits: int = 13  # words are hashed to 2 ** word_bits features
     shape_bits: int = 8
-    factors: int = 6
+    factors: int = 4
     rounds: int = 60
-    step: float = 0.05
-    penalty: float = 1e-4
+    step: float = 0.1
+    penalty: float = 1e-3
     seed: int = 11
 
 
