@@ -31,6 +31,8 @@ BORDERS = np.array([0.0005, 0.002, 0.01, 0.03, 0.06, 0.1, 0.15, 0.2, 0.3, 0.4, 0
 # Sizes and numeric metadata fall into classes by their logarithm to base 2.
 SIZES = ("words", "lines", "word_length")
 CLASSES = 32
+# Words that a task remembers, so that it works them out once.
+KNOWN = 100_000
 SHAPE = re.compile(r"(a)a+|(A)A+|(0)0+|([^aA0])\4+")
 
 
@@ -78,26 +80,30 @@ class Features:
         return (
             digest & (self.shapes_at - 1) if plain else -1,
             self.shapes_at + (self.digest(shape.encode("utf-8", "surrogatepass"), self.settings.seed) & ((1 << self.settings.shape_bits) - 1)),
-            [float(f) for f in flags] + [letters, sum(not c.isalnum() for c in word)],
+            sum(1 << i for i, flag in enumerate(flags) if flag),
+            letters,
+            sum(not c.isalnum() for c in word),
         )
 
     def of(self, text: str, numbers: list[float | None]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of features, sorted and without repeats, and their values."""
         words = text.split()
         n, counts = max(1, len(words)), Counter(words)
-        if len(self.known) > 500_000:
-            self.known.clear()
         infos = []
         for word in counts:
             if (info := self.known.get(word)) is None:
-                info = self.known[word] = self._word(word)
+                if len(self.known) >= KNOWN:
+                    self.known.clear()
+                info = self._word(word)
+                if len(word) < 64:
+                    self.known[word] = info
             infos.append(info)
         often = np.fromiter(counts.values(), np.float64, len(counts))
         parts = []
         sums = np.zeros(8)
         if infos:
-            places = np.array([(i[0], i[1]) for i in infos], np.int64)
-            sums = often @ np.array([i[2] for i in infos])
+            places = np.array(infos, np.int64)
+            sums = often @ np.column_stack(((places[:, 2:3] >> np.arange(6)) & 1, places[:, 3:]))
             # Words by the logarithm of their count, shapes by their share; both of length 1.
             for at, weight in ((places[:, 0], np.log1p(often)), (places[:, 1], often)):
                 at, weight = at[at >= 0], weight[at >= 0]
@@ -165,11 +171,13 @@ def train(
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(places, settings)
-        for batch in batches:
-            numbers = zip(*(batch.column(1 + i).to_pylist() for i in range(places)), strict=True) if places else [()] * batch.num_rows
-            found = [features.of(t.as_py() or "", list(x)) for t, x in zip(batch.column(0), numbers, strict=True)]
-            lists = [pa.array([f[i] for f in found], kind) for i, kind in ((0, pa.list_(pa.int64())), (1, pa.list_(pa.float64())))]
-            yield pa.RecordBatch.from_arrays([batch.column(1 + places), *lists], ["label", "at", "values"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, 500):
+                batch = whole.slice(start, 500)
+                numbers = zip(*(batch.column(1 + i).to_pylist() for i in range(places)), strict=True) if places else [()] * batch.num_rows
+                found = [features.of(t.as_py() or "", list(x)) for t, x in zip(batch.column(0), numbers, strict=True)]
+                lists = [pa.array([f[i] for f in found], kind) for i, kind in ((0, pa.list_(pa.int64())), (1, pa.list_(pa.float64())))]
+                yield pa.RecordBatch.from_arrays([batch.column(1 + places), *lists], ["label", "at", "values"])
 
     # Only the bounded sample goes through row by row; scoring does not.
     vector = F.udf(lambda at, values: Vectors.sparse(size, sorted(zip(at, values, strict=True))), VectorUDT())
