@@ -25,15 +25,15 @@ from separatrix.llm.scratch import Scratch
 # Shares of words, characters or lines; each falls into a class between these borders.
 SHARES = (
     "capital_words", "symbol_ends", "no_letters", "with_digits", "short_words", "long_words", "same_as_last", "repeated_words", "commonest",
-    "repeated_lines", "short_lines", "marks", "spaces", "letters",
+    "repeated_lines", "short_lines", "capitals", "marks", "spaces", "letters",
 )
 BORDERS = np.array([0.0005, 0.002, 0.01, 0.03, 0.06, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.65, 0.8, 0.95])
 # Sizes and numeric metadata fall into classes by their logarithm to base 2.
 SIZES = ("words", "lines", "word_length")
 CLASSES = 32
-# Words that a task remembers, so that it works them out once.
-KNOWN = 100_000
-SHAPE = re.compile(r"(a)a+|(A)A+|(0)0+|([^aA0])\4+")
+WORD = re.compile(r"[^\W_]+")
+# Marks that often end a word of plain prose.
+PLAIN_ENDS = frozenset(".,;:!?\"')]")
 
 
 @dataclass(frozen=True)
@@ -50,79 +50,78 @@ class Settings:
     seed: int = 11
 
 
+def _classes_of_characters() -> np.ndarray:
+    """A, a, 0 and white space stand for their kind; other ASCII characters for themselves, the rest is one mark."""
+    kinds = ("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else " " if c.isspace() else c if c < "\x80" else "?" for c in map(chr, range(0x110000)))
+    return np.fromiter(map(ord, kinds), np.uint8, 0x110000)
+
+
+def _size_class(x: float | None, finer: int = 1) -> int:
+    return CLASSES - 1 if x is None or not math.isfinite(x) else min(CLASSES - 2, int(finer * math.log2(1 + abs(x))))
+
+
 class Features:
-    """Numbers and values of a text's features: words, shapes of words, structure, metadata."""
+    """Numbers and values of a text's features: words, shapes of words, structure, metadata.
+
+    A shape is a word with each run of one kind of character as one sign, such as ``Aa,``.
+    """
 
     def __init__(self, metadata: int, settings: Settings):
         from xxhash import xxh3_64_intdigest
 
         self.digest, self.settings, self.metadata = xxh3_64_intdigest, settings, metadata
+        self.kinds = _classes_of_characters()
         self.shapes_at = 1 << settings.word_bits
         self.structure_at = self.shapes_at + (1 << settings.shape_bits)
         self.size = self.structure_at + CLASSES * (len(SHARES) + len(SIZES) + metadata)
-        self.known: dict[str, tuple] = {}
-
-    def _word(self, word: str) -> tuple:
-        """Features of a word and its shape, and what it adds to the structure."""
-        plain = "".join(c for c in word.lower() if c.isalnum())
-        letters = sum(c.isalpha() for c in word)
-        shape = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
-        shape = SHAPE.sub(lambda m: next(g for g in m.groups() if g), shape)
-        digest = self.digest(plain.encode("utf-8", "surrogatepass"), self.settings.seed)
-        flags = (
-            letters > 1 and word.upper() == word,
-            letters > 0 and len(word) > 1 and not word[-1].isalnum() and word[-1] not in ".,;:!?\"')]",
-            not letters,
-            any(c.isdigit() for c in word),
-            len(word) < 3,
-            len(word) > 15,
-        )
-        return (
-            digest & (self.shapes_at - 1) if plain else -1,
-            self.shapes_at + (self.digest(shape.encode("utf-8", "surrogatepass"), self.settings.seed) & ((1 << self.settings.shape_bits) - 1)),
-            sum(1 << i for i, flag in enumerate(flags) if flag),
-            letters,
-            sum(not c.isalnum() for c in word),
-        )
+
+    def _hashed(self, counts: Counter, bits: int, at: int, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct features of hashed keys, and their weights scaled to length 1."""
+        seed, mask = self.settings.seed, (1 << bits) - 1
+        places = np.fromiter((self.digest(key, seed) & mask for key in counts), np.int64, len(counts))
+        where, group = np.unique(places, return_inverse=True)
+        value = np.bincount(group, weights=weights)
+        return at + where, value / math.sqrt(float(value @ value))
 
     def of(self, text: str, numbers: list[float | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of features, sorted and without repeats, and their values."""
-        words = text.split()
-        n, counts = max(1, len(words)), Counter(words)
-        infos = []
-        for word in counts:
-            if (info := self.known.get(word)) is None:
-                if len(self.known) >= KNOWN:
-                    self.known.clear()
-                info = self._word(word)
-                if len(word) < 64:
-                    self.known[word] = info
-            infos.append(info)
-        often = np.fromiter(counts.values(), np.float64, len(counts))
+        """Numbers of features without repeats, and their values."""
+        kinds = self.kinds[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+        amounts = np.bincount(kinds, minlength=256)
+        size = max(1, len(kinds))
+        lengths = np.diff(np.flatnonzero(np.concatenate(([True], kinds == 32, [True])))) - 1
+        lengths = lengths[lengths > 0]
+        n = max(1, len(lengths))
+        fresh = np.ones(len(kinds), bool)
+        fresh[1:] = kinds[1:] != kinds[:-1]
+        shapes = Counter(kinds[fresh].tobytes().decode("latin-1").split(" "))
+        shapes.pop("", None)
+        words = WORD.findall(text.lower())
+        counts, m = Counter(words), max(1, len(words))
+        often, shaped = np.fromiter(counts.values(), np.float64, len(counts)), np.fromiter(shapes.values(), np.float64, len(shapes))
         parts = []
-        sums = np.zeros(8)
-        if infos:
-            places = np.array(infos, np.int64)
-            sums = often @ np.column_stack(((places[:, 2:3] >> np.arange(6)) & 1, places[:, 3:]))
-            # Words by the logarithm of their count, shapes by their share; both of length 1.
-            for at, weight in ((places[:, 0], np.log1p(often)), (places[:, 1], often)):
-                at, weight = at[at >= 0], weight[at >= 0]
-                if len(at):
-                    where, group = np.unique(at, return_inverse=True)
-                    value = np.bincount(group, weights=weight)
-                    parts.append((where, value / math.sqrt(float(value @ value))))
+        if counts:
+            parts.append(self._hashed(counts, self.settings.word_bits, 0, np.log1p(often)))
+        if shapes:
+            parts.append(self._hashed(shapes, self.settings.shape_bits, self.shapes_at, shaped))
+        of_shapes = (
+            lambda s: "A" in s and "a" not in s,
+            lambda s: ("a" in s or "A" in s) and s[-1] not in "aA0" and s[-1] not in PLAIN_ENDS,
+            lambda s: "a" not in s and "A" not in s,
+            lambda s: "0" in s,
+        )
         lines = [line for line in text.split("\n") if line.strip()]
-        m, size = max(1, len(lines)), max(1, len(text))
+        k = max(1, len(lines))
+        letters = int(amounts[65] + amounts[97])
         shares = [
-            *(sums[:6] / n), sum(map(eq, words, words[1:])) / n, 1 - len(counts) / n, often.max(initial=0.0) / n,
-            1 - len(set(lines)) / m, sum(len(line) < 30 for line in lines) / m, sums[7] / size, 1 - sum(map(len, words)) / size, sums[6] / size,
+            *(sum(c for s, c in shapes.items() if has(s)) / n for has in of_shapes), int((lengths < 3).sum()) / n, int((lengths > 15).sum()) / n,
+            sum(map(eq, words, words[1:])) / m, 1 - len(counts) / m, float(often.max(initial=0.0)) / m, 1 - len(set(lines)) / k,
+            sum(len(line) < 30 for line in lines) / k, int(amounts[65]) / max(1, letters),
+            int(len(kinds) - letters - amounts[48] - amounts[32]) / size, int(amounts[32]) / size, letters / size,
         ]
-        sizes = [float(len(words)), float(len(lines)), 4.0 * sum(map(len, words)) / n]
-        classes = [int(np.searchsorted(BORDERS, s)) for s in shares]
-        classes += [min(CLASSES - 2, int(math.log2(1 + abs(x)) * (1 if i < 2 else 3))) if x is not None and math.isfinite(x) else CLASSES - 1 for i, x in enumerate(sizes)]
-        classes += [min(CLASSES - 2, int(math.log2(1 + abs(x)))) if x is not None and math.isfinite(x) else CLASSES - 1 for x in numbers]
-        where = self.structure_at + CLASSES * np.arange(len(classes)) + np.array(classes)
-        parts.append((where, np.full(len(where), 1 / math.sqrt(len(where)))))
+        classes = [int(c) for c in np.searchsorted(BORDERS, shares)]
+        classes += [_size_class(len(words)), _size_class(len(lines)), _size_class(4 * int(lengths.sum()) / n, 3)]
+        classes += [_size_class(x) for x in numbers]
+        parts.append((self.structure_at + CLASSES * np.arange(len(classes)) + np.array(classes), np.full(len(classes), 1 / math.sqrt(len(classes)))))
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
