@@ -11,11 +11,13 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from separatrix.storage import materialize
+
 ARC_SCHEMA = (
     "version int, url string, ip string, date string, mime string, status int, checksum string, location string, "
     "filename string, length long, block binary, problem string"
@@ -26,30 +28,43 @@ VERSION_1 = ("url", "ip", "date", "mime", "length")
 VERSION_2 = ("url", "ip", "date", "mime", "status", "checksum", "location", "offset", "filename", "length")
 # Equal payloads shorter than this are all stored.
 LEAST_PAYLOAD = 100
+# Files stay below this size before compression, as a reader takes them whole; records above the other size are written apart.
+FILE_BYTES, LARGE = 1 << 30, 1 << 20
 
 
 class _Bytes:
-    """Unpacks a gzip file of one or many members, or takes plain bytes, as it is read."""
+    """Unpacks a gzip file of one or many members, or takes plain bytes, as it is read.
+
+    Zeros behind a member are padding. What cannot be unpacked ends the file with a ``problem``.
+    """
 
     def __init__(self, data: bytes):
         self.data, self.at, self.ready = data, 0, bytearray()
         self.packed = data[:2] == b"\x1f\x8b"
-        self.unpacker = zlib.decompressobj(31)
+        self.unpacker, self.between, self.problem = zlib.decompressobj(31), True, None
 
     def _more(self) -> bool:
-        if self.at >= len(self.data):
+        if self.problem or self.at >= len(self.data):
+            if self.packed and not self.between and not self.problem:
+                self.problem = "gzip: the file ends within a member"
             return False
         piece = self.data[self.at : self.at + (1 << 16)]
         self.at += len(piece)
         if not self.packed:
             self.ready += piece
             return True
-        self.ready += self.unpacker.decompress(piece)
-        while self.unpacker.eof and (rest := self.unpacker.unused_data):
-            self.unpacker = zlib.decompressobj(31)
-            self.ready += self.unpacker.decompress(rest)
-        if self.unpacker.eof:
-            self.unpacker = zlib.decompressobj(31)
+        try:
+            while piece:
+                if self.between and not (piece := piece.lstrip(b"\0")):
+                    break
+                self.between = False
+                self.ready += self.unpacker.decompress(piece)
+                if not self.unpacker.eof:
+                    break
+                piece, self.unpacker, self.between = self.unpacker.unused_data, zlib.decompressobj(31), True
+        except zlib.error as error:
+            self.problem = f"gzip: {error}"
+            return False
         return True
 
     def line(self, end: bytes = b"\n") -> bytes | None:
@@ -78,12 +93,22 @@ def _text(raw: bytes) -> str:
     return raw.decode("utf-8", "replace")
 
 
+def _fields(head: str, version: int) -> tuple[tuple[str, ...], list[str]]:
+    """Field names and fields of a header line, counted from the right, as urls may hold spaces."""
+    for names in {1: (VERSION_1,), 2: (VERSION_2,)}.get(version, (VERSION_2, VERSION_1)):
+        fields = head.rsplit(" ", len(names) - 1)
+        if len(fields) == len(names) and fields[-1].isdigit() and (fields[2].isdigit() or fields[2] == "-"):
+            return names, fields
+    return (), []
+
+
 def parse_arc(data: bytes) -> Iterator[dict]:
     """Records of one ARC file, cut by declared lengths.
 
     The version is that of a ``filedesc`` block at the start of the file, else it is told by
-    the number of fields; later on such a url is that of a page. A header line that fits neither form ends the file with a ``problem`` record, as
-    nothing after it can be placed; so does a block shorter than declared, which is kept.
+    the fields; later on such a url is that of a page. A header line that fits neither form
+    ends the file with a ``problem`` record, as nothing after it can be placed; so do bytes
+    that cannot be unpacked, and a block shorter than declared, which is kept.
     """
     source, version, opening = _Bytes(data), 0, True
     while (head := source.line()) is not None:
@@ -91,12 +116,9 @@ def parse_arc(data: bytes) -> Iterator[dict]:
         if not head:
             continue
         describes, opening = opening and head.startswith(b"filedesc://"), False
-        fields = _text(head).split(" ")
-        names = {1: VERSION_1, 2: VERSION_2}.get(version) or {5: VERSION_1, 10: VERSION_2}.get(len(fields), ())
-        if describes:
-            names = VERSION_1 if len(fields) == len(VERSION_1) else VERSION_2
-        if len(fields) != len(names) or not fields[-1].isdigit():
-            yield {"version": version, "problem": "header line: " + _text(head[:200])}
+        names, fields = _fields(_text(head), version)
+        if not names:
+            yield {"version": version, "problem": source.problem or "header line: " + _text(head[:200])}
             return
         record = dict(zip(names, fields, strict=True))
         length = int(record["length"])
@@ -110,6 +132,8 @@ def parse_arc(data: bytes) -> Iterator[dict]:
         record.pop("offset", None)
         record["problem"] = None if len(block) == length else f"block of {len(block)} bytes, {length} declared"
         yield record
+    if source.problem:
+        yield {"version": version, "problem": source.problem}
 
 
 def parse_warc(data: bytes) -> Iterator[dict]:
@@ -132,11 +156,13 @@ def parse_warc(data: bytes) -> Iterator[dict]:
             return
         block = source.take(int(declared))
         yield {"headers": headers, "block": block, "problem": None if len(block) == int(declared) else "short block"}
+    if source.problem:
+        yield {"headers": {}, "problem": source.problem}
 
 
 def _read(spark: SparkSession, path: str, parse, schema: str) -> DataFrame:
     """``path`` and record columns. Files are cut to bounded sizes by the writers."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     names = ["path", *[f.split(" ")[0] for f in re.split(r",\s+", schema)]]
     # The element order of the Arrow schema is that of the Spark schema.
     kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
@@ -202,7 +228,6 @@ def write_arc(rows: DataFrame, path: str, version: int = 1, records: int = 1000)
     Each file begins with a version block.
     """
     block = F.coalesce(F.col("block"), F.lit(""))
-    length = F.octet_length(block).cast("string")
     fields = [_safe(F.col(c)) for c in ("url", "ip", "date", "mime")]
     names = ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"]
     rest: list[Column] = []
@@ -210,18 +235,30 @@ def write_arc(rows: DataFrame, path: str, version: int = 1, records: int = 1000)
         # Result code, checksum, location, offset and file name are not known before writing.
         rest = [F.lit("200"), *[F.lit("-")] * 2, F.lit("0"), F.lit("-")]
         names[4:4] = ["Result-code", "Checksum", "Location", "Offset", "Filename"]
-    line = F.concat_ws(" ", *fields, *rest, length)
+    line = F.concat_ws(" ", *fields, *rest, F.octet_length(block).cast("string"))
     about = f"{version} 0 separatrix\n{' '.join(names)}\n"
     opening = F.concat_ws(" ", F.lit("filedesc://separatrix.arc 0.0.0.0"), fields[2], F.lit("text/plain"), *rest, F.lit(f"{len(about)}\n{about}\n"))
-    # The low 33 bits count a partition's rows as the writer does, which begins a file after so many.
-    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) % records == 0
-    head = F.concat(F.when(first, opening).otherwise(F.lit("")), line)
-    _write(rows.select(F.concat(head, F.lit("\n"), block).alias("value")), path, "\n", records)
 
+    def lines(some: DataFrame, records: int) -> DataFrame:
+        # The low 33 bits count a partition's rows as the writer does, which begins a file after so many.
+        first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) % records == 0
+        head = F.concat(F.when(first, opening).otherwise(F.lit("")), line)
+        return some.select(F.concat(head, F.lit("\n"), block).alias("value"))
+
+    _write(rows, F.octet_length(block), lines, path, "\n", records)
+
+
+def _write(rows: DataFrame, size: Column, lines: Callable[[DataFrame, int], DataFrame], path: str, separator: str, records: int) -> None:
+    """Write ``lines`` of the rows to files of bounded size: large records go to files of fewer records."""
+
+    def write(some: DataFrame, name: str, records: int) -> None:
+        writer = lines(some, records).write.option("lineSep", separator).option("compression", "gzip")
+        writer.option("maxRecordsPerFile", records).mode("errorifexists").text(path + name)
 
-def _write(lines: DataFrame, path: str, separator: str, records: int) -> None:
-    writer = lines.write.option("lineSep", separator).option("compression", "gzip")
-    writer.option("maxRecordsPerFile", records).mode("errorifexists").text(path)
+    write(rows.filter(size <= LARGE), "", min(records, FILE_BYTES // LARGE))
+    most = rows.filter(size > LARGE).agg(F.max(size)).first()[0]
+    if most is not None:
+        write(rows.filter(size > LARGE), "/large-records", max(1, min(records, FILE_BYTES // most)))
 
 
 def _record_id(*parts: str) -> str:
@@ -236,7 +273,7 @@ def _moment(date: str | None) -> str:
 
 
 CONVERTED = (
-    "place long, record_id string, uri string, ip string, moment string, mime string, http string, payload binary, "
+    "place long, record_id string, uri string, ip string, moment string, mime string, http binary, payload binary, "
     "payload_bytes long, payload_digest string, warc_type string"
 )
 
@@ -244,13 +281,13 @@ CONVERTED = (
 def convert(arc: DataFrame, place: str = "X-Place") -> DataFrame:
     """WARC fields of ARC records: identifiers, dates, types and digests.
 
-    ``http`` holds the HTTP header lines, ``payload`` what follows them. A block that is no
+    ``http`` holds the bytes of the HTTP header lines, ``payload`` what follows them. A block that is no
     HTTP message becomes a ``resource`` record with the whole block as payload. ``place`` is
     a header whose whole number orders records; it is null where the header is missing.
     Records with a ``problem`` and no block are left out.
     """
     names = [f.split(" ")[0] for f in CONVERTED.split(", ")]
-    kinds = {"place": pa.int64(), "payload": pa.binary(), "payload_bytes": pa.int64()}
+    kinds = {"place": pa.int64(), "http": pa.binary(), "payload": pa.binary(), "payload_bytes": pa.int64()}
     arrow = pa.schema([(n, kinds.get(n, pa.string())) for n in names])
     number = re.compile(rb"(?im)^" + re.escape(place.encode()) + rb":[ \t]*(-?\d{1,18})[ \t]*\r?$")
 
@@ -268,7 +305,7 @@ def convert(arc: DataFrame, place: str = "X-Place") -> DataFrame:
                 rows.append({
                     "place": int(at) if at else None, "uri": r["url"], "ip": r["ip"], "moment": moment, "mime": r["mime"],
                     "record_id": _record_id(r["url"] or "", moment, digest, at),
-                    "http": None if http is None else _text(http), "payload": payload, "payload_bytes": len(payload),
+                    "http": http, "payload": payload, "payload_bytes": len(payload),
                     "payload_digest": digest, "warc_type": "response" if http is not None else "resource",
                 })
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
@@ -282,14 +319,16 @@ def mark_revisits(records: DataFrame, least: int = LEAST_PAYLOAD) -> DataFrame:
     The record with the smallest place comes first; payloads below ``least`` bytes and
     records without a place never refer to another. Only digests and identifiers are
     grouped, after map-side combining, so a payload that a third of all records share
-    is one row by then.
+    is one row by then. The groups of copies are stored, so that Spark knows their size: where
+    they are few, they go to the payloads and not the payloads to them. ``records`` is read
+    twice and should be stored.
     """
     narrow = records.filter((F.col("payload_bytes") >= least) & F.col("place").isNotNull())
     first = narrow.groupBy("payload_digest").agg(
         F.min("place").alias("first"), F.min_by("record_id", "place").alias("first_id"),
         F.min_by("uri", "place").alias("first_uri"), F.count(F.lit(1)).alias("copies"),
     ).filter("copies > 1").drop("copies")
-    out = records.join(first, "payload_digest", "left")
+    out = records.join(materialize(first, "payload-copies"), "payload_digest", "left")
     later = (F.col("first") < F.col("place")) & (F.col("payload_bytes") >= least)
     return out.select(
         *records.columns,
@@ -300,7 +339,7 @@ def mark_revisits(records: DataFrame, least: int = LEAST_PAYLOAD) -> DataFrame:
 def write_warc(records: DataFrame, path: str, records_per_file: int = 1000) -> None:
     """Write converted records as gzip WARC files; a revisit keeps its HTTP header only."""
     body = F.when(F.col("refers_to").isNull(), F.col("payload").cast("string")).otherwise(F.lit(""))
-    block = F.concat(F.coalesce("http", F.lit("")), body)
+    block = F.concat(F.coalesce(F.col("http").cast("string"), F.lit("")), body)
     revisit = F.col("refers_to").isNotNull()
     kind = F.when(revisit, "revisit").otherwise(F.col("warc_type"))
 
@@ -325,4 +364,4 @@ def write_warc(records: DataFrame, path: str, records_per_file: int = 1000) -> N
         header("Content-Length", F.octet_length(block).cast("string")),
         F.lit("\r\n"),
     )
-    _write(records.select(F.concat(head, block).alias("value")), path, "\r\n\r\n", records_per_file)
+    _write(records, F.octet_length(block), lambda some, _: some.select(F.concat(head, block).alias("value")), path, "\r\n\r\n", records_per_file)

@@ -15,9 +15,23 @@ from separatrix.storage import materialize
 
 # Shortest and longest chunk in characters.
 SHORTEST, LONGEST = 256, 4096
+# First and last letters of scripts whose letters stand in blocks of Unicode: a letter counts by its place.
+ALPHABETS = ("AZ", "\u00e0\u00ff", "\u03b1\u03c9", "\u0410\u044f", "\u05d0\u05ea", "\u0621\u064a", "\u0905\u0939", "\u0e01\u0e2e", "\u3041\u3096", "\u30a1\u30fa")
+# Scripts of thousands of signs, in stretches of 64.
+SIGNS = ("\u4e00\u9fff", "\uac00\ud7a3")
+
+
+def _every(start: int, step: int, latin: str) -> str:
+    """A class of Latin letters, digits, and every ``step``-th letter of other alphabets, or stretch of signs."""
+    found = [latin, *(str(d) for d in range(start % 4, 10, 4))]
+    found += [rf"\x{{{c:x}}}" for first, last in ALPHABETS for c in range(ord(first) + start, ord(last) + 1, step)]
+    found += [rf"\x{{{c:x}}}-\x{{{c + 63:x}}}" for first, last in SIGNS for c in range(ord(first) + 64 * start, ord(last) - 63, 64 * step)]
+    return f"[{''.join(found)}]"
+
+
 # A chunk ends after three such characters in sequence, which are about one place in 200 of
-# Latin text. Text in other scripts is cut by length alone.
-ENDING = r"[ptx][ei\x20][cgkosw]"
+# Latin text and one in 100 to 300 of other scripts.
+ENDING = _every(0, 6, "ptx") + _every(2, 5, r"ei\x20") + _every(1, 6, "cgkosw")
 
 
 def chunks(text: Column, shortest: int = SHORTEST, longest: int = LONGEST) -> Column:
@@ -62,13 +76,14 @@ def recipes(
     # Rank the contents of shared identifiers, and write anew the recipes that hold one.
     contents = parts.join(shared, "id", "left_semi").select("id", "chunk").distinct()
     ranked = contents.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("chunk")))
-    rows = cut.select("key", "text_sha256", F.posexplode("chunks").alias("at", "chunk"))
-    rows = rows.withColumn("id", identifier(F.col("chunk"))).join(ranked, ["id", "chunk"], "left")
+    # Only texts that hold a shared identifier, each of them once: one text has one recipe, whatever its keys.
+    rows = cut.select("text_sha256", F.posexplode("chunks").alias("at", "chunk")).withColumn("id", identifier(F.col("chunk")))
+    held = rows.join(shared, "id", "left_semi").select("text_sha256").distinct()
+    rows = rows.join(held, "text_sha256", "left_semi").join(ranked, ["id", "chunk"], "left")
     step = F.struct("at", "id", F.coalesce("rank", F.lit(0)).alias("rank"))
-    # Rows with one key and one text have one recipe, so they may be written once.
-    anew = rows.groupBy("key", "text_sha256").agg(F.array_sort(F.collect_set(step)).alias("steps"))
-    anew = anew.select("key", "text_sha256", F.transform("steps", lambda s: F.struct(s["id"], s["rank"])).alias("better"))
-    joined = listed.join(anew, ["key", "text_sha256"], "left")
+    anew = rows.groupBy("text_sha256").agg(F.array_sort(F.collect_set(step)).alias("steps"))
+    anew = anew.select("text_sha256", F.transform("steps", lambda s: F.struct(s["id"], s["rank"])).alias("better"))
+    joined = listed.join(anew, "text_sha256", "left")
     return materialize(joined.select("key", F.coalesce("better", "recipe").alias("recipe"), "text_sha256"), "recipes")
 
 

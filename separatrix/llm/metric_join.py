@@ -5,8 +5,9 @@ is that of its nearest pivot. By the triangle inequality a partner within the ra
 live in another cell only if that pivot is at most twice the radius farther away than the
 point's own; in Euclidean space the distance to the plane between two pivots narrows this
 further. Points are copied to those cells, and each cell finds the partners of its home
-points by itself. Cells that are too large are split again by pivots of their own, unless
-splitting does not save work; those are joined block by block.
+points by itself. Pivots lie far apart, so that clusters get pivots of their own, and their
+number grows with the cell. Cells that are too large are split again, unless a sample shows
+that splitting does not save work; those are joined block by block.
 """
 
 from __future__ import annotations
@@ -28,36 +29,36 @@ from separatrix.llm.scratch import Scratch
 @dataclass(frozen=True)
 class Settings:
     cosine: float = 0.98
-    cell: int = 2000  # points that are compared with as many others in one task
-    pivots: int = 16  # of a cell that is split
+    cell: int = 1000  # points that are compared with as many others in one task
+    per_pivot: int = 32  # points of a cell for each of its pivots
+    pivots: tuple[int, int] = (16, 256)  # fewest and most pivots of a cell that is split
+    sample: int = 2048  # points that pivots are chosen from, and that a split is judged by
     share: float = 0.5  # a split must leave no more than this share of the comparisons
     portion: int = 20_000  # points of a cell that one task assigns to pivots
 
 
 def _points(rows: DataFrame, key: str, vector: str, label: str | None) -> DataFrame:
-    """``key, cell, digest, vector`` of rows that can link; vectors are doubles."""
+    """``key, cell, digest, vector`` of every row; all but the key are null where it cannot link. Vectors are doubles."""
     kind = dict(rows.dtypes)[key]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, cells, digests, vectors = [], [], [], []
-            for n, (cell, value) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
+            cells, digests, vectors = [], [], []
+            for whose, cell, value in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 value = value.as_py()
-                if cell.as_py() is None or not value or any(x is None for x in value):
-                    continue
-                x = np.array(value, np.float64) + 0.0
-                if not np.isfinite(x).all() or not x.any():
-                    continue
-                at.append(n)
-                cells.append(f"{len(x)}:{cell.as_py()}")
-                digests.append(hashlib.sha256(cells[-1].encode() + b"\0" + x.tobytes()).digest())
+                x = None
+                if whose.is_valid and cell.is_valid and value and not any(v is None for v in value):
+                    x = np.array(value, np.float64) + 0.0
+                    if not np.isfinite(x).all() or not x.any():
+                        x = None
+                cells.append(None if x is None else f"{len(x)}:{cell.as_py()}")
+                digests.append(None if x is None else hashlib.sha256(cells[-1].encode() + b"\0" + x.tobytes()).digest())
                 vectors.append(x)
-            keys = batch.column(0).take(pa.array(at, pa.int64()))
-            columns = [keys, pa.array(cells, pa.string()), pa.array(digests, pa.binary()), pa.array(vectors, pa.list_(pa.float64()))]
+            columns = [batch.column(0), pa.array(cells, pa.string()), pa.array(digests, pa.binary()), pa.array(vectors, pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, ["key", "cell", "digest", "vector"])
 
     group = F.lit("") if label is None else F.col(label).cast("string")
-    narrow = rows.select(F.col(key).alias("key"), group.alias("cell"), F.col(vector).alias("vector")).filter("key is not null")
+    narrow = rows.select(F.col(key).alias("key"), group.alias("cell"), F.col(vector).alias("vector"))
     return narrow.mapInArrow(work, f"key {kind}, cell string, digest binary, vector array<double>")
 
 
@@ -68,36 +69,72 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _split(points: DataFrame, large: DataFrame, scratch: Scratch, turn: int, settings: Settings) -> DataFrame:
-    """Points of large cells with ``sub`` and ``subhome``, a row for each cell they go to."""
-    radius = math.sqrt(2 - 2 * settings.cosine) + 1e-9
-    kind = dict(points.dtypes)["key"]
-    rows = points.join(large, "cell")
-    # Pivots are home points with the least digests; a threshold keeps the list short.
+def _far_apart(x: np.ndarray, most: int, radius: float) -> np.ndarray:
+    """Rows of ``x``, each the one farthest from those before it; all rows are within ``radius`` of one, or there are ``most``."""
+    chosen, nearest = [0], np.full(len(x), np.inf)
+    while True:
+        nearest = np.minimum(nearest, 2 - 2 * (x @ x[chosen[-1]]))
+        following = int(nearest.argmax())
+        if len(chosen) >= most or nearest[following] <= radius**2:
+            return np.array(chosen)
+        chosen.append(following)
+
+
+def _visits(x: np.ndarray, p: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """Home pivot of each point, and which pivots' cells may hold home points within the radius."""
+    far = np.sqrt(np.maximum(0.0, 2 - 2 * (x @ p.T)))
+    between = np.sqrt(np.maximum(0.0, 2 - 2 * (p @ p.T)))
+    home = far.argmin(axis=1)
+    own = far[np.arange(len(x)), home][:, None]
+    near = far <= own + 2 * radius
+    apart = between[home]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        plane = (far**2 - own**2) / (2 * apart)
+    near &= (apart < 1e-12) | (plane <= radius)
+    near[np.arange(len(x)), home] = True
+    return home, near
+
+
+def _radius(settings: Settings) -> float:
+    return math.sqrt(2 - 2 * settings.cosine) + 1e-9
+
+
+def _judge(points: DataFrame, large: DataFrame, settings: Settings) -> DataFrame:
+    """``cell, pivots, share, copies`` of large cells, from a sample of each that has a bounded size.
+
+    ``share`` is the part of the comparisons that a split by these pivots leaves, and
+    ``copies`` the number of cells that a point goes to.
+    """
+    radius = _radius(settings)
+    # Home points with the least digests; a threshold keeps the sample short.
     chance = F.pmod(F.xxhash64("key", "cell"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = rows.filter(F.col("home") & (chance * F.col("homes") <= 4 * settings.pivots)).groupBy("cell").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct(chance.alias("c"), "key", "vector"))), 1, settings.pivots).alias("drawn"), F.first("n").alias("n")
-    )
-    drawn = scratch.keep(drawn, f"pivots-{turn}")
+    rows = points.join(large, "cell").filter(F.col("home") & (chance * F.col("homes") <= settings.sample)).select("cell", "key", "vector", "n", "homes")
+
+    def choose(group: pd.DataFrame) -> pd.DataFrame:
+        x = _matrix(group.sort_values("key")["vector"])
+        wanted = int(np.clip(group["n"].iloc[0] // settings.per_pivot, *settings.pivots))
+        p = x[_far_apart(x, wanted, radius)]
+        home, near = _visits(x, p, radius)
+        share = float((np.bincount(home, minlength=len(p)) * near.sum(axis=0)).sum()) / len(x) ** 2
+        return pd.DataFrame({"cell": [group["cell"].iloc[0]], "pivots": [[v.tolist() for v in p]], "share": [share], "copies": [float(near.sum()) / len(x)]})
+
+    return rows.groupBy("cell").applyInPandas(choose, "cell string, pivots array<array<double>>, share double, copies double")
+
+
+def _split(points: DataFrame, chosen: DataFrame, settings: Settings) -> DataFrame:
+    """Points of the chosen cells (``cell, pivots, n``) with ``sub`` and ``subhome``, a row for each cell they go to."""
+    radius = _radius(settings)
+    kind = dict(points.dtypes)["key"]
     parts = F.ceil(F.col("n") / settings.portion).cast("int")
-    pivots = drawn.select("cell", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.transform("drawn", lambda d: d["vector"]).alias("pivots"))
+    pivots = chosen.select("cell", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "pivots")
+    rows = points.join(chosen.select("cell", "n"), "cell")
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("key"), parts).cast("int")).select("cell", "part", "key", "copies", "vector", "home")
 
-    def assign(points: pd.DataFrame, chosen: pd.DataFrame) -> pd.DataFrame:
+    def assign(points: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
         names = ["cell", "key", "copies", "vector", "home", "sub", "subhome"]
-        if not len(points) or not len(chosen):
+        if not len(points) or not len(pivots):
             return points.assign(sub=0, subhome=points["home"])[names]
-        x, p = _matrix(points["vector"]), _matrix(pd.Series(list(chosen["pivots"].iloc[0])))
-        far = np.sqrt(np.maximum(0.0, 2 - 2 * (x @ p.T)))
-        between = np.sqrt(np.maximum(0.0, 2 - 2 * (p @ p.T)))
-        home = far.argmin(axis=1)
-        own = far[np.arange(len(x)), home][:, None]
-        near = far <= own + 2 * radius
-        apart = between[home]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            plane = (far**2 - own**2) / (2 * apart)
-        near &= (apart < 1e-12) | (plane <= radius)
-        near[np.arange(len(x)), home] = True
+        home, near = _visits(_matrix(points["vector"]), _matrix(pd.Series(list(pivots["pivots"].iloc[0]))), radius)
         at, sub = np.nonzero(near)
         out = points.iloc[at].assign(sub=sub)
         return out.assign(subhome=out["home"].to_numpy() & (home[at] == sub))[names]
@@ -109,22 +146,19 @@ def _split(points: DataFrame, large: DataFrame, scratch: Scratch, turn: int, set
 def _cells(points: DataFrame, scratch: Scratch, settings: Settings) -> DataFrame:
     """``cell, key, copies, vector, home``: cells that are small or do not get cheaper."""
     names = ["cell", "key", "copies", "vector", "home"]
-    count = lambda df: df.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("home").cast("long")).alias("homes"))
     open_points = points.withColumn("home", F.lit(True)).select(*names)
     done, turn = [], 0
     while True:
-        large = scratch.keep(count(open_points).filter((F.col("n") > settings.cell) & (F.col("homes") > 0)), f"large-{turn}")
-        if large.isEmpty():
+        sizes = open_points.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("home").cast("long")).alias("homes"))
+        large = sizes.filter((F.col("n") > settings.cell) & (F.col("homes") > 0))
+        judged = scratch.keep(_judge(open_points, large, settings).join(large, "cell"), f"judged-{turn}")
+        chosen = judged.filter(F.col("share") <= settings.share)
+        if chosen.isEmpty():
             done.append(open_points)
             break
-        done.append(open_points.join(large, "cell", "left_anti"))
-        split = scratch.keep(_split(open_points, large, scratch, turn, settings), f"split-{turn}")
-        by_sub = split.groupBy("cell", "sub").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("subhome").cast("long")).alias("h"))
-        work = by_sub.groupBy("cell").agg(F.sum(F.col("n") * F.col("h")).alias("work")).join(large, "cell")
-        cheaper = scratch.keep(work.filter(F.col("work") <= settings.share * F.col("n") * F.col("homes")).select("cell"), f"cheaper-{turn}")
-        done.append(open_points.join(large.join(cheaper, "cell", "left_anti"), "cell", "left_semi"))
-        finer = split.join(cheaper, "cell", "left_semi")
-        open_points = finer.select(F.concat_ws("/", "cell", "sub").alias("cell"), "key", "copies", "vector", F.col("subhome").alias("home"))
+        done.append(open_points.join(chosen.select("cell"), "cell", "left_anti"))
+        split = scratch.keep(_split(open_points, chosen, settings), f"split-{turn}")
+        open_points = split.select(F.concat_ws("/", "cell", "sub").alias("cell"), "key", "copies", "vector", F.col("subhome").alias("home"))
         turn += 1
     out = done[0]
     for more in done[1:]:
@@ -195,25 +229,29 @@ def range_links(
     are null, empty, zero or hold null or non-finite components link with nothing, and so
     do rows with a null key. ``n_links`` counts the other rows linked directly, equal
     vectors among them. ``component_id`` is the least key reachable, and that row is kept.
+    Each row counts by its own vector: of a key that comes with several vectors, every row
+    has the links and the component of the vector it holds, and these may differ.
     """
     scratch = Scratch(rows.sparkSession)
     stored = scratch.keep(_points(rows, key, vector, label), "points")
-    # Equal vectors are one point that counts as often as they come.
-    classes = scratch.keep(stored.groupBy("digest").agg(F.min("key").alias("class"), F.count(F.lit(1)).alias("copies")), "classes")
-    heads = classes.select(F.col("class").alias("key"), "digest", "copies")
-    points = scratch.keep(stored.join(heads, ["digest", "key"]).dropDuplicates(["digest"]).select("cell", "key", "copies", "vector"), "heads")
+    # Equal vectors are one point that counts as often as they come; its number holds, as the table is stored.
+    heads = stored.filter("digest is not null").groupBy("digest").agg(
+        F.first("cell").alias("cell"), F.first("vector").alias("vector"), F.min("key").alias("least"), F.count(F.lit(1)).alias("copies")
+    )
+    heads = scratch.keep(heads.withColumn("node", F.monotonically_increasing_id()), "heads")
+    points = heads.select("cell", F.col("node").alias("key"), "copies", "vector")
     found = scratch.keep(_join(_cells(points, scratch, settings), settings), "found")
+    scratch.drop(*[name for name in scratch.paths if name.startswith(("judged", "split"))])
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     edges = found.filter("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b")).distinct()
-    known = components(edges, scratch)
+    known = components(edges, scratch).withColumnRenamed("node", "known")
 
-    members = stored.select("key", "digest").distinct().join(classes, "digest").select("key", "class", "copies")
-    placed = members.join(links.withColumnRenamed("key", "class"), "class", "left").join(known, F.col("class") == F.col("node"), "left")
-    placed = placed.select(
-        F.col("key").alias("__key"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "class").alias("component_id")
-    )
-    out = rows.select(F.col(key)).join(placed, F.col(key) == F.col("__key"), "left")
-    component = F.coalesce("component_id", F.col(key))
+    named = heads.join(known, F.col("node") == F.col("known"), "left").withColumn("component", F.coalesce("component", "node"))
+    first = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    placed = named.join(first, "component").join(links, F.col("node") == F.col("key"), "left")
+    placed = placed.select("digest", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    out = stored.select("key", "digest").join(placed, "digest", "left")
+    component = F.coalesce("component_id", "key")
     return out.select(
-        key, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col(key)).alias("kept")
+        F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("key")).alias("kept")
     )

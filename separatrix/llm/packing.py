@@ -13,7 +13,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -173,39 +172,49 @@ def _packed(rows: DataFrame, parts: int, turn: int, capacity: int, key: str) ->
     dealt = rows.withColumn("__part", F.pmod(F.xxhash64(F.col(key), F.col("piece"), F.lit(turn)), F.lit(parts)).cast("long"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields)
 
-    def work(group: pd.DataFrame) -> pd.DataFrame:
-        # The order among equal lengths must not depend on the shuffle.
-        group = group.sort_values([key, "piece"], kind="stable")
-        lengths = group["length"].to_numpy()
+    def work(group: pa.Table) -> pa.Table:
+        # The order among equal lengths must not depend on the shuffle. Arrow keeps keys as they are, next to nulls too.
+        group = group.sort_by([(key, "ascending"), ("piece", "ascending")])
+        lengths = group.column("length").to_numpy()
         bins, offsets, count = best_fit_decreasing(lengths, capacity)
         fill = np.bincount(bins, weights=lengths, minlength=count).astype(np.int64)[bins]
         bound = lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
-        return group.assign(__bin=bins, __offset=offsets, __fill=fill, __bins=count, __bound=bound)
+        figures = {"bin": bins, "offset": offsets, "fill": fill, "bins": np.full(len(bins), count), "bound": np.full(len(bins), bound)}
+        for name, values in figures.items():
+            group = group.append_column(f"__{name}", pa.array(values, pa.int64()))
+        return group
 
     more = ", ".join(f"__{c} long" for c in ("bin", "offset", "fill", "bins", "bound"))
-    return dealt.groupBy("__part").applyInPandas(work, f"{schema}, {more}")
+    return dealt.groupBy("__part").applyInArrow(work, f"{schema}, {more}")
 
 
 def pack(cut_up: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, per_part: int = PIECES, exchanges: int = EXCHANGES) -> DataFrame:
     """``cut_up`` (a piece a row, with ``piece`` and ``length``) with ``sequence_id`` and ``offset``.
 
+    ``group_sequences`` and ``group_bound`` say how many sequences the pieces that were
+    packed together take, and how many they need at least; where both are equal, that
+    packing is certified. A piece of full length is a group by itself.
+
     Offsets are gapless from 0 within a sequence. Pieces of full length are sequences by
     themselves and do not travel. An exchange counts only if it saves sequences. ``length``
-    is 1 to ``capacity``; other columns are kept (those called sequence_id or offset are
+    is 1 to ``capacity``; other columns are kept (those called like new ones are
     replaced), so a narrow table travels least. An empty table gives no rows; rows may
     repeat, and equal lengths go by key and piece.
     """
     scratch = Scratch(cut_up.sparkSession)
-    cut_up = cut_up.drop("sequence_id", "offset")
+    cut_up = cut_up.drop("sequence_id", "offset", "group_sequences", "group_bound")
     names = cut_up.columns
     stored = scratch.keep(cut_up, "pieces")
     # Ids above 2 ** 62 are left to full pieces; the numbers hold, as the rows are stored.
     number = F.monotonically_increasing_id() + F.lit(1 << 62)
-    done = [stored.filter(F.col("length") == capacity).select(*names, number.alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    full = stored.filter(F.col("length") == capacity)
+    done = [full.select(*names, number.alias("sequence_id"), zero.alias("offset"), one.alias("group_sequences"), one.alias("group_bound"))]
 
     def placed(df: DataFrame, turn: int) -> DataFrame:
         number = F.lit(turn << 56) + F.col("__part") * F.lit(1 << 28) + F.col("__bin")
-        return df.select(*names, number.alias("sequence_id"), F.col("__offset").alias("offset"))
+        figures = F.col("__bins").alias("group_sequences"), F.col("__bound").alias("group_bound")
+        return df.select(*names, number.alias("sequence_id"), F.col("__offset").alias("offset"), *figures)
 
     rest = stored.filter(F.col("length") < capacity)
     current = scratch.keep(_packed(rest, _parts(rest, per_part), 0, capacity, key), "packed-0")

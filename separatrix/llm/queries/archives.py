@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from separatrix.llm import archives
 from separatrix.llm.registry import query, table
+from separatrix.llm.scratch import Scratch
 from separatrix.storage import fresh_path
 
 # Pages carry no time of their own.
@@ -29,9 +30,12 @@ def op6_arc_to_warc(spark: SparkSession, folder: str) -> DataFrame:
     place = F.coalesce(F.concat(F.lit("X-Place: "), F.col("page_id").cast("string"), F.lit("\r\n")), F.lit(""))
     block = archives.http_block(F.coalesce("html", F.lit("")), place)
     rows = pages.select("url", F.lit("0.0.0.0").alias("ip"), F.lit(DATE).alias("date"), F.lit("text/html").alias("mime"), block.alias("block"))
-    old, new = fresh_path(spark, "arc"), fresh_path(spark, "warc")
+    scratch, old, new = Scratch(spark), fresh_path(spark, "arc"), fresh_path(spark, "warc")
     archives.write_arc(rows, old)
-    archives.write_warc(archives.mark_revisits(archives.convert(archives.sound(archives.read_arc(spark, old)))), new)
+    # Stored, as finding copies and writing both read the converted records.
+    converted = scratch.keep(archives.convert(archives.sound(archives.read_arc(spark, old))), "converted")
+    archives.write_warc(archives.mark_revisits(converted), new)
+    scratch.drop("converted")
 
     back = archives.sound(archives.read_warc(spark, new))
     headers, http = F.col("headers"), F.concat(F.substring_index(F.col("block").cast("string"), "\r\n\r\n", 1), F.lit("\r\n"))

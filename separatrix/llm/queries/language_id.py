@@ -9,7 +9,8 @@ from separatrix.llm.registry import query, table
 
 
 def fold(doc_id: Column, folds: int) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % folds
+    """The rest of the id's checksum; -1 without an id, which is in no fold, so such rows are learned from."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(-1))
 
 
 def model_of(docs: DataFrame) -> language_id.Model:

@@ -7,6 +7,7 @@ only the pairs that the ledger lacks, and findings go back to all rows that hold
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -49,6 +50,40 @@ RULES = (
 )
 
 SPANS = "array<struct<start:int,end:int>>"
+# Items of a list that are worked on together.
+STRETCH = 256
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _stretches(items: Column) -> Column:
+    last = F.floor(F.greatest(F.size(items) - 1, F.lit(0)) / STRETCH).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(items, i * STRETCH + 1, F.lit(STRETCH)))
+
+
+def _scan(
+    items: Column, start: Column, step: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column], kind: str
+) -> Column:
+    """``emit(state, item)`` (of type ``kind``) for each item, with the state that ``step`` made of the items before it.
+
+    An array that grows is copied at each item, so a long list is scanned in stretches, and
+    only the results of whole stretches are put together.
+    """
+
+    def stretch(part: Column, state: Column) -> Column:
+        def add(done: Column, item: Column) -> Column:
+            return F.struct(step(done["state"], item).alias("state"), F.concat(done["out"], F.array(emit(done["state"], item))).alias("out"))
+
+        return F.aggregate(part, F.struct(state.alias("state"), F.array().cast(f"array<{kind}>").alias("out")), add)
+
+    def add_stretch(done: Column, part: Column) -> Column:
+        return _let(stretch(part, done["state"]), lambda r: F.struct(r["state"].alias("state"), F.concat(done["outs"], F.array(r["out"])).alias("outs")))
+
+    nothing = F.struct(start.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("outs"))
+    return _let(items, lambda known: F.aggregate(_stretches(known), nothing, add_stretch, lambda done: F.flatten(done["outs"])))
 
 
 def spans(text: str, rule: Rule) -> Column:
@@ -64,16 +99,13 @@ def spans(text: str, rule: Rule) -> Column:
         F.transform(whole, F.length).alias("whole"), F.transform(gap, F.length).alias("gap"), F.transform(value, F.length).alias("value")
     )
 
-    def add(done: Column, part: Column) -> Column:
-        end = done["at"] + part["whole"]
-        start = done["at"] + part["gap"]
+    def match(at: Column, part: Column) -> Column:
         value = part["value"] if rule.has_value else part["whole"] - part["gap"]
-        found = F.array(F.struct(start.alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(value >= rule.least, F.concat(done["found"], found)).otherwise(done["found"]).alias("found"))
+        return F.struct((at + part["gap"]).alias("start"), (at + part["whole"]).alias("end"), (value >= rule.least).alias("counts"))
 
-    nothing = F.array().cast(SPANS)
-    found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), nothing.alias("found")), add)["found"]
-    return F.when(F.expr(rule.hint.format(text)), found).otherwise(nothing)
+    found = _scan(parts, F.lit(0), lambda at, part: at + part["whole"], match, "struct<start:int,end:int,counts:boolean>")
+    found = F.transform(F.filter(found, lambda m: m["counts"]), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end")))
+    return F.when(F.expr(rule.hint.format(text)), found).otherwise(F.array().cast(SPANS))
 
 
 def blobs(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -124,10 +156,14 @@ def by_blob(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     order = F.create_map(*(F.lit(x) for r in rules for x in (r.name, rules.index(r))))
     kind = F.create_map(*(F.lit(x) for r in rules for x in (r.name, r.kind)))
     rows = ledger.filter(F.col("rule").isin([r.name for r in rules]) & (F.size("spans") > 0))
-    tagged = F.transform(
-        "spans", lambda s: F.struct(s["start"].alias("start"), order[F.col("rule")].alias("place"), kind[F.col("rule")].alias("kind"), s["end"].alias("end"))
-    )
-    return rows.groupBy("blob_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(tagged)))).alias("found"))
+    # Rows are told apart as a whole: comparing long lists element by element would be quadratic.
+    gathered = rows.groupBy("blob_id").agg(F.collect_set(F.struct("rule", "spans")).alias("by_rule"))
+
+    def tagged(r: Column) -> Column:
+        place, name = order[r["rule"]], kind[r["rule"]]
+        return F.transform(r["spans"], lambda s: F.struct(s["start"].alias("start"), place.alias("place"), name.alias("kind"), s["end"].alias("end")))
+
+    return gathered.select("blob_id", F.array_sort(F.flatten(F.transform("by_rule", tagged))).alias("found"))
 
 
 def findings(docs: DataFrame, ledger: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -141,22 +177,39 @@ def findings(docs: DataFrame, ledger: DataFrame, key: str = "doc_id", text: str
     return paths.join(by_blob(ledger, rules), "blob_id", "left").withColumn("found", F.coalesce("found", nothing))
 
 
-def scan_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Findings of every row over a new ledger."""
+def scan_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, deliveries: int = 1) -> DataFrame:
+    """Findings of every row over a new ledger.
+
+    Rows come in so many ``deliveries``, by digest of their keys. Each one scans only the
+    blobs that those before it did not bring.
+    """
     path = fresh_path(docs.sparkSession, "ledger")
-    return findings(docs, update(docs, path, text, rules, first=True), key, text, rules)
+    ledger = None
+    for n in range(deliveries):
+        part = docs.filter(F.pmod(F.xxhash64(key), F.lit(deliveries)) == n) if deliveries > 1 else docs
+        ledger = update(part, path, text, rules, first=ledger is None)
+    return findings(docs, ledger, key, text, rules)
 
 
 def _redacted(text: Column, found: Column) -> Column:
-    """The text with every found span replaced by its kind in brackets; overlaps merge."""
+    """The text with every found span replaced by its kind in brackets; overlaps merge.
+
+    Texts are cut from the start each time, so a stretch of spans first cuts out its own part.
+    """
+
+    def piece(at: Column, s: Column) -> Column:
+        mark = F.when(s["start"] >= at, F.concat(F.lit("["), s["kind"], F.lit("]"))).otherwise(F.lit(""))
+        return F.struct(at.alias("at"), F.greatest(s["start"] - at, F.lit(0)).alias("n"), mark.alias("mark"))
+
+    pieces = _scan(found, F.lit(0), lambda at, s: F.greatest(at, s["end"]), piece, "struct<at:int,n:int,mark:string>")
 
-    def add(done: Column, s: Column) -> Column:
-        before = F.substring(text, done["at"] + 1, F.greatest(s["start"] - done["at"], F.lit(0)))
-        mark = F.when(s["start"] >= done["at"], F.concat(before, F.lit("["), s["kind"], F.lit("]"))).otherwise(F.lit(""))
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.concat(done["out"], mark).alias("out"))
+    def join(part: Column) -> Column:
+        first, last = F.get(part, F.lit(0)), F.get(part, F.size(part) - 1)
+        own = F.substring(text, first["at"] + 1, last["at"] + last["n"] - first["at"])
+        return _let(own, lambda t: F.array_join(F.transform(part, lambda p: F.concat(F.substring(t, p["at"] - first["at"] + 1, p["n"]), p["mark"])), ""))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(found, start, add, lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.length(text))))
+    end = F.array_max(F.transform(found, lambda s: s["end"]))
+    return F.concat(_let(pieces, lambda known: F.array_join(F.transform(_stretches(known), join), "")), F.substring(text, end + 1, F.length(text)))
 
 
 def redact(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:

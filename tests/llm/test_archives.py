@@ -88,3 +88,46 @@ def test_query_fails_on_an_unreadable_file(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(archives, "write_arc", lambda rows, path: rows.select(F.lit("what is this").alias("value")).write.text(path))
     with pytest.raises(Exception, match="header line: what is this"):
         op6_arc_to_warc(spark, str(tmp_path)).collect()
+
+
+def test_urls_with_spaces():
+    for version, names in ((1, archives.VERSION_1), (2, archives.VERSION_2)):
+        opening = V1 if version == 1 else b"filedesc://a.arc 0.0.0.0 20010203040506 text/plain 200 - - 0 a.arc 20\n2 0 Example\nmore..\n\n\n"
+        for start in (opening, b""):
+            data = start + record(b"http://a/one two  three?4 5", b"abc", version) + record(b"http://b/", b"d", version)
+            got = list(archives.parse_arc(data))
+            assert [r["url"] for r in got] == ["http://a/one two  three?4 5", "http://b/"] and all(r["version"] == version and r["problem"] is None for r in got)
+
+
+def test_padding_behind_members():
+    one, two = record(b"http://a/", b"x" * 100), record(b"http://b/", b"y")
+    for zeros in (1, 511, 1 << 17):
+        padded = gzip.compress(V1) + gzip.compress(one) + b"\0" * zeros + gzip.compress(two) + b"\0" * zeros
+        assert [(r["url"], r["problem"]) for r in archives.parse_arc(padded)] == [("http://a/", None), ("http://b/", None)]
+    broken = [gzip.compress(one) + b"what is this", gzip.compress(one)[:-12], gzip.compress(one)[:30]]
+    for data in broken:
+        assert list(archives.parse_arc(data))[-1]["problem"].startswith(("gzip", "block", "header"))
+    assert list(archives.parse_warc(gzip.compress(b"WARC/1.1\r\nContent-Length: 1\r\n\r\na\r\n\r\n") + b"?"))[-1]["problem"].startswith("gzip")
+
+
+def test_header_bytes_are_kept(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    block = b"HTTP/1.0 200 OK\r\nServer: caf\xe9\r\nX-Place: 3\r\n\r\n\xff\xfe body"
+    (tmp_path / "in" / "a.arc").write_bytes(V1 + b"http://a/ 1.2.3.4 20010203040506 text/html %d\n" % len(block) + block + b"\n")
+    converted = archives.mark_revisits(archives.convert(archives.read_arc(spark, str(tmp_path / "in"))))
+    archives.write_warc(converted, str(tmp_path / "out"))
+    (back,) = archives.read_warc(spark, str(tmp_path / "out")).collect()
+    assert bytes(back["block"]) == block
+
+
+def test_large_records_go_to_files_of_their_own(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(archives, "LARGE", 100)
+    monkeypatch.setattr(archives, "FILE_BYTES", 1000)
+    pages = [(f"u{i}", "1.1.1.1", "2001", "text/html", "x" * (450 if i % 5 == 0 else 10)) for i in range(20)]
+    rows = spark.createDataFrame(pages, "url string, ip string, date string, mime string, block string").coalesce(1)
+    archives.write_arc(rows, f"{tmp_path}/arc")
+    files = {f: len(gzip.open(f).read()) for f in glob.glob(f"{tmp_path}/arc/**/*.gz", recursive=True)}
+    # Two of 450 bytes in a file, and ten small ones; header lines and version blocks come on top.
+    assert len(files) == 4 and max(files.values()) < 1400
+    back = archives.sound(archives.read_arc(spark, f"{tmp_path}/arc")).collect()
+    assert sorted((r["url"], r["length"]) for r in back) == sorted((p[0], len(p[4])) for p in pages)

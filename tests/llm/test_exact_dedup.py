@@ -43,3 +43,31 @@ def test_missing_keys_and_no_rows(docs_of):
     got = {(r["doc_id"], r["keep_id"], r["kept"]) for r in exact_dedup.deduplicate(docs_of([(None, "a"), (3, "a"), (None, "b")])).collect()}
     assert got == {(None, 3, False), (3, 3, True), (None, None, True)}
     assert exact_dedup.deduplicate(docs_of([])).count() == 0
+
+
+def test_shared_identifiers_without_keys(docs_of):
+    # Two texts without keys and under one key, told apart by contents only.
+    one, two = "a" * 10 + "b" * 10, "b" * 10 + "a" * 10
+    rows = [(None, one), (None, two), (7, one), (7, two), (3, two)]
+    weak = exact_dedup.deduplicate(docs_of(rows), identifier=lambda c: F.length(c).cast("long"), shortest=2, longest=10)
+    got = sorted((repr(r["doc_id"]), r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in weak.collect())
+    digest = {t: hashlib.sha256(t.encode()).hexdigest() for t in (one, two)}
+    want = [("None", 7, 2, False, digest[one]), ("7", 7, 2, True, digest[one])] + [(k, 7, 3, k == "7", digest[two]) for k in ("None", "7", "3")]
+    assert got == sorted(want)
+
+
+def test_chunks_follow_content_in_any_script(docs_of):
+    rng = random.Random(3)
+    alphabets = {"lower": "abcdefghijklmnopqrstuvwxyz", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digits": "0123456789", "cyrillic": "".join(map(chr, range(0x430, 0x450))),
+                 "chinese": "".join(map(chr, range(0x4E00, 0x9000, 7))), "greek": "".join(map(chr, range(0x3B1, 0x3CA))), "korean": "".join(map(chr, range(0xAC00, 0xD700, 11))),
+                 "arabic": "".join(map(chr, range(0x621, 0x64B))), "hindi": "".join(map(chr, range(0x905, 0x93A)))}
+    rows = []
+    for n, letters in enumerate(alphabets.values()):
+        text = " ".join("".join(rng.choices(letters, k=rng.randrange(2, 9))) for _ in range(6000))
+        rows += [(2 * n, text), (2 * n + 1, text[:3] + "12345" + text[3:])]
+    found = {r["doc_id"]: r["c"] for r in docs_of(rows).select("doc_id", exact_dedup.chunks(F.col("text")).alias("c")).collect()}
+    for n, name in enumerate(alphabets):
+        plain, shifted = found[2 * n], found[2 * n + 1]
+        assert "".join(plain) == rows[2 * n][1] and "".join(shifted) == rows[2 * n + 1][1]
+        # All but a few chunks at the start are found again.
+        assert len(plain) > 15 and len(set(plain) & set(shifted)) > 0.8 * len(plain), name

@@ -47,3 +47,12 @@ def test_no_rows_to_learn_from(spark, docs_of):
     empty = language_id.train(spark.createDataFrame([(None, "en"), ("x", None)], "text string, lang string"))
     assert empty.languages == ()
     assert [(r["lang_pred"], r["score"]) for r in language_id.predict(docs_of([(1, "word")]), empty).collect()] == [("und", 0.0)]
+
+
+def test_rows_without_an_id_are_in_no_fold(spark, tmp_path):
+    from separatrix.llm.queries.language_id import op1_language_id
+
+    rows = [(None, "rain and stone", "en", "s", 14), (1, "rain and stone", "en", "s", 14), (2, None, None, "s", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = op1_language_id(spark, str(tmp_path)).collect()
+    assert len(got) == 3 and all(isinstance(r["held_out"], bool) for r in got) and [r["held_out"] for r in got if r["doc_id"] is None] == [False]

@@ -32,7 +32,7 @@ def clustered(seed, n, dims):
     return [(int(i), int(rng.integers(2)), (centres[rng.integers(40)] + 0.1 * rng.normal(size=dims)).round(3).tolist()) for i in rng.permutation(n)]
 
 
-@pytest.mark.parametrize("dims,settings", [(3, metric_join.Settings(cell=25, pivots=6, portion=50)), (24, metric_join.Settings(cell=40, pivots=4)), (3, metric_join.Settings())])
+@pytest.mark.parametrize("dims,settings", [(3, metric_join.Settings(cell=25, pivots=(6, 20), per_pivot=8, sample=60, portion=50)), (24, metric_join.Settings(cell=40, pivots=(4, 16), sample=100)), (3, metric_join.Settings())])
 def test_links_equal_brute_force(spark, dims, settings):
     rows = clustered(dims, 420, dims)
     # A vector that a third of a label repeats.
@@ -47,7 +47,7 @@ def test_links_equal_brute_force(spark, dims, settings):
 def test_splits_save_work(spark):
     from separatrix.llm.scratch import Scratch
 
-    settings = metric_join.Settings(cell=25, pivots=6)
+    settings = metric_join.Settings(cell=25, pivots=(6, 6))
     rows = clustered(3, 400, 3)
     frame = spark.createDataFrame(rows, "key long, label int, vector array<double>").selectExpr("'c' AS cell", "key", "1L AS copies", "vector")
     cells = metric_join._cells(frame, Scratch(spark), settings).collect()
@@ -72,3 +72,27 @@ def test_repeated_rows_count(spark):
     rows = [(5, 1, [1.0, 0.1]), (5, 1, [1.0, 0.1]), (3, 1, [1.0, 0.1])]
     got = metric_join.range_links(spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")).collect()
     assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(3, 2, 3), (5, 2, 3), (5, 2, 3)]
+
+
+def test_clusters_of_many_dimensions_are_pruned(spark):
+    from separatrix.llm.scratch import Scratch
+
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(50, 64))
+    which = rng.integers(50, size=4000)
+    vectors = centres[which] + 0.05 * rng.normal(size=(4000, 64))
+    frame = spark.createDataFrame([("c", i, 1, v.tolist()) for i, v in enumerate(vectors)], "cell string, key long, copies long, vector array<double>")
+    cells = metric_join._cells(frame, Scratch(spark), metric_join.Settings(cell=200)).select("cell", "key", "home").toPandas()
+    sizes = cells.groupby("cell")["home"].agg(["size", "sum"])
+    # Few copies, and few of the 16 million comparisons are left.
+    assert sorted(cells.loc[cells["home"], "key"]) == list(range(4000)) and len(cells) < 1.2 * 4000
+    assert (sizes["size"] * sizes["sum"]).sum() < 0.05 * 4000**2
+
+
+def test_a_key_with_several_vectors(spark):
+    rows = [(1, 1, [1.0, 0.0]), (1, 1, [0.0, 1.0]), (2, 1, [0.0, 2.0]), (3, 1, [1.0, 0.01]), (0, 1, [0.01, 1.0]), (None, 1, [1.0, 0.0])]
+    got = metric_join.range_links(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).collect()
+    assert sorted((r["vec_id"] is None, r["vec_id"] or 0, r["n_links"], r["component_id"]) for r in got if r["vec_id"] is not None) == [
+        (False, 0, 2, 0), (False, 1, 1, 1), (False, 1, 2, 0), (False, 2, 2, 0), (False, 3, 1, 1)
+    ]
+    assert len(got) == len(rows)

@@ -99,3 +99,47 @@ def test_sizes_of_intersections():
     left, right = ([np.unique(rng.integers(0, 6000, n)) for n in sizes] for sizes in ((5, 4000, 90), (3000, 1, 60, 5000)))
     assert minmax._common(left, right).tolist() == [[len(np.intersect1d(x, y)) for y in right] for x in left]
     assert minmax._common(left, []).shape == (3, 0) and minmax._common([np.array([1])], [np.array([2])]).tolist() == [[0.0]]
+
+
+def test_small_sets_miss_no_link(docs_of):
+    """Unions of 5 with 4 shared and their like, which bands alone would miss now and then."""
+    rng, rows = random.Random(6), []
+    for family in range(10_000):
+        n = rng.choice((5, 5, 5, 6, 9, 10, 11, 13))
+        words = [f"f{family}w{i}" for i in range(n + 1)]
+        # One shingle less, one replaced, or two less, whatever is similar enough.
+        other = rng.choice([words[:-1], [*words[:-1], "z"], words[:-2] if n >= 10 else words[:-1]])
+        if len(set(zip(other, other[1:])) & set(zip(words, words[1:]))) * 100 < 80 * len(set(zip(other, other[1:])) | set(zip(words, words[1:]))):
+            other = words[:-1]
+        rows += [(2 * family, " ".join(words)), (2 * family + 1, " ".join(other))]
+    # Bands of one permutation find next to nothing by themselves here.
+    weak = minmax.Settings(words=2, permutations=2)
+    got = minmax.near_duplicates(docs_of(rows), settings=weak).filter("doc_id % 2 = 1 and component_id = doc_id - 1")
+    assert got.count() == 10_000
+
+
+def test_which_sets_are_small():
+    assert minmax.Settings().small == 13 and minmax.Settings(least=90).small == 28 and minmax.Settings(least=100).small == 0
+    rng = np.random.default_rng(3)
+    for _ in range(400):
+        # Any linked pair of small sets shares a subset's digest.
+        n, m = rng.integers(1, 14, 2)
+        universe = rng.integers(0, 2**63, 16).astype(np.uint64)
+        a, b = (np.unique(rng.choice(universe, k, replace=False)) for k in (n, m))
+        if rng.random() < 0.9:
+            b = np.unique(np.concatenate((rng.permutation(a)[: max(1, len(a) - rng.integers(0, 3))], rng.choice(universe, rng.integers(0, 3)))))[:13]
+        common = len(np.intersect1d(a, b))
+        if 100 * common >= 80 * (len(a) + len(b) - common):
+            assert len(np.intersect1d(minmax.subsets(a, minmax.Settings()), minmax.subsets(b, minmax.Settings())))
+
+
+def test_a_key_with_several_texts(docs_of):
+    settings = minmax.Settings(words=2)
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(4, long), (4, "quite another text"), (9, long + " x"), (2, "quite another text"), (None, long), (6, "alone here")]
+    got = minmax.near_duplicates(docs_of(rows), settings=settings, carried=("text",)).collect()
+    seen = {(r["doc_id"], r["text"]): (r["component_id"], r["kept"]) for r in got}
+    assert len(got) == len(rows) and seen == {
+        (4, long): (4, True), (4, "quite another text"): (2, False), (9, long + " x"): (4, False), (2, "quite another text"): (2, True),
+        (None, long): (4, False), (6, "alone here"): (6, True),
+    }

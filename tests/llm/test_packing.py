@@ -83,7 +83,8 @@ def test_exchange_between_partitions(spark):
     assert sorted((r["doc_id"], r["length"]) for r in got) == sorted((i, n) for i, _, n, *_ in rows)
     used, bound = packing.bounds(packed, 64)
     assert bound <= check(got, 64) == used <= check(alone, 64)
-    assert packed.columns == ["doc_id", "piece", "length", "part", "sequence_id", "offset"]
+    assert packed.columns == ["doc_id", "piece", "length", "part", "sequence_id", "offset", "group_sequences", "group_bound"]
+    assert all(r["group_bound"] <= r["group_sequences"] for r in got)
     assert packing.pack(frame.limit(0), capacity=64).count() == 0
 
 
@@ -142,3 +143,12 @@ def test_added_tokens_that_tiktoken_cannot_find_are_an_error(added):
     file = json.dumps(json.loads(vocabulary()) | {"added_tokens": added}).encode()
     with pytest.raises(ValueError, match="added tokens"):
         packing.Tokenizer(file, public_tokenizers.PATTERN, encode_special_tokens=False)
+
+
+def test_keys_stay_next_to_missing_ones(spark):
+    """Ids that no double holds, in a group with a row that has none."""
+    large = 2**53
+    rows = [(large + 1, 0, 5), (large + 3, 0, 7), (None, 0, 6), (-large - 5, 1, 3), (None, 0, 64)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, piece int, length long"), capacity=64).collect()
+    assert sorted(map(repr, ((r["doc_id"], r["piece"], r["length"]) for r in got))) == sorted(map(repr, rows))
+    assert check(got, 64) == 2

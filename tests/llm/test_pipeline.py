@@ -70,3 +70,16 @@ def test_long_mixtures_and_unlearned_languages_stay(spark, docs_of):
     assert len(judged) == 2 and all(r["score"] < 0.4 and len(r["text"]) >= 500 for r in judged)
     got = corpus_pipeline.language(spark, docs, DATA).collect()
     assert sorted(r["doc_id"] for r in got) == [0, 1, 2, 3, 10, 11, 12]
+
+
+def test_a_key_with_several_texts_loses_none(spark, docs_of):
+    """Only the copy goes, not what else has its id."""
+    copied, alone = "the rain and the mill and the rain", "a text that nobody else has here"
+    near = " ".join(f"word{i} and" for i in range(60))
+    rows = [(4, copied), (4, alone), (9, copied), (5, near), (5, "one more text of its own"), (3, near + " more")]
+    docs = docs_of(rows)
+    exact = corpus_pipeline.exact(spark, docs, DATA)
+    assert sorted((r["doc_id"], r["text"]) for r in exact.collect()) == sorted(r for r in rows if r != (4, copied))
+    left = corpus_pipeline.near(spark, exact, DATA)
+    assert sorted((r["doc_id"], r["text"]) for r in left.collect()) == sorted(r for r in rows if r not in ((4, copied), (5, near)))
+    assert left.columns == docs.columns

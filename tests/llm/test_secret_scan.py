@@ -59,3 +59,34 @@ def test_redaction_merges_overlaps(docs_of):
     got = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs_of(rows)).collect()}
     assert got == {1: "é [assign] end", 2: None, 3: "plain", 4: "[hex]"}
     assert secret_scan.redact(docs_of(rows)).columns == docs_of(rows).columns
+
+
+def test_many_secrets_in_one_text(docs_of):
+    import time
+
+    n = 100_000
+    text = "é begin " + "".join(f"token=abcdef{i} and more {'AKIA' + 'Z' * 20 if i % 1000 == 0 else 'plain'} words\n" for i in range(n)) + "end"
+    start = time.time()
+    (row,) = secret_scan.redact(docs_of([(1, text)]).select("doc_id", "text")).collect()
+    took = time.time() - start
+    assert row["text"] == "é begin " + "".join(f"[assign] and more {'[access]' if i % 1000 == 0 else 'plain'} words\n" for i in range(n)) + "end"
+    assert took < 60
+    (found,) = secret_scan.scan_documents(docs_of([(1, text)]).drop("found")).collect()
+    assert [tuple(s) for s in found["found"]] == expected(text)
+
+
+def test_spans_around_the_borders_of_stretches(docs_of, monkeypatch):
+    monkeypatch.setattr(secret_scan, "STRETCH", 3)
+    key = "AKIA" + "A" * 20
+    rows = [(i, f" é token={key} " * i + "f" * 24 + " secret:abc" * (i % 3)) for i in range(9)]
+    scanned = {r["doc_id"]: [tuple(s) for s in r["found"]] for r in secret_scan.scan_documents(docs_of(rows).drop("found")).collect()}
+    assert scanned == {i: expected(t) for i, t in rows}
+    redacted = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs_of(rows)).collect()}
+    assert redacted == {i: " é [assign] " * i + "[hex]" + " secret:abc" * (i % 3) for i, _ in rows}
+
+
+def test_later_deliveries_scan_what_is_new(spark, docs_of):
+    rows = [(i, TEXTS[i % len(TEXTS)]) for i in range(40)] + [(None, TEXTS[0])]
+    one, three = (secret_scan.scan_documents(docs_of(rows).drop("found"), deliveries=d).collect() for d in (1, 3))
+    plain = lambda got: sorted((r["doc_id"] or -1, [tuple(s) for s in r["found"]]) for r in got)
+    assert plain(one) == plain(three) and len(three) == len(rows)
