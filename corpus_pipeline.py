@@ -1,8 +1,9 @@
 """A training-data pipeline over the documents, and the queries of its operators.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet
-and read again as the next stage's documents. Rows without a doc_id cannot be named by a
-decision and stay; rows that repeat are kept or dropped alike.
+and read again as the next stage's documents. A decision names a row by its doc_id and its
+text, so a doc_id may come with several texts. Rows without a doc_id cannot be named and
+stay; rows that repeat are kept or dropped alike.
 """
 
 from __future__ import annotations
@@ -23,9 +24,14 @@ for module in pkgutil.iter_modules(queries.__path__):
 __all__ = ["ORACLE_SQL", "QUERIES", "STAGES", "run"]
 
 
+def _with_digest(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("__digest", F.sha2(F.coalesce("text", F.lit("")), 256))
+
+
 def _without(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """``docs`` but for the rows that are not kept. The list of those may be long or short: Spark picks the join."""
-    return docs.join(judged.filter("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` but for the rows that are not kept (by ``doc_id`` and ``__digest``). Spark picks the join by their number."""
+    gone = judged.filter("not kept").select("doc_id", "__digest").distinct()
+    return _with_digest(docs).join(gone, ["doc_id", "__digest"], "left_anti").select(*docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,12 +46,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text."""
-    return _without(docs, exact_dedup.deduplicate(docs))
+    return _without(docs, exact_dedup.deduplicate(docs).withColumnRenamed("text_sha256", "__digest"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: shingles of five words, 0.8 or more."""
-    return _without(docs, minmax.near_duplicates(docs))
+    return _without(docs, minmax.near_duplicates(_with_digest(docs), carried=("__digest",)))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
