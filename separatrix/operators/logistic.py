@@ -1,8 +1,10 @@
 """Logistic regression by gradient ascent on vectors of any width, one or many penalties.
 
-Each iteration is one job. Tasks turn their rows into partial gradients with numpy
-on Arrow batches; the sums per (model, weight) come back to the driver, which holds
-the weights as it would for any linear model. The plan never grows with iterations.
+Each pass over the rows is one job: tasks turn their rows into partial gradients with numpy
+on Arrow batches, and the sums per (model, weight) come back to the driver, which holds the
+weights as it would for any linear model. Rows whose size is known to fit into the memory of
+a task take all passes there, as a job costs far more than a pass over so few rows. Both
+give the same weights up to rounding. The plan never grows with iterations.
 """
 
 from __future__ import annotations
@@ -22,7 +24,9 @@ from separatrix.functions.vectors import UNROLL_LIMIT, dot
 from separatrix.operators.tables import INTERCEPT
 
 # Most bytes of weights that travel to every task.
-MOST_BYTES = 1 << 30
+MOST_BYTES = 1 << 27
+# Stored entries of rows that one task takes all passes over: 64 MB.
+MOST_ENTRIES = 4_000_000
 # Index under which the log likelihood travels with the gradient.
 LIKELIHOOD = -1
 
@@ -81,14 +85,15 @@ class LogisticPath:
 
 def fit_path(df: DataFrame, features: str, label: str, words: Sequence[str], step: float,
              iterations: int, penalties: Sequence[float] = (0.0,), history: bool = False,
-             initial: Sequence[float] | None = None) -> LogisticPath:
-    """Gradient ascent for all penalties together, one pass over the rows per iteration.
-
-    The gradient is summed over rows, less ``2 * penalty * w`` but for the
-    intercept. ``history`` costs one more pass for the last iteration: every pass
-    measures the weights that the one before it produced.
+             initial: Sequence[float] | None = None, together: bool | None = None) -> LogisticPath:
+    """Gradient ascent for all penalties together.
+
+    The gradient is summed over rows, less ``2 * penalty * w`` but for the intercept.
+    ``history`` costs one more pass for the last iteration: every pass measures the weights
+    that the one before it produced. Rows with a null label or null features take no part.
+    ``together`` takes all passes in one task, or a job for each; by default the size of the
+    rows decides.
     """
-    spark = df.sparkSession
     lams = np.array([float(p) for p in penalties])
     _check_size(len(lams), len(words) + 1)
     if (2.0 * lams * step > 2.0).any():
@@ -96,22 +101,86 @@ def fit_path(df: DataFrame, features: str, label: str, words: Sequence[str], ste
     width = len(words) + 1
     start = np.zeros(width) if initial is None else np.array(initial, dtype=float)
     w = np.tile(start, (len(lams), 1))
-    shrink = 2.0 * lams[:, None] * np.r_[0.0, np.ones(width - 1)]
-    rows = df.select((F.col(label) == 1).cast("double").alias("_y"), F.col(features).alias("_x"))
+    rows = df.select((F.col(label) == 1).cast("double").alias("_y"), F.col(features).alias("_x")).dropna()
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     figures: list[list[float]] = [[] for _ in lams]
+    passes = iterations + (1 if history else 0)
     try:
-        for t in range(iterations + (1 if history else 0)):
-            grad, likelihood = _gradients(spark, rows, w)
-            if t:
-                penalty = lams * (w[:, 1:] ** 2).sum(axis=1)
-                for k, v in enumerate(likelihood - penalty):
-                    figures[k].append(v)
-            if t < iterations:
-                w = w + step * (grad - shrink * w)
+        if passes and (_entries(rows) <= MOST_ENTRIES if together is None else together):
+            w, figures = _all_passes(rows, w, lams, step, passes, iterations)
+        else:
+            for t in range(passes):
+                grad, likelihood = _gradients(df.sparkSession, rows, w)
+                for k, v in enumerate(_penalized(likelihood, w, lams)):
+                    figures[k].append(float(v))
+                if t < iterations:
+                    w = _ascended(w, grad, lams, step)
     finally:
         rows.unpersist()
-    return LogisticPath(list(words), lams.tolist(), w, figures)
+    # The first pass measures the initial weights.
+    return LogisticPath(list(words), lams.tolist(), w, [f[1:] for f in figures])
+
+
+def _penalized(likelihood: np.ndarray, w: np.ndarray, lams: np.ndarray) -> np.ndarray:
+    return likelihood - lams * (w[:, 1:] ** 2).sum(axis=1)
+
+
+def _ascended(w: np.ndarray, grad: np.ndarray, lams: np.ndarray, step: float) -> np.ndarray:
+    """One step uphill for every penalty; intercepts do not shrink."""
+    shrunk = 2.0 * lams[:, None] * w
+    shrunk[:, 0] = 0.0
+    return w + step * (grad - shrunk)
+
+
+def _entries(rows: DataFrame) -> int:
+    """Stored entries of all rows, and one for each row."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows + len(batch.column("_x").field("values").flatten())])], ["n"])
+
+    return rows.mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def _all_passes(rows: DataFrame, start: np.ndarray, lams: np.ndarray, step: float, passes: int, iterations: int):
+    """Weights after ``iterations``, and the likelihood that each pass measures, from one task."""
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, positive, parts, seen, figures = start, [np.empty(0)], [], 0, []
+        for batch in batches:
+            row, idx, value = unpack(batch.column("_x"))
+            positive.append(batch.column("_y").to_numpy())
+            parts.append((row + seen, idx, value))
+            seen += batch.num_rows
+        held = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.empty(0, int)] * 3
+        for t in range(passes):
+            grad, likelihood = _sums(np.concatenate(positive), *held, w)
+            figures.append(_penalized(likelihood, w, lams))
+            if t < iterations:
+                w = _ascended(w, grad, lams, step)
+        columns = [pa.array([c.ravel()], pa.list_(pa.float64())) for c in (w, np.array(figures).T)]
+        yield pa.RecordBatch.from_arrays(columns, ["w", "likelihoods"])
+
+    # A plan without rows may have no task at all.
+    done = rows.repartition(1).mapInArrow(train, "w array<double>, likelihoods array<double>").collect()
+    found = done[0] if done else next(train(iter(()))).to_pylist()[0]
+    return np.array(found["w"]).reshape(start.shape), np.array(found["likelihoods"]).reshape(len(lams), -1).tolist()
+
+
+def _sums(positive: np.ndarray, row: np.ndarray, idx: np.ndarray, value: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and log likelihood of some rows for each model."""
+    models, width = weights.shape
+    grad, likelihood = np.zeros((models, width)), np.zeros(models)
+    for k in range(models):
+        s = scores(row, idx, value, len(positive), weights[k])
+        small = np.exp(-np.abs(s))
+        p = np.where(s >= 0, 1.0, small) / (1.0 + small)
+        error = positive - p
+        grad[k, 0] = error.sum()
+        grad[k, 1:] = np.bincount(idx, weights=value * error[row], minlength=width - 1)
+        log1p_exp_neg = np.maximum(-s, 0.0) + np.log1p(small)
+        likelihood[k] = ((positive - 1.0) * s - log1p_exp_neg).sum()
+    return grad, likelihood
 
 
 def _check_size(models: int, width: int) -> None:
@@ -127,17 +196,8 @@ def _gradients(spark: SparkSession, rows: DataFrame, w: np.ndarray) -> tuple[np.
         models, width = weights.shape
         grad, likelihood = np.zeros((models, width)), np.zeros(models)
         for batch in batches:
-            positive = batch.column("_y").to_numpy()
-            row, idx, value = unpack(batch.column("_x"))
-            for k in range(models):
-                s = scores(row, idx, value, len(positive), weights[k])
-                small = np.exp(-np.abs(s))
-                p = np.where(s >= 0, 1.0, small) / (1.0 + small)
-                error = positive - p
-                grad[k, 0] += error.sum()
-                grad[k, 1:] += np.bincount(idx, weights=value * error[row], minlength=width - 1)
-                log1p_exp_neg = np.maximum(-s, 0.0) + np.log1p(small)
-                likelihood[k] += ((positive - 1.0) * s - log1p_exp_neg).sum()
+            more = _sums(batch.column("_y").to_numpy(), *unpack(batch.column("_x")), weights)
+            grad, likelihood = grad + more[0], likelihood + more[1]
         model, at = np.nonzero(grad)
         yield pa.RecordBatch.from_arrays(
             [
@@ -176,13 +236,13 @@ def progress(history: DataFrame) -> DataFrame:
 def with_margins(df: DataFrame, features: str, weights: dict[str, Sequence[float]]) -> DataFrame:
     """Add one affine score column per named weight vector and drop the features.
 
-    Narrow vectors are scored by generated code; wide ones by numpy on the stored
+    A few weights in all are scored by generated code; more by numpy on the stored
     entries of sparse vectors, without making them dense. Either way a null vector has
     null scores, and a vector of another size than the weights is an error.
     """
     sizes = {len(w) - 1 for w in weights.values()}
     _check_size(len(weights), max(sizes) + 1)
-    if max(len(w) for w in weights.values()) <= UNROLL_LIMIT:
+    if sum(len(w) for w in weights.values()) <= UNROLL_LIMIT:
         # The conversion fails on nulls, so it sees an empty vector in their place.
         nothing = array_to_vector(F.array().cast("array<double>"))
         known = F.col(features).isNotNull()

@@ -52,11 +52,12 @@ def fit_ordered(df: DataFrame, columns: Sequence[str], label: str, order: Sequen
     weights only move at mistakes. The number of chunks tried together doubles
     while no mistake turns up and drops to one after a mistake, so wasted work
     stays below the useful work and a nearly separated epoch takes few jobs.
+    Rows with a null label or feature take no part.
     """
     names, keys = list(columns), list(order)
     rows = df.select(
         *keys, F.col(label).cast("double").alias("_y"), *[c for c in names if c not in keys]
-    )
+    ).dropna(subset=["_y", *names])
     chunks = max(1, -(-rows.count() // chunk_rows))
     if chunks == 1:
         table, sweeps_per_job = rows.withColumn("_chunk", F.lit(0)), epochs
@@ -113,12 +114,13 @@ def fit_mixing(df: DataFrame, columns: Sequence[str], label: str, key: str, eta:
     whatever their number of rows. The result depends on nothing else, so ``shards`` should
     grow with the table. It separates separable data, with other weights than the
     sequential learner. Each epoch is one job that brings ``shards`` small vectors to the
-    driver.
+    driver. Rows with a null key, label or feature take no part.
     """
     names = list(columns)
     shard = F.floor(stable_uniform(key, seed) * shards).cast("int")
     rows = (
         df.select(key, F.col(label).cast("double").alias("_y"), *names)
+        .dropna(subset=[key, "_y", *names])
         .repartitionById(shards, shard)
         .sortWithinPartitions(key)
         .persist(StorageLevel.MEMORY_AND_DISK)

@@ -14,7 +14,8 @@ from separatrix.operators.tables import drop_neutral, rating_sentiment, safe_lab
 from separatrix.sources.readers import load_table, xor_label
 from separatrix.storage import materialize, spread
 
-WORDS = 20
+# Fixed value: the length of the word list.
+WORDS = 193
 SPLIT_SEED = 2
 BALANCE_SEED = 1
 TRAIN_SHARE = 0.8

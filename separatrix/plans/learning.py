@@ -38,7 +38,7 @@ def named_weights(spark, model):
 
 # --- perceptron and Adaline -------------------------------------------------------
 
-ETA, EPOCHS = 0.01, 5
+ETA, EPOCHS = 0.01, 10
 
 _START = "{'w0': 0.0::DOUBLE, 'w1': 0.0::DOUBLE, 'w2': 0.0::DOUBLE, 'c': 0.0::DOUBLE, 'a': 0.0::DOUBLE, 'b': 0.0::DOUBLE, 'y': 0.0::DOUBLE}"
 _ITEM = "{'w0': 0.0::DOUBLE, 'w1': 0.0::DOUBLE, 'w2': 0.0::DOUBLE, 'c': 0.0::DOUBLE, 'a': x0, 'b': x1, 'y': y::DOUBLE}"
@@ -221,64 +221,60 @@ def partial_fit_weights(spark, folder):
 
 # --- logistic regression ----------------------------------------------------------
 
-# Penalties and step.
+# Penalties, steps and iterations of the sweep and of the plain ascent.
 PENALTIES = [0.0, 4.0, 10.0, 100.0, 1000.0, 100000.0]
-STEP = 5e-6
-# Enough for the second branch of the rule for log lines; SQL writes out every pass.
-ITERATIONS = 21
+STEP, ITERATIONS = 5e-6, 501
+PLAIN_STEP, PLAIN_ITERATIONS = 1e-7, 301
 
 
-def path_sql(body: str, penalties=PENALTIES, step=STEP, iterations=ITERATIONS, rows="split = 'train'",
-             history: bool = False) -> str:
-    """Gradient ascent written out pass by pass, ending in the table ``w(l2, idx, value)``."""
+def path_sql(body: str, penalties=PENALTIES, step=STEP, iterations=ITERATIONS, rows="split = 'train'") -> str:
+    """Gradient ascent on lists of weights, one row of ``run(l2, t, w)`` for each penalty and iteration.
+
+    ``w(l2, idx, value)`` holds the weights at the end.
+    """
     lams = ", ".join(f"({p}::DOUBLE)" for p in penalties)
-    parts = [
-        f"fit_docs AS MATERIALIZED (SELECT doc_id, sentiment FROM docs WHERE {rows})",
-        "fit_x AS MATERIALIZED (SELECT x.* FROM x JOIN fit_docs USING (doc_id))",
-        f"w_0 AS MATERIALIZED (SELECT l2, idx, 0.0::DOUBLE AS value FROM (VALUES {lams}) p(l2), "
-        f"(SELECT 0 AS idx UNION ALL SELECT idx FROM vocab) i)",
-    ]
-    for t in range(iterations + (1 if history else 0)):
-        parts.append(
-            f"s_{t} AS MATERIALIZED (SELECT l2, doc_id, any_value(sentiment) AS sentiment, sum(w.value * x.v) AS s "
-            f"FROM fit_x x JOIN w_{t} w ON w.idx = x.idx JOIN fit_docs d USING (doc_id) GROUP BY l2, doc_id)"
-        )
-        if t == iterations:
-            break
-        parts.append(
-            f"g_{t} AS MATERIALIZED (SELECT l2, idx, sum(x.v * ((CASE WHEN sentiment = 1 THEN 1.0::DOUBLE ELSE "
-            f"0.0::DOUBLE END) - CASE WHEN s >= 0 THEN 1 / (1 + exp(-s)) ELSE exp(s) / (1 + exp(s)) END)) AS g "
-            f"FROM fit_x x JOIN s_{t} s USING (doc_id) GROUP BY l2, idx)"
-        )
-        parts.append(
-            f"w_{t + 1} AS MATERIALIZED (SELECT w.l2, w.idx, w.value + {step!r}::DOUBLE * (coalesce(g, 0) - CASE WHEN "
-            f"w.idx = 0 THEN 0 ELSE 2 * w.l2 * w.value END) AS value FROM w_{t} w LEFT JOIN g_{t} g "
-            f"ON g.l2 = w.l2 AND g.idx = w.idx)"
-        )
-    parts.append(f"w AS (SELECT * FROM w_{iterations})")
-    return with_sql("x", "WITH " + ",\n".join(parts) + "\n" + body)
+    sigma = "(CASE WHEN {s} >= 0 THEN 1 / (1 + exp(-{s})) ELSE exp({s}) / (1 + exp({s})) END)".format(s="list_dot_product(r.x, w)")
+    return with_sql(
+        "x",
+        f"""WITH fit_docs AS MATERIALIZED (SELECT doc_id, (sentiment = 1)::INTEGER::DOUBLE AS y FROM docs WHERE {rows}),
+        dense AS MATERIALIZED (SELECT d.doc_id, d.y, i.idx, coalesce(x.v, 0.0::DOUBLE) AS v
+            FROM fit_docs d CROSS JOIN (SELECT 0 AS idx UNION ALL SELECT idx FROM vocab) i
+            LEFT JOIN x ON x.doc_id = d.doc_id AND x.idx = i.idx),
+        by_row AS MATERIALIZED (SELECT list({{'x': r, 'y': y}} ORDER BY doc_id) AS xs
+            FROM (SELECT doc_id, any_value(y) AS y, list(v ORDER BY idx) AS r FROM dense GROUP BY doc_id)),
+        by_word AS MATERIALIZED (SELECT list(c ORDER BY idx) AS cs FROM (SELECT idx, list(v ORDER BY doc_id) AS c FROM dense GROUP BY idx)),
+        run(l2, t, w) AS (
+            SELECT l2, 0, list_transform(cs, lambda c: 0.0::DOUBLE) FROM (VALUES {lams}) p(l2), by_word
+            UNION ALL
+            SELECT l2, t + 1, list_transform(list_zip(w, list_transform(cs, lambda c: list_dot_product(c, e))), lambda p, j:
+                p[1] + {step!r}::DOUBLE * (p[2] - CASE WHEN j = 1 THEN 0 ELSE 2 * l2 * p[1] END))
+            FROM (SELECT l2, t, w, list_transform(xs, lambda r: r.y - {sigma}) AS e FROM run, by_row WHERE t < {iterations}) errors, by_word),
+        w AS (SELECT l2, unnest(range(len(w)))::INTEGER AS idx, unnest(w) AS value FROM run WHERE t = {iterations})
+        {body}""",
+        recursive=True,
+    )
 
 
 NAMED_SQL = """(SELECT w.l2, w.idx, coalesce(v.word, '(intercept)') AS word, w.value
     FROM w LEFT JOIN vocab v ON v.idx = w.idx)"""
 
 
-def train_path(spark, folder, penalties=tuple(PENALTIES), history=False, rows="split = 'train'"):
+def train_path(spark, folder, penalties=tuple(PENALTIES), history=False, rows="split = 'train'", step=STEP, iterations=ITERATIONS):
     """Words, matrix and trained path of the review models."""
     words = fx.review_words(spark, folder)
     matrix = fx.review_matrix(spark, folder, words)
-    path = logistic.fit_path(
-        matrix.filter(rows), "features", "sentiment", words, STEP, ITERATIONS, penalties, history
-    )
+    path = logistic.fit_path(matrix.filter(rows), "features", "sentiment", words, step, iterations, penalties, history)
     return words, matrix, path
 
 
 @query(
     "I5",
-    path_sql(f"SELECT idx, word, round(value, 6) + 0.0::DOUBLE AS value FROM {NAMED_SQL} n", [0.0], rows="TRUE"),
+    path_sql(
+        f"SELECT idx, word, round(value, 6) + 0.0::DOUBLE AS value FROM {NAMED_SQL} n", [0.0], PLAIN_STEP, PLAIN_ITERATIONS, "TRUE"
+    ),
 )
 def logistic_ascent(spark, folder):
-    _, _, path = train_path(spark, folder, (0.0,), rows="true")
+    _, _, path = train_path(spark, folder, (0.0,), rows="true", step=PLAIN_STEP, iterations=PLAIN_ITERATIONS)
     return rounded(path.coefficients(spark).select("idx", "word", "value"))
 
 
@@ -350,23 +346,19 @@ def coefficient_path(spark, folder):
     return rounded(logistic.coefficient_path(coefficients, words))
 
 
-def _history_sql() -> str:
-    term = (
-        "((CASE WHEN sentiment = 1 THEN 0.0::DOUBLE ELSE -1.0::DOUBLE END) * s "
-        "- (greatest(-s, 0) + ln(1 + exp(-abs(s)))))"
-    )
-    lines = [
-        f"SELECT s.l2, {t - 1} AS iteration, round(any_value(p.ll) - s.l2 * any_value(q.sq), 6) AS log_likelihood "
-        f"FROM (SELECT DISTINCT l2 FROM s_{t}) s JOIN (SELECT l2, sum({term}) AS ll FROM s_{t} GROUP BY l2) p USING (l2) "
-        f"JOIN (SELECT l2, sum(CASE WHEN idx > 0 THEN value * value ELSE 0 END) AS sq FROM w_{t} GROUP BY l2) q USING (l2) "
-        f"GROUP BY s.l2"
-        for t in range(1, ITERATIONS + 1)
-        if t <= 16 or t % 10 == 1
-    ]
-    return path_sql(" UNION ALL ".join(lines), [0.0, 10.0], history=True)
+# Likelihoods of the weights after a pass; passes count from 0.
+_HISTORY_SQL = path_sql(
+    """, logged AS (SELECT l2, t - 1 AS iteration, w FROM run WHERE t > 0
+        AND (t <= 16 OR t <= 101 AND t % 10 = 1 OR t % 100 = 1)),
+    terms AS (SELECT l2, iteration, w, unnest(list_transform(xs, lambda r: {'s': list_dot_product(r.x, w), 'y': r.y})) AS r FROM logged, by_row)
+    SELECT l2, iteration::INTEGER AS iteration, round(sum((r.y - 1) * r.s - (greatest(-r.s, 0) + ln(1 + exp(-abs(r.s)))))
+        - l2 * (list_dot_product(any_value(w), any_value(w)) - any_value(w)[1] * any_value(w)[1]), 6) AS log_likelihood
+    FROM terms GROUP BY l2, iteration""",
+    [0.0, 10.0],
+)
 
 
-@query("I9", _history_sql())
+@query("I9", _HISTORY_SQL)
 def training_log(spark, folder):
     _, _, path = train_path(spark, folder, (0.0, 10.0), history=True)
     return rounded(logistic.progress(path.log_likelihoods(spark)))
@@ -441,14 +433,14 @@ def logistic_classes(spark, folder):
 @query("I12")
 def linear_svm_classes(spark, folder):
     flowers = _species(spark, folder)
-    model = estimators.linear_svm(flowers, ["x0", "x1"], "species", many_classes=True, max_iter=20)
+    model = estimators.linear_svm(flowers, ["x0", "x1"], "species", many_classes=True)
     return metrics.confusion_matrix(model.transform(flowers), "species", "prediction")
 
 
 @query("I13")
 def kernel_svm_accuracy(spark, folder):
     points = fx.quadrants(spark, folder).withColumn("target", estimators.binary_label("label"))
-    model, mapped = estimators.rbf_svm(points, ["x0", "x1"], "target", gamma=10.0, max_iter=20)
+    model, mapped = estimators.rbf_svm(points, ["x0", "x1"], "target", gamma=0.1)
     return metrics.accuracy(model.transform(mapped(points)), "target", "prediction")
 
 

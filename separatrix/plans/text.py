@@ -22,7 +22,7 @@ _ALL_VOCAB = f"""
     all_vocab AS MATERIALIZED (
         SELECT word, df, (row_number() OVER (ORDER BY df DESC, word) - 1)::INTEGER AS idx FROM (
             SELECT word, count(DISTINCT doc_id) AS df FROM all_tokens
-            GROUP BY word ORDER BY df DESC, word LIMIT 50) t)"""
+            GROUP BY word ORDER BY df DESC, word LIMIT {fx.WORDS}) t)"""
 
 
 def _documents(spark, folder):
@@ -47,16 +47,16 @@ def word_counts(spark, folder):
 @query(
     "E3",
     f"""WITH {_ALL_VOCAB}
-    SELECT d.doc_id, v.idx, count(t.word) AS n FROM documents d CROSS JOIN all_vocab v
-    LEFT JOIN all_tokens t ON t.doc_id = d.doc_id AND t.word = v.word GROUP BY d.doc_id, v.idx""",
+    SELECT t.doc_id, v.idx, count(*) AS n FROM all_tokens t JOIN all_vocab v ON t.word = v.word GROUP BY t.doc_id, v.idx""",
 )
 def counts_of_given_words(spark, folder):
-    """Counts of the 50 most frequent words in every document, zeros included."""
+    """Counts of the most frequent words in every document, a row for each word that occurs in it."""
     documents = _documents(spark, folder)
-    words = tx.vocabulary(documents, "clean", 50)
+    words = tx.vocabulary(documents, "clean", fx.WORDS)
     counted = tx.with_word_vector(documents, "clean", words).select("doc_id", vector_to_array("features").alias("v"))
-    long = counted.select("doc_id", F.posexplode_outer("v").alias("idx", "n"))
-    return long.withColumn("n", F.col("n").cast("long"))
+    # Zeros go before the rows are made.
+    numbered = F.transform("v", lambda n, i: F.struct(i.alias("idx"), n.cast("long").alias("n")))
+    return counted.select("doc_id", F.inline(F.filter(numbered, lambda p: p["n"] > 0)))
 
 
 def _in_list(words) -> str:
@@ -100,4 +100,4 @@ def rows_with_word(spark, folder):
 
 @query("E6", f"WITH {_ALL_VOCAB} SELECT word, df FROM all_vocab")
 def frequent_words(spark, folder):
-    return tx.frequent_words(_documents(spark, folder), "clean", 50)
+    return tx.frequent_words(_documents(spark, folder), "clean", fx.WORDS)
