@@ -146,6 +146,20 @@ class Sweep:
         return self.a @ w + self.b, 0.5 * float(v @ self.errors_gram @ v)
 
 
+def descend(z: np.ndarray, y: np.ndarray, w: np.ndarray, eta: float) -> tuple[np.ndarray, float]:
+    """Row-by-row descent over rows ``z`` (with the constant) from weights ``w``: end weights, half the sum of squared errors.
+
+    A block's errors solve one triangular system, as in ``Sweep.extend``, so no map is needed.
+    """
+    cost = 0.0
+    for start in range(0, len(y), BLOCK):
+        part = z[start:start + BLOCK]
+        errors = np.linalg.solve(np.eye(len(part)) + eta * np.tril(part @ part.T, -1), y[start:start + BLOCK] - part @ w)
+        w = w + eta * errors @ part
+        cost += 0.5 * float(errors @ errors)
+    return w, cost
+
+
 RECORD = "n long, a array<double>, b array<double>, m array<double>"
 
 

@@ -47,14 +47,12 @@ def online_model_per_user(spark, folder):
     """Weights of every user's own online model after the whole stream."""
     path = fresh_path(spark, "online-users")
     table = online.KeyedWeights(spark, f"{path}/models", "user_id", "long")
-    run = online.learn_per_key(
+    run = online.learn_keyed_state(
         _stream(spark, folder), "user_id", ["x"], "y", ["ts", "event_id"], STREAM_ETA, table, f"{path}/state"
     )
     run.awaitTermination()
-    models = table.read()
-    newest = models.filter(F.col("batch_id") == models.agg(F.max("batch_id")).scalar())
     weights = [F.get("w", F.lit(j)).alias(f"w{j}") for j in range(2)]
-    return rounded(newest.select("user_id", "seen", *weights))
+    return rounded(online.newest(table).select("user_id", "seen", *weights))
 
 
 @query(

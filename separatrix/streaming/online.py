@@ -9,12 +9,16 @@ import pandas as pd
 from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from separatrix.operators.adaline import BLOCK, RECORD, Sweep, composed, partial_fit
+from separatrix.operators.adaline import BLOCK, RECORD, Sweep, composed, descend, partial_fit
 from separatrix.operators.models import LinearModel
 from separatrix.storage import parallelism
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
     """A stored table as a stream of its files; the path may be a glob."""
     reader = spark.readStream.schema(schema)
@@ -164,6 +168,70 @@ def learn_per_key(stream: DataFrame, key: str, columns: Sequence[str], label: st
     )
 
 
+def newest(table: KeyedWeights) -> DataFrame:
+    """``(key, seen, w)`` of every key, from the last batch that wrote it."""
+    latest = F.max_by(F.struct("seen", "w"), "batch_id").alias("m")
+    return table.read().groupBy(table.key).agg(latest).select(table.key, "m.seen", "m.w")
+
+
+def learn_keyed_state(stream: DataFrame, key: str, columns: Sequence[str], label: str, order: Sequence[str], eta: float,
+                      table: KeyedWeights, checkpoint: str, idle_ms: int | None = None) -> StreamingQuery:
+    """One online model per key, its weights in Spark's state store.
+
+    A micro-batch reads and writes the state of its own keys only, and only their weights go
+    to ``table``, one folder for each batch; ``newest`` puts them together. State lives in
+    RocksDB, outside the heap, and is part of the checkpoint, so a restart goes on where the
+    last batch ended. With ``idle_ms`` a key's state goes in the first batch after no row has
+    come for so long, and its next row starts from zeros.
+
+    The rows of a key are learned in ``order`` within a batch; late rows are applied when they
+    arrive. A task holds a key's rows of one batch as numbers, so the source's limit per
+    batch bounds it; ``learn_per_key`` cuts such a key over several tasks instead. Rows with
+    a null key, label or feature are left out.
+    """
+    names, size = list(columns), len(columns) + 1
+    kind = stream.schema[key].dataType.simpleString()
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+
+    def learn(whose: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        seen, w = state.get if state.exists else (0, [0.0] * size)
+        rows = pd.concat(list(frames)).sort_values(list(order), kind="stable")
+        z = np.column_stack([np.ones(len(rows)), rows[names].to_numpy(dtype=float)])
+        w, _ = descend(z, rows["_y"].to_numpy(dtype=float), np.array(w, dtype=float), eta)
+        seen += len(rows)
+        state.update((int(seen), w.tolist()))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame({key: [whose[0]], "seen": [seen], "w": [w.tolist()]})
+
+    doubles = [F.col(c).cast("double").alias(c) for c in names]
+    rows = stream.select(key, *order, F.col(label).cast("double").alias("_y"), *doubles).dropna(subset=[key, "_y", *names])
+    models = rows.groupBy(key).applyInPandasWithState(learn, f"`{key}` {kind}, seen long, w array<double>", "seen long, w array<double>", "update", timeout)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(table.folder(batch_id))
+
+    # A query takes settings along when it starts. Timers would keep it running without new rows.
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    conf = stream.sparkSession.conf
+    before = {name: conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        conf.set(name, value)
+    try:
+        return (
+            models.writeStream.outputMode("update").foreachBatch(write)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        for name, value in before.items():
+            conf.unset(name) if value is None else conf.set(name, value)
+
+
 def score_stream(stream: DataFrame, model: LinearModel) -> DataFrame:
     """Arriving rows with their score and class; stateless."""
     return stream.withColumns({"score": model.score(), "prediction": model.predict()})

@@ -85,3 +85,41 @@ def test_stateless_scores(spark, tmp_path):
     )
     assert len(out) == 50
     assert all(r["prediction"] == (1 if 0.1 - 2.0 * r["x"] >= 0 else -1) for r in out)
+
+
+def keyed_state(spark, tmp_path, **more):
+    table = online.KeyedWeights(spark, f"{tmp_path}/models", "k", "long")
+    run = online.learn_keyed_state(stream(spark, f"{tmp_path}/in"), "k", ["x"], "y", ["n"], 0.05, table, f"{tmp_path}/state", **more)
+    run.awaitTermination()
+    return table
+
+
+def test_state_store_goes_on_after_a_restart(spark, tmp_path):
+    data = rows()
+    # The second part has some of the keys only, and rows that cannot be learned from.
+    later = [(1000 + i, 2, 0.1 * i, 1) for i in range(40)] + [(2000, None, 1.0, 1), (2001, 3, None, 1), (2002, 3, 1.0, None)]
+    write_batches(spark, f"{tmp_path}/in", data)
+    table = keyed_state(spark, tmp_path)
+    assert {r["batch_id"] for r in table.read().collect()} == {0, 1, 2}
+    write_batches(spark, f"{tmp_path}/in", later)
+    table = keyed_state(spark, tmp_path)
+    # Keys without new rows are not written again.
+    assert [r["k"] for r in table.read().filter("batch_id = 3").collect()] == [2]
+    found = {r["k"]: (r["seen"], r["w"]) for r in online.newest(table).collect()}
+    for key in {d[1] for d in data}:
+        mine = [d for d in data + later if d[1] == key and None not in d]
+        assert found[key][0] == len(mine) and np.allclose(found[key][1], learn(mine, 0.05))
+
+
+def test_idle_keys_are_forgotten(spark, tmp_path):
+    import time
+
+    write_batches(spark, f"{tmp_path}/in", [(0, 1, 0.5, 1), (1, 2, 0.5, 1)])
+    keyed_state(spark, tmp_path, idle_ms=1)
+    time.sleep(1)
+    # A batch in which the timers run out, then one with a row of key 1.
+    for row in ((2, 3, 0.5, 1), (3, 1, 0.25, -1)):
+        write_batches(spark, f"{tmp_path}/in", [row])
+        table = keyed_state(spark, tmp_path, idle_ms=1)
+    found = {r["k"]: (r["seen"], r["w"]) for r in online.newest(table).collect()}
+    assert found[1][0] == 1 and np.allclose(found[1][1], learn([(3, 1, 0.25, -1)], 0.05))
