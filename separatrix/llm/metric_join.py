@@ -34,7 +34,8 @@ class Settings:
     pivots: tuple[int, int] = (16, 256)  # fewest and most pivots of a cell that is split
     sample: int = 2048  # points that pivots are chosen from, and that a split is judged by
     share: float = 0.5  # a split must leave no more than this share of the comparisons
-    portion: int = 20_000  # points of a cell that one task assigns to pivots
+    most_copies: float = 4.0  # and send a point to no more cells than this on average
+    portion: int = 20_000  # points with their copies that one task assigns to pivots
 
 
 def _points(rows: DataFrame, key: str, vector: str, label: str | None) -> DataFrame:
@@ -122,13 +123,13 @@ def _judge(points: DataFrame, large: DataFrame, settings: Settings) -> DataFrame
 
 
 def _split(points: DataFrame, chosen: DataFrame, settings: Settings) -> DataFrame:
-    """Points of the chosen cells (``cell, pivots, n``) with ``sub`` and ``subhome``, a row for each cell they go to."""
+    """Points of the chosen cells (``cell, pivots, n, copies``) with ``sub`` and ``subhome``, a row for each cell they go to."""
     radius = _radius(settings)
     kind = dict(points.dtypes)["key"]
-    parts = F.ceil(F.col("n") / settings.portion).cast("int")
-    pivots = chosen.select("cell", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "pivots")
-    rows = points.join(chosen.select("cell", "n"), "cell")
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("key"), parts).cast("int")).select("cell", "part", "key", "copies", "vector", "home")
+    sized = chosen.select("cell", "pivots", F.ceil(F.col("n") * F.col("copies") / settings.portion).cast("int").alias("parts"))
+    pivots = sized.select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "pivots")
+    rows = points.join(sized.select("cell", "parts"), "cell")
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).select("cell", "part", "key", "copies", "vector", "home")
 
     def assign(points: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
         names = ["cell", "key", "copies", "vector", "home", "sub", "subhome"]
@@ -152,7 +153,7 @@ def _cells(points: DataFrame, scratch: Scratch, settings: Settings) -> DataFrame
         sizes = open_points.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("home").cast("long")).alias("homes"))
         large = sizes.filter((F.col("n") > settings.cell) & (F.col("homes") > 0))
         judged = scratch.keep(_judge(open_points, large, settings).join(large, "cell"), f"judged-{turn}")
-        chosen = judged.filter(F.col("share") <= settings.share)
+        chosen = judged.filter((F.col("share") <= settings.share) & (F.col("copies") <= settings.most_copies))
         if chosen.isEmpty():
             done.append(open_points)
             break

@@ -32,7 +32,7 @@ def clustered(seed, n, dims):
     return [(int(i), int(rng.integers(2)), (centres[rng.integers(40)] + 0.1 * rng.normal(size=dims)).round(3).tolist()) for i in rng.permutation(n)]
 
 
-@pytest.mark.parametrize("dims,settings", [(3, metric_join.Settings(cell=25, pivots=(6, 20), per_pivot=8, sample=60, portion=50)), (24, metric_join.Settings(cell=40, pivots=(4, 16), sample=100)), (3, metric_join.Settings())])
+@pytest.mark.parametrize("dims,settings", [(3, metric_join.Settings(cell=25, pivots=(6, 20), per_pivot=8, sample=60, portion=50, most_copies=20)), (24, metric_join.Settings(cell=40, pivots=(4, 16), sample=100, most_copies=20)), (3, metric_join.Settings())])
 def test_links_equal_brute_force(spark, dims, settings):
     rows = clustered(dims, 420, dims)
     # A vector that a third of a label repeats.
@@ -47,7 +47,7 @@ def test_links_equal_brute_force(spark, dims, settings):
 def test_splits_save_work(spark):
     from separatrix.llm.scratch import Scratch
 
-    settings = metric_join.Settings(cell=25, pivots=(6, 6))
+    settings = metric_join.Settings(cell=25, pivots=(6, 6), most_copies=20)
     rows = clustered(3, 400, 3)
     frame = spark.createDataFrame(rows, "key long, label int, vector array<double>").selectExpr("'c' AS cell", "key", "1L AS copies", "vector")
     cells = metric_join._cells(frame, Scratch(spark), settings).collect()
