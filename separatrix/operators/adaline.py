@@ -24,6 +24,7 @@ from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from separatrix.functions.hashing import key_digest, stable_uniform
+from separatrix.operators.logistic import scores, unpack
 from separatrix.operators.models import LinearModel
 from separatrix.storage import parallelism
 
@@ -91,6 +92,48 @@ def fit_batch(df: DataFrame, columns: Sequence[str], label: str, eta: float = 0.
     return LinearModel(list(columns), w.tolist(), history)
 
 
+def fit_batch_vectors(df: DataFrame, features: str, label: str, width: int, eta: float = 0.01, epochs: int = 10) -> LinearModel:
+    """Batch gradient descent on vectors of any width, dense or sparse: no cell for a pair of features.
+
+    Each epoch is one job. Tasks add up the gradient of their rows, of stored entries only,
+    and executors add up the tasks' sums by feature; what returns is as long as the weights.
+    ``history`` is the cost before each update. Rows with a null label or null features take
+    no part, and a vector of another size is an error.
+    """
+    rows = df.select(F.col(label).cast("double").alias("_y"), F.col(features).alias("_x")).dropna().persist(StorageLevel.MEMORY_AND_DISK)
+    w, history = np.zeros(width + 1), []
+    try:
+        for _ in range(epochs):
+            shared = df.sparkSession.sparkContext.broadcast(w)
+
+            def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                weights = shared.value
+                grad, square = np.zeros(len(weights)), 0.0
+                for batch in batches:
+                    vectors = batch.column("_x")
+                    row, idx, value = unpack(vectors)
+                    dense = vectors.field("type").to_numpy(zero_copy_only=False) == 1
+                    sizes = np.where(dense, np.bincount(row, minlength=batch.num_rows), vectors.field("size").fill_null(0).to_numpy())
+                    if (sizes != width).any():
+                        raise ValueError(f"vectors of length {sorted(set(sizes.tolist()) - {width})}, expected {width}")
+                    error = batch.column("_y").to_numpy() - scores(row, idx, value, batch.num_rows, weights)
+                    grad[0] += error.sum()
+                    grad[1:] += np.bincount(idx, weights=value * error[row], minlength=width)
+                    square += float(error @ error)
+                at = np.flatnonzero(grad)
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(grad[at], square))], ["idx", "v"])
+
+            found = rows.mapInArrow(partial, "idx long, v double").groupBy("idx").agg(F.sum("v").alias("v")).toArrow()
+            shared.destroy()
+            idx, v = (found.column(c).to_numpy() for c in ("idx", "v"))
+            history.append(0.5 * float(v[idx == -1].sum()))
+            w = w.copy()
+            w[idx[idx >= 0]] += eta * v[idx >= 0]
+    finally:
+        rows.unpersist()
+    return LinearModel([f"x{j}" for j in range(width)], w.tolist(), history)
+
+
 @dataclass
 class Sweep:
     """Row-by-row descent over some rows, as a function of the weights it starts from.

@@ -13,6 +13,7 @@ from separatrix.functions.vectors import link, sign_strict
 from separatrix.operators import (
     adaline,
     estimators,
+    keyed,
     logistic,
     metrics,
     neighbours,
@@ -220,6 +221,67 @@ def partial_fit_weights(spark, folder):
     return named_weights(spark, model)
 
 
+# --- one model per key ------------------------------------------------------------
+
+KEYED_EPOCHS = 4
+_KEYED_ITEM = "{'w0': 0.0::DOUBLE, 'w1': 0.0::DOUBLE, 'c': 0.0::DOUBLE, 'x': x::DOUBLE, 'y': y::DOUBLE}"
+
+
+def _keyed_sql(step: str, figure: str, order: str, select: str) -> str:
+    """Folds of every user's events, epoch after epoch."""
+    net = "(m.w0 + m.w1 * r.x)"
+    step, figure = step.format(net=net), figure.format(net=net)
+    return with_sql(
+        "samples",
+        f"""WITH passes AS MATERIALIZED (SELECT user_id, e, count(*) AS n, list({_KEYED_ITEM} ORDER BY {order}, event_id) AS xs
+            FROM samples, range(1, {KEYED_EPOCHS + 1}) t(e) GROUP BY user_id, e),
+        run AS (SELECT DISTINCT user_id, 0::BIGINT AS epoch, 0.0::DOUBLE AS w0, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS c, 0::BIGINT AS n FROM passes
+            UNION ALL SELECT user_id, epoch, f.w0, f.w1, f.c, n FROM (
+                SELECT run.user_id, run.epoch + 1 AS epoch, passes.n, list_reduce(xs, lambda m, r: {{'w0': m.w0 + {step},
+                    'w1': m.w1 + {step} * r.x, 'c': m.c + {figure}, 'x': 0.0::DOUBLE, 'y': 0.0::DOUBLE}},
+                    {{'w0': run.w0, 'w1': run.w1, 'c': 0.0::DOUBLE, 'x': 0.0::DOUBLE, 'y': 0.0::DOUBLE}}) AS f
+                FROM run JOIN passes ON passes.e = run.epoch + 1 AND passes.user_id = run.user_id) t)
+        {select}""",
+        recursive=True,
+    )
+
+
+def _keyed_report(models, figure):
+    weights = [F.get("w", F.lit(j)).alias(f"w{j}") for j in range(2)]
+    return rounded(models.select("user_id", "n", *weights, F.get("figures", F.lit(KEYED_EPOCHS - 1)).alias(figure)))
+
+
+@query(
+    "I1",
+    _keyed_sql(
+        f"({STREAM_ETA}::DOUBLE * (r.y - CASE WHEN {{net}} >= 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END))",
+        "(r.y <> (CASE WHEN {net} >= 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END))::INTEGER::DOUBLE",
+        "ts",
+        f"SELECT user_id, n, round(w0, 6) + 0.0::DOUBLE AS w0, round(w1, 6) + 0.0::DOUBLE AS w1, c AS errors FROM run WHERE epoch = {KEYED_EPOCHS}",
+    ),
+)
+def perceptron_per_user(spark, folder):
+    """A perceptron for every user's events in time order, and its updates in the last epoch."""
+    models = keyed.perceptron_per_key(fx.samples(spark, folder), "user_id", ["x"], "y", ["ts", "event_id"], STREAM_ETA, KEYED_EPOCHS)
+    return _keyed_report(models, "errors")
+
+
+@query(
+    "I3 D5",
+    _keyed_sql(
+        f"({STREAM_ETA}::DOUBLE * (r.y - {{net}}))",
+        "(0.5::DOUBLE * (r.y - {net}) * (r.y - {net}))",
+        "md5(concat_ws(':', event_id::VARCHAR, '7', e::VARCHAR))",
+        f"""SELECT user_id, n, round(w0, 6) + 0.0::DOUBLE AS w0, round(w1, 6) + 0.0::DOUBLE AS w1, round(c / n, 6) AS cost
+        FROM run WHERE epoch = {KEYED_EPOCHS}""",
+    ),
+)
+def stochastic_per_user(spark, folder):
+    """Row-by-row descent for every user, shuffled anew in each epoch, and its mean cost in the last one."""
+    models = keyed.stochastic_per_key(fx.samples(spark, folder), "user_id", ["x"], "y", "event_id", STREAM_ETA, KEYED_EPOCHS, seed=7)
+    return _keyed_report(models, "cost")
+
+
 # --- logistic regression ----------------------------------------------------------
 
 # Penalties, steps and iterations of the sweep and of the plain ascent.
