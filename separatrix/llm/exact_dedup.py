@@ -16,22 +16,32 @@ from separatrix.storage import materialize
 # Shortest and longest chunk in characters.
 SHORTEST, LONGEST = 256, 4096
 # First and last letters of scripts whose letters stand in blocks of Unicode: a letter counts by its place.
-ALPHABETS = ("AZ", "\u00e0\u00ff", "\u03b1\u03c9", "\u0410\u044f", "\u05d0\u05ea", "\u0621\u064a", "\u0905\u0939", "\u0e01\u0e2e", "\u3041\u3096", "\u30a1\u30fa")
+LATIN = ("AZ", "\u00e0\u00ff")
+ALPHABETS = ("\u03b1\u03c9", "\u0410\u044f", "\u05d0\u05ea", "\u0621\u064a", "\u0905\u0939", "\u0e01\u0e2e", "\u3041\u3096", "\u30a1\u30fa")
 # Scripts of thousands of signs, in stretches of 64.
 SIGNS = ("\u4e00\u9fff", "\uac00\ud7a3")
 
 
-def _every(start: int, step: int, latin: str) -> str:
-    """A class of Latin letters, digits, and every ``step``-th letter of other alphabets, or stretch of signs."""
-    found = [latin, *(str(d) for d in range(start % 4, 10, 4))]
-    found += [rf"\x{{{c:x}}}" for first, last in ALPHABETS for c in range(ord(first) + start, ord(last) + 1, step)]
-    found += [rf"\x{{{c:x}}}-\x{{{c + 63:x}}}" for first, last in SIGNS for c in range(ord(first) + 64 * start, ord(last) - 63, 64 * step)]
-    return f"[{''.join(found)}]"
+def _letters(blocks: tuple[str, ...], start: int, step: int) -> str:
+    return "".join(rf"\x{{{c:x}}}" for first, last in blocks for c in range(ord(first) + start, ord(last) + 1, step))
+
+
+def _latin(start: int, step: int, small: str) -> str:
+    """A class of Latin letters and digits, all below 256, which is a table look-up."""
+    return f"[{small}{''.join(map(str, range(start % 4, 10, 4)))}{_letters(LATIN, start, step)}]"
+
+
+def _others(start: int, step: int, more: str = "") -> str:
+    """A class of every ``step``-th letter of other alphabets, or stretch of signs; one comparison tells Latin text."""
+    signs = "".join(rf"\x{{{c:x}}}-\x{{{c + 63:x}}}" for first, last in SIGNS for c in range(ord(first) + 64 * start, ord(last) - 63, 64 * step))
+    return rf"[{more}[\x{{100}}-\x{{ffff}}&&[{_letters(ALPHABETS, start, step)}{signs}]]]"
 
 
 # A chunk ends after three such characters in sequence, which are about one place in 200 of
 # Latin text and one in 100 to 300 of other scripts.
-ENDING = _every(0, 6, "ptx") + _every(2, 5, r"ei\x20") + _every(1, 6, "cgkosw")
+ENDING = (
+    "(?:" + _latin(0, 6, "ptx") + _latin(2, 5, r"ei\x20") + _latin(1, 6, "cgkosw") + "|" + _others(0, 6) + _others(2, 5, r"\x20") + _others(1, 6) + ")"
+)
 
 
 def chunks(text: Column, shortest: int = SHORTEST, longest: int = LONGEST) -> Column:

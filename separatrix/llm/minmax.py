@@ -275,11 +275,12 @@ def near_duplicates(
     full = entries.groupBy("bucket").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = scratch.keep(entries.join(full.drop("n"), "bucket"), "buckets")
 
-    wanted = classes.join(shared.select(F.col("key").alias("class")).distinct(), "class", "left_semi")
+    # Stored, so that Spark knows the size of what it joins the texts with.
+    wanted = scratch.keep(classes.join(shared.select(F.col("key").alias("class")).distinct(), "class", "left_semi"), "wanted")
     texts = docs.select(key, text).join(wanted.select(F.col("least").alias(key)).distinct(), key, "left_semi")
-    # A key with several texts brings all of them; digests tell which one is meant.
-    elements = sets(texts, text, settings).join(wanted.select("digest", F.col("class").alias("key")), "digest").select("key", "elements")
-    elements = scratch.keep(elements.dropDuplicates(["key"]), "sets")
+    # A key with several texts brings all of them; digests tell which one is meant. Sets move once.
+    elements = sets(texts, text, settings).dropDuplicates(["digest"]).join(wanted.select("digest", F.col("class").alias("key")), "digest")
+    elements = scratch.keep(elements.select("key", "elements"), "sets")
     pairs = shared.filter("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b")).distinct()
     links = scratch.keep(confirm(pairs, elements, settings), "links")
     known = scratch.keep(components(links, scratch), "components")
@@ -287,7 +288,7 @@ def near_duplicates(
     if not more.isEmpty():
         every = known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
         known = scratch.keep(components(every, scratch), "components")
-    scratch.drop("sketches", "buckets", "sets", "links", "more-links", "edges")
+    scratch.drop("sketches", "wanted", "buckets", "sets", "links", "more-links", "edges")
 
     # The least key of each component of several classes.
     joined = known.union(known.select(F.col("component").alias("node"), "component").distinct())
