@@ -111,7 +111,8 @@ def loans(spark: SparkSession, folder: str) -> DataFrame:
 def balanced_loans(spark: SparkSession, folder: str) -> DataFrame:
     """Loans with equal classes and a train/test tag."""
     even = balance_classes(loans(spark, folder), "loan_id", "safe_loans", BALANCE_SEED)
-    return random_split(even, "loan_id", TRAIN_SHARE, 1)
+    # Another seed than that of balancing, which would leave one class in the test rows.
+    return random_split(even, "loan_id", TRAIN_SHARE, SPLIT_SEED)
 
 
 def flowers(spark: SparkSession, folder: str) -> DataFrame:
@@ -232,7 +233,7 @@ CTES = {
     ),
     "even_loans": (balance_sql("loans", "loan_id", "safe_loans", BALANCE_SEED), ("loans",)),
     "loan_rows": (
-        f"SELECT *, {split_sql('loan_id', TRAIN_SHARE, 1)} AS split FROM even_loans",
+        f"SELECT *, {split_sql("loan_id", TRAIN_SHARE, SPLIT_SEED)} AS split FROM even_loans",
         ("even_loans",),
     ),
     "flowers": (

@@ -7,11 +7,12 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from separatrix.functions.vectors import link, sign_strict
-from separatrix.operators import estimators, grids, logistic, metrics, neighbours, ranking, trees  # noqa: F401
+from separatrix.operators import estimators, grids, logistic, metrics, mixed_trees, neighbours, ranking
 from separatrix.operators.models import LinearModel, weight_signs
 from separatrix.plans import fixtures as fx
 from separatrix.plans import learning as ln
 from separatrix.plans.registry import query, rounded, six
+from separatrix.storage import materialize
 
 with_sql = fx.with_sql
 
@@ -185,27 +186,31 @@ def model_comparison(spark, folder):
     return rounded(metrics.accuracy(long, "sentiment", "predicted", ["model", "split"]))
 
 
-@query("J8")
+def _depth_sql(depth: int) -> str:
+    return f"""SELECT {depth} AS depth, split, round(avg(CASE WHEN prediction_class = safe_loans THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS accuracy,
+        (SELECT round((sum(r) FILTER (safe_loans = 1) - count(*) FILTER (safe_loans = 1) * (count(*) FILTER (safe_loans = 1) + 1) / 2.0::DOUBLE)
+            / (count(*) FILTER (safe_loans = 1) * count(*) FILTER (safe_loans <> 1)), 6) FROM (
+            SELECT safe_loans, rank() OVER (ORDER BY probability_pos) + (count(*) OVER (PARTITION BY probability_pos) - 1) / 2.0::DOUBLE AS r
+            FROM {ln.scored_sql(depth)} t WHERE split = 'train') ranked) AS training_auc
+        FROM {ln.scored_sql(depth)} t GROUP BY split"""
+
+
+@query("J8 I15", ln.mixed_tree_sql(" UNION ALL ".join(_depth_sql(d) for d in (2, 6, 10)), 10))
 def depth_comparison(spark, folder):
-    """Accuracy on both parts and training AUC of trees of depth 2, 6 and 10."""
-    loans = fx.balanced_loans(spark, folder).persist()
+    """Accuracy on both parts and training AUC of trees of depth 2, 6 and 10.
+
+    A tree grown level by level holds the shallower ones.
+    """
+    rows = materialize(fx.balanced_loans(spark, folder), "balanced-loans")
+    train = rows.filter("split = 'train'")
+    tree = mixed_trees.grow(train, ln.CATEGORICAL, ln.NUMERIC, "safe_loans", 10)
     reports = []
-    try:
-        inputs, bins = estimators.tree_inputs(loans.filter("split = 'train'"), ln.CATEGORICAL, ln.NUMERIC)
-        # Indexed and assembled once, for all depths.
-        rows = inputs.transform(loans).select("split", "safe_loans", "features").persist()
-        try:
-            for depth in (2, 6, 10):
-                model = estimators.fit_tree(rows.filter("split = 'train'"), "safe_loans", bins, depth)
-                scored = estimators.with_outputs(model, rows)
-                auc = metrics.area_under_roc(scored.filter("split = 'train'"), "safe_loans", "probability_pos")
-                figures = metrics.accuracy(scored, "safe_loans", "prediction_class", ["split"]).collect()
-                reports += [(depth, r["split"], r["accuracy"], auc) for r in figures]
-        finally:
-            rows.unpersist()
-    finally:
-        loans.unpersist()
-    return spark.createDataFrame(reports, "depth int, split string, accuracy double, training_auc double")
+    for depth in (2, 6, 10):
+        scored = materialize(mixed_trees.with_outputs(rows, train, tree, "safe_loans", depth).select("split", "safe_loans", "probability_pos", "prediction_class"), "scored-loans")
+        auc = metrics.area_under_roc(scored.filter("split = 'train'"), "safe_loans", "probability_pos")
+        figures = metrics.accuracy(scored, "safe_loans", "prediction_class", ["split"]).collect()
+        reports += [(depth, r["split"], r["accuracy"], auc) for r in figures]
+    return rounded(spark.createDataFrame(reports, "depth int, split string, accuracy double, training_auc double"))
 
 
 @query("J4 J7 I10")

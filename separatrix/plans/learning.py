@@ -16,6 +16,7 @@ from separatrix.operators import (
     keyed,
     logistic,
     metrics,
+    mixed_trees,
     neighbours,
     newton,
     perceptron,
@@ -719,10 +720,59 @@ CATEGORICAL = ["purpose", "home_ownership", "grade"]
 NUMERIC = ["amount", "balance"]
 
 
-@query("I15 J2 J3")
+def _mixed_level_sql(n: int) -> str:
+    """Splits of the nodes of ``rows_n`` and the rows one level on, as ``rows_{n + 1}``."""
+    # One reference to the rows for all columns of a kind: the planner follows each of them down all levels.
+    def long(columns: list[str], first: int, kind: str, name: str) -> str:
+        numbers, values = (", ".join(map(str, x)) for x in (range(first, first + len(columns)), (f"{c}::{kind}" for c in columns)))
+        return f"SELECT node, safe_loans, unnest([{numbers}]) AS feature, unnest([{values}]) AS {name} FROM rows_{n} WHERE node >= {2**n} AND split = 'train'"
+
+    cats, nums = long(CATEGORICAL, 0, "VARCHAR", "category"), long(NUMERIC, len(CATEGORICAL), "DOUBLE", "value")
+    gini = "round((ln * (2.0::DOUBLE * (lp / ln) * (1.0::DOUBLE - lp / ln)) + (n - ln) * (2.0::DOUBLE * ((p - lp) / (n - ln)) * (1.0::DOUBLE - (p - lp) / (n - ln)))) / n, 10)"
+    before = "round(2.0::DOUBLE * (p / n) * (1.0::DOUBLE - p / n), 10)"
+    sums = """(sum(n) OVER run)::DOUBLE AS ln, (sum(p) OVER run)::DOUBLE AS lp, (sum(n) OVER whole)::DOUBLE AS n, (sum(p) OVER whole)::DOUBLE AS p"""
+    value = "CASE feature " + " ".join(f"WHEN {len(CATEGORICAL) + i} THEN {c}::DOUBLE" for i, c in enumerate(NUMERIC)) + " END"
+    category = "CASE feature " + " ".join(f"WHEN {i} THEN {c}::VARCHAR" for i, c in enumerate(CATEGORICAL)) + " END"
+    return f"""cat_{n} AS MATERIALIZED (SELECT node, feature, category, count(*) AS n, count(*) FILTER (safe_loans = 1) AS p FROM ({cats}) t GROUP BY ALL),
+    placed_{n} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY node, feature ORDER BY p::DOUBLE / n, category) AS place FROM cat_{n}),
+    num_{n} AS MATERIALIZED (SELECT node, feature, value, count(*) AS n, count(*) FILTER (safe_loans = 1) AS p FROM ({nums}) t GROUP BY ALL),
+    sums_{n} AS MATERIALIZED (
+        SELECT node, feature, place::DOUBLE AS cut, {sums} FROM placed_{n}
+        WINDOW whole AS (PARTITION BY node, feature), run AS (PARTITION BY node, feature ORDER BY place)
+        UNION ALL SELECT node, feature, value, {sums} FROM num_{n}
+        WINDOW whole AS (PARTITION BY node, feature), run AS (PARTITION BY node, feature ORDER BY value)),
+    best_{n} AS MATERIALIZED (SELECT node, feature, cut FROM (SELECT node, feature, cut, {gini} AS impurity, {before} AS before FROM sums_{n} WHERE ln < n) t
+        WHERE impurity < before QUALIFY row_number() OVER (PARTITION BY node ORDER BY impurity, feature, cut) = 1),
+    left_{n} AS MATERIALIZED (SELECT c.node, c.category FROM placed_{n} c JOIN best_{n} b ON b.node = c.node AND b.feature = c.feature AND c.place <= b.cut),
+    rows_{n + 1} AS MATERIALIZED (SELECT r.* EXCLUDE (node), CASE WHEN b.node IS NULL THEN r.node
+        WHEN b.feature < {len(CATEGORICAL)} THEN CASE WHEN l.category IS NULL THEN 2 * r.node + 1 ELSE 2 * r.node END
+        WHEN {value} <= b.cut THEN 2 * r.node ELSE 2 * r.node + 1 END AS node
+        FROM rows_{n} r LEFT JOIN best_{n} b ON b.node = r.node
+        LEFT JOIN left_{n} l ON l.node = r.node AND b.feature < {len(CATEGORICAL)} AND l.category = {category})"""
+
+
+def mixed_tree_sql(body: str, depth: int) -> str:
+    """A tree of that depth, level by level; ``rows_n`` holds all loans with their node at depth n."""
+    levels = ",\n".join(_mixed_level_sql(n) for n in range(depth))
+    return with_sql("loan_rows", f"WITH rows_0 AS MATERIALIZED (SELECT *, 1 AS node FROM loan_rows), {levels} {body}")
+
+
+def scored_sql(depth: int) -> str:
+    """Loans with their leaf's share of safe ones at a depth."""
+    return f"""(SELECT r.*, s.probability_pos, CASE WHEN s.probability_pos > 0.5 THEN 1 ELSE -1 END AS prediction_class FROM rows_{depth} r LEFT JOIN (
+        SELECT node, avg(CASE WHEN safe_loans = 1 THEN 1.0::DOUBLE ELSE 0.0 END) AS probability_pos FROM rows_{depth} WHERE split = 'train' GROUP BY node) s USING (node))"""
+
+
+@query(
+    "I15 J2 J3",
+    mixed_tree_sql(
+        f"SELECT loan_id, safe_loans, prediction_class, round(probability_pos, 6) AS probability_pos FROM {scored_sql(6)} t WHERE split = 'test'", 6
+    ),
+)
 def decision_tree_outputs(spark, folder):
     """Class and probability of every test loan under a tree of depth 6."""
-    rows = fx.balanced_loans(spark, folder)
-    model = estimators.decision_tree(rows.filter("split = 'train'"), CATEGORICAL, NUMERIC, "safe_loans", 6)
-    scored = estimators.with_outputs(model, rows.filter("split = 'test'"))
-    return scored.select("loan_id", "safe_loans", "prediction_class", "probability_pos")
+    rows = materialize(fx.balanced_loans(spark, folder), "balanced-loans")
+    train = rows.filter("split = 'train'")
+    tree = mixed_trees.grow(train, CATEGORICAL, NUMERIC, "safe_loans", 6)
+    scored = mixed_trees.with_outputs(rows.filter("split = 'test'"), train, tree, "safe_loans")
+    return rounded(scored.select("loan_id", "safe_loans", "prediction_class", "probability_pos"))
