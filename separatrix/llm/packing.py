@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from separatrix.llm.scratch import Scratch
 
-# Tokens in a sequence, and pieces that one partition packs.
+# Tokens in a sequence, and pieces that one partition packs, with their ids if they carry any.
 CAPACITY = 2048
-PIECES = 60_000
+PIECES = 20_000
 # Most exchanges between partitions.
 EXCHANGES = 3
 # Tokens that a task holds before it passes them on.
@@ -68,6 +68,16 @@ class Tokenizer:
         return self.ids[self.encoding.encode_to_numpy(text, allowed_special="all", disallowed_special=())]
 
 
+def squeezed(ids: np.ndarray) -> bytes:
+    """Unsigned 32-bit ids, compressed: all first bytes, then all second bytes and so on, as the high ones are mostly 0."""
+    return pa.compress(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def restored(data: bytes, length: int) -> np.ndarray:
+    plain = pa.decompress(data, decompressed_size=4 * length, codec="zstd", asbytes=True)
+    return np.frombuffer(plain, np.uint8).reshape(4, length).T.copy().view("<u4").ravel()
+
+
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:
     """Start and length of each piece; only the first may be shorter than the capacity."""
     head = length % capacity or min(length, capacity)
@@ -77,10 +87,13 @@ def cut(length: int, capacity: int) -> list[tuple[int, int]]:
 
 def pieces(
     docs: DataFrame, vocabulary: bytes, pattern: str, key: str = "doc_id", text: str = "text", end: int = 0, capacity: int = CAPACITY,
-    keep_ids: bool = True, encode_special_tokens: bool = True,
+    keep_ids: bool = True, encode_special_tokens: bool = True, compress: bool = False,
 ) -> DataFrame:
     """``key, piece, start, length, ids_crc32`` and, if kept, ``ids`` of each piece.
 
+    ``ids`` is an array of numbers or, with ``compress``, what ``squeezed`` makes of it, which
+    is a third as long.
+
     A document is its text's ids and the id ``end``; a null text has ``end`` only. The
     checksum is over little-endian unsigned 32-bit ids. Texts are tokenized whole; for
     ``encode_special_tokens`` see ``Tokenizer``.
@@ -92,7 +105,12 @@ def pieces(
     def table(keys: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
         whose, piece, start, length, crc, ids = zip(*rows, strict=True)
         numbers = [pa.array(piece, pa.int32()), *(pa.array(c, pa.int64()) for c in (start, length, crc))]
-        lists = [pa.array([i.view(np.int32) for i in ids], pa.list_(pa.int32()))] if keep_ids else []
+        if not keep_ids:
+            lists = []
+        elif compress:
+            lists = [pa.array([squeezed(i) for i in ids], pa.binary())]
+        else:
+            lists = [pa.array([i.view(np.int32) for i in ids], pa.list_(pa.int32()))]
         return pa.RecordBatch.from_arrays([keys.take(pa.array(whose)), *numbers, *lists], names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +129,7 @@ def pieces(
             if rows:
                 yield table(batch.column(0), rows)
 
-    schema = f"key {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
+    schema = f"key {kind}, piece int, start long, length long, ids_crc32 long" + (", ids binary" if compress else ", ids array<int>") * keep_ids
     return docs.select(F.col(key).alias("key"), text).mapInArrow(work, schema).withColumnRenamed("key", key)
 
 
@@ -257,5 +275,16 @@ def bounds(packed: DataFrame, capacity: int = CAPACITY) -> tuple[int, int]:
 
 def sequences(packed: DataFrame) -> DataFrame:
     """``sequence_id, ids`` of pieces that carry their ids; a sequence is bounded by the capacity."""
-    rows = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
-    return rows.select("sequence_id", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
+    if dict(packed.dtypes)["ids"] != "binary":
+        rows = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
+        return rows.select("sequence_id", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
+    rows = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "length", "ids"))).alias("parts"))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 500):
+                batch = whole.slice(start, 500)
+                found = [np.concatenate([restored(p["ids"], p["length"]) for p in parts]).view(np.int32) for parts in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["sequence_id", "ids"])
+
+    return rows.mapInArrow(join, "sequence_id long, ids array<int>")

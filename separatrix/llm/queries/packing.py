@@ -15,7 +15,8 @@ def vocabulary() -> bytes:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    cut_up = packing.pieces(docs, vocabulary(), public_tokenizers.PATTERN, keep_ids=False, encode_special_tokens=False)
+    """Pieces with their places and compressed ids; ``packing.sequences`` makes the sequences of them."""
+    cut_up = packing.pieces(docs, vocabulary(), public_tokenizers.PATTERN, encode_special_tokens=False, compress=True)
     return packing.pack(cut_up)
 
 

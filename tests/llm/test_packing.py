@@ -152,3 +152,27 @@ def test_keys_stay_next_to_missing_ones(spark):
     got = packing.pack(spark.createDataFrame(rows, "doc_id long, piece int, length long"), capacity=64).collect()
     assert sorted(map(repr, ((r["doc_id"], r["piece"], r["length"]) for r in got))) == sorted(map(repr, rows))
     assert check(got, 64) == 2
+
+
+def test_squeezed_ids_come_back():
+    rng = np.random.default_rng(2)
+    for ids in ([], [0], [50_256, 0, 2**32 - 1], rng.integers(0, 50_257, 2048).tolist()):
+        array = np.array(ids, np.uint32)
+        assert packing.restored(packing.squeezed(array), len(array)).tolist() == ids
+
+
+def test_sequences_of_the_query_decode_to_the_texts(docs_of):
+    texts = {1: None, 2: "", 3: "Was it <|endoftext|> here? ", 4: "der Hund läuft, it's 日本 " * 900, 5: "x" * 5000, 6: "a"}
+    rows = packed(docs_of(list(texts.items())))
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    whole = {r["sequence_id"]: r["ids"] for r in packing.sequences(rows).collect()}
+    pieces = rows.collect()
+    assert sum(map(len, whole.values())) == sum(r["length"] for r in pieces)
+    for i, text in texts.items():
+        ids = []
+        for r in sorted((r for r in pieces if r["doc_id"] == i), key=lambda r: r["piece"]):
+            part = whole[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]]
+            assert r["ids_crc32"] == zlib.crc32(np.array(part, "<u4").tobytes())
+            ids += part
+        assert ids == [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+        assert tokenizer.decode(ids[:-1], skip_special_tokens=False) == (text or "")

@@ -3,11 +3,13 @@ import re
 
 import corpus_pipeline
 import numpy as np
+import public_tokenizers
 from conftest import DATA
 from llm_docs import docs_of  # noqa: F401
-from separatrix.llm import language_id
+from separatrix.llm import language_id, packing
 from test_minmax import brute_force
 from test_secret_scan import expected
+from tokenizers import Tokenizer
 
 
 def test_stages_against_brute_force(spark, tmp_path):
@@ -38,7 +40,15 @@ def test_stages_against_brute_force(spark, tmp_path):
                 assert kept[i] == out + text[at:]
             assert all(r["n_chars"] == len(r["text"]) for r in rows)
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
-    assert {r["doc_id"] for r in packed.select("doc_id").collect()} == set(kept)
+    pieces = packed.drop("ids").collect()
+    assert {r["doc_id"] for r in pieces} == set(kept)
+    # The sequences hold the redacted texts.
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    whole = {r["sequence_id"]: r["ids"] for r in packing.sequences(packed).collect()}
+    for i in sorted(kept)[:40]:
+        own = sorted((r for r in pieces if r["doc_id"] == i), key=lambda r: r["piece"])
+        ids = [t for r in own for t in whole[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]]]
+        assert ids[-1] == 0 and tokenizer.decode(ids[:-1], skip_special_tokens=False) == kept[i]
 
 
 def test_awkward_documents(spark, docs_of):
