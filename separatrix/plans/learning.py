@@ -23,6 +23,7 @@ from separatrix.operators import (
     ranking,
     tables,
     trees,
+    word_models,
 )
 from separatrix.plans import fixtures as fx
 from separatrix.plans.registry import query, rounded
@@ -449,6 +450,46 @@ def word_classifier_coefficients(spark, folder):
     return estimators.word_coefficients(spark, estimators.word_logistic(train, "t", "sentiment"))
 
 
+WORD_STEP, WORD_PASSES, WORD_PENALTY = 1e-4, 5, 1.0
+
+
+def _word_sql(select: str) -> str:
+    """Passes over the counts of all words of the training reviews, each written out."""
+    parts = [
+        """wc AS MATERIALIZED (SELECT doc_id, word, count(*)::DOUBLE AS n FROM (
+            SELECT doc_id, unnest({tokens}) AS word FROM reviews JOIN docs USING (doc_id) WHERE split = 'train') t GROUP BY doc_id, word)""".format(
+            tokens=fx.tokens_sql("lower(" + fx.clean_sql("text") + ")")
+        ),
+        "v_0 AS MATERIALIZED (SELECT word, 0.0::DOUBLE AS value FROM wc GROUP BY word)",
+        "b_0 AS MATERIALIZED (SELECT 0.0::DOUBLE AS b)",
+    ]
+    for t in range(WORD_PASSES):
+        parts += [
+            f"""e_{t} AS MATERIALIZED (SELECT doc_id, (sentiment = 1)::INTEGER - 1 / (1 + exp(-(coalesce(s, 0) + b))) AS e
+            FROM (SELECT * FROM docs WHERE split = 'train') d
+            LEFT JOIN (SELECT doc_id, sum(n * value) AS s FROM wc JOIN v_{t} USING (word) GROUP BY doc_id) m USING (doc_id) CROSS JOIN b_{t})""",
+            f"b_{t + 1} AS MATERIALIZED (SELECT b + {WORD_STEP!r}::DOUBLE * (SELECT sum(e) FROM e_{t}) AS b FROM b_{t})",
+            f"""v_{t + 1} AS MATERIALIZED (SELECT word, value + {WORD_STEP!r}::DOUBLE * (g - {2 * WORD_PENALTY}::DOUBLE * value) AS value
+            FROM v_{t} JOIN (SELECT word, sum(n * e) AS g FROM wc JOIN e_{t} USING (doc_id) GROUP BY word) s USING (word))""",
+        ]
+    return with_sql("docs reviews", "WITH " + ",\n".join(parts) + select.format(t=WORD_PASSES))
+
+
+@query(
+    "I10 J4",
+    _word_sql(
+        """ SELECT word, false AS is_intercept, round(value, 6) + 0.0::DOUBLE AS value FROM v_{t}
+        UNION ALL SELECT '(intercept)', true, round(b, 6) + 0.0::DOUBLE FROM b_{t}"""
+    ),
+)
+def all_word_weights(spark, folder):
+    """Weights of every word of the training reviews, kept as a table all the way."""
+    tagged = fx.random_split(fx.balanced_opinions(spark, folder), "doc_id", fx.TRAIN_SHARE, fx.SPLIT_SEED)
+    rows = fx.documents(spark, folder).join(tagged.filter("split = 'train'"), "doc_id").withColumn("clean", remove_punctuation("text"))
+    model = word_models.fit_words(rows, "doc_id", "clean", "sentiment", WORD_STEP, WORD_PASSES, WORD_PENALTY)
+    return rounded(model.coefficients().select("word", "is_intercept", "value"))
+
+
 @query(
     "J11 I10",
     with_sql("docs", "SELECT count(*) AS n, 0::BIGINT AS class_differs, 0::BIGINT AS probability_differs FROM docs"),
