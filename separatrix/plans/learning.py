@@ -13,18 +13,22 @@ from separatrix.functions.vectors import link, sign_strict
 from separatrix.operators import (
     adaline,
     estimators,
+    grids,
     keyed,
     logistic,
     metrics,
     mixed_trees,
     neighbours,
+    neuron,
     newton,
     perceptron,
     ranking,
+    sampling,
     tables,
     trees,
     word_models,
 )
+from separatrix.operators.models import LinearModel
 from separatrix.plans import fixtures as fx
 from separatrix.plans.registry import query, rounded
 from separatrix.storage import materialize
@@ -223,6 +227,60 @@ def partial_fit_weights(spark, folder):
     return named_weights(spark, model)
 
 
+# --- one neuron from scaling to its grid -------------------------------------------
+
+# Rate, epochs and share of test rows.
+NEURON_ETA, NEURON_EPOCHS, NEURON_TEST = 0.001, 40, 0.3
+
+
+def _neuron_sql(select: str) -> str:
+    error = "(y - w0 - w1 * x0 - w2 * x1)"
+    step = f"{NEURON_ETA}::DOUBLE"
+    return with_sql(
+        "flowers",
+        f"""WITH tagged AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY md5(concat_ws(':', flower_id::VARCHAR, '0')), flower_id)
+            <= ceil(count(*) OVER () * {NEURON_TEST}::DOUBLE) AS test FROM flowers),
+        stats AS MATERIALIZED (SELECT avg(x0) AS m0, stddev_pop(x0) AS s0, avg(x1) AS m1, stddev_pop(x1) AS s1 FROM tagged WHERE NOT test),
+        z AS MATERIALIZED (SELECT y, test, (x0 - m0) / s0 AS x0, (x1 - m1) / s1 AS x1 FROM tagged, stats),
+        run AS (SELECT 0::BIGINT AS epoch, 0.0::DOUBLE AS w0, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2, 0.0::DOUBLE AS cost
+            UNION ALL SELECT epoch + 1, any_value(w0) + {step} * sum({error}), any_value(w1) + {step} * sum({error} * x0),
+                any_value(w2) + {step} * sum({error} * x1), sum({error} * {error}) / 2
+            FROM run, z WHERE epoch < {NEURON_EPOCHS} AND NOT test GROUP BY epoch)
+        {select}""",
+        recursive=True,
+    )
+
+
+def _neuron(spark, folder):
+    """Scaled flowers with their part, and the neuron fitted on the training part."""
+    flowers = sampling.exact_split(fx.flowers(spark, folder), "flower_id", NEURON_TEST, 0)
+    one = neuron.Neuron(NEURON_ETA, NEURON_EPOCHS, gradient_descent="regular")
+    scaled = materialize(one.prepare(flowers, ["x0", "x1"], flowers.filter("split = 'train'")), "scaled-flowers")
+    return scaled, one.fit(scaled.filter("split = 'train'"), ["x0", "x1"], "y", "flower_id")
+
+
+@query("F1 D4 I2 G16", _neuron_sql("SELECT epoch::INTEGER AS epoch, round(cost, 6) AS cost FROM run WHERE epoch > 0"))
+def neuron_costs(spark, folder):
+    """Cost curve of a neuron: exact split, z-scores of the training rows, batch descent."""
+    _, one = _neuron(spark, folder)
+    return rounded(LinearModel(one.columns, one.weights, one.history).epochs(spark))
+
+
+@query(
+    "J6 F1 D4 I2",
+    _neuron_sql(
+        f""", box AS (SELECT min(x0) - 1 AS xl, max(x0) + 1 AS xh, min(x1) - 1 AS yl, max(x1) + 1 AS yh FROM z),
+        dims AS (SELECT xl, yl, ceil((xh - xl) / 0.02::DOUBLE)::BIGINT AS nx, ceil((yh - yl) / 0.02::DOUBLE)::BIGINT AS ny FROM box)
+        SELECT i + nx * j AS cell, CASE WHEN w0 + w1 * (xl + i * 0.02::DOUBLE) + w2 * (yl + j * 0.02::DOUBLE) >= 0 THEN 1 ELSE -1 END AS predicted
+        FROM dims, LATERAL (SELECT unnest(range(nx)) AS i) a, LATERAL (SELECT unnest(range(ny)) AS j) b, (SELECT * FROM run WHERE epoch = {NEURON_EPOCHS}) w"""
+    ),
+)
+def neuron_grid(spark, folder):
+    """Class of the fitted neuron at every grid point around the scaled rows."""
+    scaled, one = _neuron(spark, folder)
+    return grids.grid(scaled, "x0", "x1").select("cell", one.predict().alias("predicted"))
+
+
 # --- one model per key ------------------------------------------------------------
 
 KEYED_EPOCHS = 4
@@ -475,6 +533,19 @@ def _word_sql(select: str) -> str:
     return with_sql("docs reviews", "WITH " + ",\n".join(parts) + select.format(t=WORD_PASSES))
 
 
+def _word_model(spark, folder):
+    """Documents with their part, and the model of the training part."""
+    tagged = fx.random_split(fx.balanced_opinions(spark, folder), "doc_id", fx.TRAIN_SHARE, fx.SPLIT_SEED)
+    rows = fx.documents(spark, folder).join(tagged, "doc_id").withColumn("clean", remove_punctuation("text")).drop("text")
+    rows = materialize(rows, "word-reviews")
+    return rows, word_models.fit_words(rows.filter("split = 'train'"), "doc_id", "clean", "sentiment", WORD_STEP, WORD_PASSES, WORD_PENALTY)
+
+
+_WORD_SCORES_SQL = """, scored AS MATERIALIZED (SELECT d.doc_id, split, sentiment, coalesce(s, 0) + b AS margin FROM docs d
+    LEFT JOIN (SELECT doc_id, sum(value) AS s FROM (SELECT doc_id, unnest({tokens}) AS word FROM reviews) t JOIN v_{{t}} USING (word)
+        GROUP BY doc_id) m USING (doc_id) CROSS JOIN b_{{t}})""".format(tokens=fx.tokens_sql("lower(" + fx.clean_sql("text") + ")").replace("{", "{{").replace("}", "}}"))
+
+
 @query(
     "I10 J4",
     _word_sql(
@@ -484,12 +555,46 @@ def _word_sql(select: str) -> str:
 )
 def all_word_weights(spark, folder):
     """Weights of every word of the training reviews, kept as a table all the way."""
-    tagged = fx.random_split(fx.balanced_opinions(spark, folder), "doc_id", fx.TRAIN_SHARE, fx.SPLIT_SEED)
-    rows = fx.documents(spark, folder).join(tagged.filter("split = 'train'"), "doc_id").withColumn("clean", remove_punctuation("text"))
-    model = word_models.fit_words(rows, "doc_id", "clean", "sentiment", WORD_STEP, WORD_PASSES, WORD_PENALTY)
+    _, model = _word_model(spark, folder)
     return rounded(model.coefficients().select("word", "is_intercept", "value"))
 
 
+@query(
+    "I10 J7 G7",
+    _word_sql(
+        _WORD_SCORES_SQL
+        + """ SELECT split, sentiment AS target_label, CASE WHEN margin > 0 THEN 1 ELSE -1 END AS predicted_label, count(*) AS n
+        FROM scored GROUP BY split, sentiment, predicted_label"""
+    ),
+)
+def word_model_confusion(spark, folder):
+    """Confusion matrix of the model on all words, on both parts."""
+    rows, model = _word_model(spark, folder)
+    judged = rows.join(model.margins(rows, "doc_id", "clean"), "doc_id").withColumn("prediction", sign_strict("margin"))
+    return _judged(judged, "sentiment")
+
+
+@query(
+    "I10 H2 H3",
+    _word_sql(
+        _WORD_SCORES_SQL
+        + """, t AS (SELECT doc_id, sentiment, round(margin, 9) + 0.0::DOUBLE AS m FROM scored WHERE split = 'test')
+        SELECT doc_id, sentiment, direction, round(m, 6) + 0.0::DOUBLE AS margin FROM (
+            (SELECT *, 'positive' AS direction FROM t ORDER BY m DESC, doc_id LIMIT 20)
+            UNION ALL (SELECT *, 'negative' FROM t ORDER BY m, doc_id LIMIT 20)) e"""
+    ),
+)
+def word_model_extremes(spark, folder):
+    """The 20 test reviews that the model on all words finds most positive, and most negative."""
+    rows, model = _word_model(spark, folder)
+    test = rows.filter("split = 'test'").drop("split")
+    scored = model.margins(test, "doc_id", "clean").join(test.select("doc_id", "sentiment"), "doc_id")
+    scored = scored.select("doc_id", "sentiment", (F.round("margin", 9) + F.lit(0.0)).alias("margin"))
+    positive = ranking.top_k(scored, "margin", 20, "doc_id").withColumn("direction", F.lit("positive"))
+    negative = ranking.top_k(scored, "margin", 20, "doc_id", reverse=True).withColumn("direction", F.lit("negative"))
+    return rounded(positive.unionByName(negative))
+
+
 @query(
     "J11 I10",
     with_sql("docs", "SELECT count(*) AS n, 0::BIGINT AS class_differs, 0::BIGINT AS probability_differs FROM docs"),
@@ -524,14 +629,24 @@ def tree_agreement(spark, folder):
     return scored.groupBy("split").agg(F.count("*").alias("n"), metrics.hits(differs).alias("class_differs"))
 
 
+# Learners are fitted on the training rows and scored on both parts.
+FLOWER_SHARE = 0.7
+
+
 def _species(spark, folder):
-    return scaled_flowers(spark, folder).withColumn("species", F.col("species").cast("double"))
+    flowers = scaled_flowers(spark, folder).withColumn("species", F.col("species").cast("double"))
+    return fx.random_split(flowers, "flower_id", FLOWER_SHARE, fx.SPLIT_SEED)
+
+
+def _judged(scored, label):
+    return scored.groupBy("split", F.col(label).alias("target_label"), F.col("prediction").alias("predicted_label")).agg(F.count("*").alias("n"))
 
 
 # Another way to the same minimum: steps along a fixed bound of the curvature (Boehning 1992), which
 # needs the inverse of one 3 x 3 matrix only. Weights start from zero and keep adding up to zero.
 _RIDGE = 0.001
-_CLASSES_SQL = f"""WITH RECURSIVE z AS MATERIALIZED (SELECT species, [1.0::DOUBLE, x0, x1] AS x FROM scaled),
+_CLASSES_SQL = f"""WITH all_z AS MATERIALIZED (SELECT species, {fx.split_sql("flower_id", FLOWER_SHARE, fx.SPLIT_SEED)} AS split, [1.0::DOUBLE, x0, x1] AS x FROM scaled),
+    z AS MATERIALIZED (SELECT * FROM all_z WHERE split = 'train'),
     g AS (SELECT count(*) / 2.0::DOUBLE AS a, sum(x[2]) / 2 AS b, sum(x[3]) / 2 AS c, sum(x[2] * x[2]) / 2 + {_RIDGE}::DOUBLE AS d,
         sum(x[2] * x[3]) / 2 AS e, sum(x[3] * x[3]) / 2 + {_RIDGE}::DOUBLE AS f FROM z),
     inverse AS MATERIALIZED (SELECT [[(d * f - e * e) / det, (c * e - b * f) / det, (b * e - c * d) / det],
@@ -551,22 +666,22 @@ _CLASSES_SQL = f"""WITH RECURSIVE z AS MATERIALIZED (SELECT species, [1.0::DOUBL
     last AS MATERIALIZED (SELECT w FROM fit WHERE t = 200)"""
 
 
-def _class_model(spark, folder):
-    return newton.fit_classes(scaled_flowers(spark, folder), ["x0", "x1"], "species")
+def _class_model(flowers):
+    return newton.fit_classes(flowers.filter("split = 'train'"), ["x0", "x1"], "species")
 
 
 @query(
     "I11",
     with_sql(
         "scaled",
-        f"""{_CLASSES_SQL.replace("WITH RECURSIVE", "WITH")} SELECT class::DOUBLE AS class, j::INTEGER AS idx, round(w[class + 1][j + 1], 5) + 0.0::DOUBLE AS value
+        f"""{_CLASSES_SQL} SELECT class::DOUBLE AS class, j::INTEGER AS idx, round(w[class + 1][j + 1], 5) + 0.0::DOUBLE AS value
         FROM last, range(3) k(class), range(3) i(j)""",
         recursive=True,
     ),
 )
 def logistic_class_weights(spark, folder):
     """Weights of three species at the minimum of the penalized loss."""
-    weights = _class_model(spark, folder).coefficients(spark)
+    weights = _class_model(_species(spark, folder)).coefficients(spark)
     return weights.select("class", "idx", (F.round("value", 5) + F.lit(0.0)).alias("value"))
 
 
@@ -574,31 +689,32 @@ def logistic_class_weights(spark, folder):
     "I11 G7",
     with_sql(
         "scaled",
-        f"""{_CLASSES_SQL.replace("WITH RECURSIVE", "WITH")} SELECT species::DOUBLE AS target_label, predicted::DOUBLE AS predicted_label, count(*) AS n FROM (
-            SELECT species, list_position(s, list_max(s)) - 1 AS predicted
-            FROM (SELECT species, list_transform(w, lambda v: list_dot_product(v, x)) AS s FROM z, last) t) c
-        GROUP BY species, predicted""",
+        f"""{_CLASSES_SQL} SELECT split, species::DOUBLE AS target_label, predicted::DOUBLE AS predicted_label, count(*) AS n FROM (
+            SELECT split, species, list_position(s, list_max(s)) - 1 AS predicted
+            FROM (SELECT split, species, list_transform(w, lambda v: list_dot_product(v, x)) AS s FROM all_z, last) t) c
+        GROUP BY split, species, predicted""",
         recursive=True,
     ),
 )
 def logistic_classes(spark, folder):
-    """Three species and what the fitted model says; scored on the rows it was fitted on, as stated for this learner."""
-    model, flowers = _class_model(spark, folder), _species(spark, folder)
-    return metrics.confusion_matrix(flowers.withColumn("prediction", model.predict()), "species", "prediction")
+    """Three species and what the model fitted on the training rows says, on both parts."""
+    flowers = _species(spark, folder)
+    return _judged(flowers.withColumn("prediction", _class_model(flowers).predict()), "species")
 
 
 @query("I12")
 def linear_svm_classes(spark, folder):
     flowers = _species(spark, folder)
-    model = estimators.linear_svm(flowers, ["x0", "x1"], "species", many_classes=True)
-    return metrics.confusion_matrix(model.transform(flowers), "species", "prediction")
+    model = estimators.linear_svm(flowers.filter("split = 'train'"), ["x0", "x1"], "species", many_classes=True)
+    return _judged(model.transform(flowers), "species")
 
 
 @query("I13")
 def kernel_svm_accuracy(spark, folder):
     points = fx.quadrants(spark, folder).withColumn("target", estimators.binary_label("label"))
-    model, mapped = estimators.rbf_svm(points, ["x0", "x1"], "target", gamma=0.1)
-    return metrics.accuracy(model.transform(mapped(points)), "target", "prediction")
+    points = fx.random_split(points, "point_id", FLOWER_SHARE, fx.SPLIT_SEED)
+    model, mapped = estimators.rbf_svm(points.filter("split = 'train'"), ["x0", "x1"], "target", gamma=0.1)
+    return metrics.accuracy(model.transform(mapped(points)), "target", "prediction", ["split"])
 
 
 # --- neighbours -------------------------------------------------------------------
