@@ -56,3 +56,29 @@ def test_rows_without_an_id_are_in_no_fold(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     got = op1_language_id(spark, str(tmp_path)).collect()
     assert len(got) == 3 and all(isinstance(r["held_out"], bool) for r in got) and [r["held_out"] for r in got if r["doc_id"] is None] == [False]
+
+
+def test_chosen_languages_are_the_best_of_all_sets():
+    """The set that pays most for its penalty, among all sets of four languages."""
+    import itertools
+    import math
+
+    rng = np.random.default_rng(5)
+    settings = language_id.Settings(bits=8, rounds=2000, settled=1e-10)
+    likelihood = rng.dirichlet(np.full(256, 0.15), 4) + 1e-6
+    likelihood /= likelihood.sum(axis=1, keepdims=True)
+    model = language_id.Model(("a", "b", "c", "d"), likelihood, settings)
+    for n, mixture in ((40, [1, 0, 0, 0]), (400, [0.5, 0.5, 0, 0]), (400, [0.3, 0, 0.4, 0.3]), (30, [0.9, 0.1, 0, 0]), (2000, [0.25] * 4), (1, [0, 0, 0, 1])):
+        buckets = rng.choice(256, n, p=np.array(mixture) @ likelihood)
+        counts = np.bincount(buckets, minlength=256)
+        at = np.flatnonzero(counts)
+        rows, seen = likelihood[:, at].T, counts[at].astype(float)
+        cost = settings.penalty * math.log(max(n, 2.0)) / 2
+        worth = {}
+        for size in range(1, 5):
+            for chosen in itertools.combinations(range(4), size):
+                _, value = language_id._proportions(rows[:, chosen], seen, np.full(size, 1 / size), settings)
+                worth[chosen] = value - cost * (size - 1)
+        shares, mean = language_id.infer(model, buckets)
+        assert tuple(sorted(shares)) == max(worth, key=worth.get), (n, mixture)
+        assert mean * n - cost * (len(shares) - 1) == pytest.approx(max(worth.values()), abs=1e-3)

@@ -69,3 +69,30 @@ def test_hidden_spellings():
     features = toxicity.Features({}, SMALL)
     got = dict(zip(toxicity.FEATURES, features.of("1d10t m0r0n plain wrd5 " + "x" * 200_000 + "1"), strict=True))
     assert got["hidden"] == 2 / 5 and got["hidden_hits"] == 2 / 5
+
+
+def test_scores_follow_trees_and_isotonic_steps(spark, model):
+    """Each tree walked by hand, their weighted sum, and the line between isotonic steps."""
+    import math
+
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    texts = [t for _, t, _ in corpus(40)] + ["", "IDIOT you 1d10t!!"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(rows, model).collect()}
+    features = toxicity.Features(model.lexicon, SMALL)
+    steps, values = np.array(model.isotonic.boundaries), np.array(model.isotonic.predictions)
+    for i, text in enumerate(texts):
+        vector = Vectors.dense(features.of(text))
+        margin = sum(w * t.predict(vector) for w, t in zip(model.trees.treeWeights, model.trees.trees))
+        raw = 1 / (1 + math.exp(-2 * margin))
+        want = 0.999 * float(np.interp(raw, steps, values)) + 0.001 * raw
+        assert got[i] == pytest.approx(want, abs=1e-9)
+
+
+def test_isotonic_calibration_is_the_best_monotone_fit(model):
+    import numpy as np
+
+    values = np.array(model.isotonic.predictions)
+    assert (np.diff(values) >= 0).all() and 0 <= values.min() and values.max() <= 1

@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from separatrix.llm import url_filter
 
@@ -50,3 +51,27 @@ def test_regression_on_words_of_its_kind(spark, model):
     urls += [(f"http://m.{w}.example.com/en/9", 0) for w in ("librarybooks", "qwzxv", "museums")]
     got = url_filter.judge(spark.createDataFrame(urls, "url string, unwanted int"), model, rules=()).collect()
     assert all((r["score"] > 0.5) == (r["unwanted"] == 1) for r in got), got
+
+
+def test_scores_follow_the_formula(spark, model):
+    """Probability by hand from the sum of the weights of an address's distinct n-grams."""
+    import math
+
+    urls = spark.createDataFrame([(u,) for u in URLS if u and len(u) < 1000], "url string")
+    grams = {r["url"]: r["__grams"] for r in url_filter.with_grams(urls, "url", 4).collect()}
+    hashing, learner = model.stages
+    weights, intercept = learner.coefficients.toArray(), learner.intercept
+    for r in url_filter.judge(urls.withColumn("page", F.col("url")), model).collect():
+        margin = intercept + sum(weights[g] for g in {hashing.indexOf(g) for g in grams[r["page"]]})
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-margin)), abs=1e-9), r["page"]
+
+
+def test_words_that_were_held_out(spark):
+    """Words of both kinds that the model has not seen, in all their forms."""
+    labelled = url_filter.labelled_urls(spark)
+    held = [w for words in (url_filter.UNWANTED, url_filter.WANTED) for w in words[::6]]
+    unseen = F.rlike("url", F.lit("|".join(rf"\b{w}\.example" for w in held)))
+    model = url_filter.train(labelled.filter(~unseen))
+    judged = url_filter.judge(labelled.filter(unseen), model, rules=())
+    right = judged.agg(F.avg(((F.col("score") >= 0.5) == (F.col("unwanted") == 1)).cast("double"))).first()[0]
+    assert judged.count() == 16 * len(held) and right >= 0.5
