@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from separatrix.storage import materialize
+from separatrix.llm.scratch import Scratch
 
 # Shortest and longest chunk in characters.
 SHORTEST, LONGEST = 256, 4096
@@ -77,11 +77,13 @@ def recipes(
     cut = docs.select(F.col(key).alias("key"), chunks(whole, shortest, longest).alias("chunks"), F.sha2(whole, 256).alias("text_sha256"))
     ids = F.transform("chunks", lambda c: identifier(c))
     plain = F.transform(ids, lambda i: F.struct(i.alias("id"), F.lit(0).alias("rank")))
-    listed = materialize(cut.select("key", plain.alias("recipe"), "text_sha256"), "recipes")
+    scratch = Scratch(docs.sparkSession)
+    listed = scratch.keep(cut.select("key", plain.alias("recipe"), "text_sha256"), "recipes")
 
     parts = cut.select(F.explode("chunks").alias("chunk")).select(identifier(F.col("chunk")).alias("id"), "chunk")
-    shared = materialize(_ambiguous(parts), "ambiguous-chunks")
+    shared = scratch.keep(_ambiguous(parts), "ambiguous-chunks")
     if shared.isEmpty():
+        scratch.drop("ambiguous-chunks")
         return listed
     # Rank the contents of shared identifiers, and write anew the recipes that hold one.
     contents = parts.join(shared, "id", "left_semi").select("id", "chunk").distinct()
@@ -94,7 +96,9 @@ def recipes(
     anew = rows.groupBy("text_sha256").agg(F.array_sort(F.collect_set(step)).alias("steps"))
     anew = anew.select("text_sha256", F.transform("steps", lambda s: F.struct(s["id"], s["rank"])).alias("better"))
     joined = listed.join(anew, "text_sha256", "left")
-    return materialize(joined.select("key", F.coalesce("better", "recipe").alias("recipe"), "text_sha256"), "recipes")
+    final = scratch.keep(joined.select("key", F.coalesce("better", "recipe").alias("recipe"), "text_sha256"), "final-recipes")
+    scratch.drop("recipes", "ambiguous-chunks")
+    return final
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", **cutting) -> DataFrame:

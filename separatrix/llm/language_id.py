@@ -93,22 +93,20 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", settings: Set
 
     rows = docs.select(text, lang).filter(F.col(text).isNotNull() & F.col(lang).isNotNull())
     sums = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    languages, tables = [], []
     sums.persist()
     try:
-        known = sums.select("lang").distinct().count()
-        if known * size > MODEL_CELLS:
-            raise ValueError(f"{known} languages x {size} buckets exceed {MODEL_CELLS} cells; use fewer bits")
-        by_language = sums.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("counts")).collect()
+        known = sorted(r["lang"] for r in sums.select("lang").distinct().limit(MODEL_CELLS // size + 1).collect())
+        if len(known) * size > MODEL_CELLS:
+            raise ValueError(f"{len(known)} languages and more x {size} buckets exceed {MODEL_CELLS} cells; use fewer bits")
+        # Numbers only: the place of a language in their order, its buckets and counts.
+        place = F.array_position(F.lit(known), F.col("lang")) - 1 if known else F.lit(0)
+        found = sums.select(place.cast("int").alias("place"), "bucket", "n").toArrow()
     finally:
         sums.unpersist()
-    for row in sorted(by_language, key=lambda r: r["lang"]):
-        counts = np.full(size, settings.smoothing)
-        pairs = np.array(row["counts"], np.int64)
-        counts[pairs[:, 0]] += pairs[:, 1]
-        languages.append(row["lang"])
-        tables.append(counts / counts.sum())
-    return Model(tuple(languages), np.array(tables).reshape(-1, size), settings)
+    counts = np.full((len(known), size), settings.smoothing)
+    at, bucket, n = (found.column(c).to_numpy() for c in ("place", "bucket", "n"))
+    counts[at, bucket] += n
+    return Model(tuple(known), counts / counts.sum(axis=1, keepdims=True), settings)
 
 
 def _proportions(rows: np.ndarray, counts: np.ndarray, start: np.ndarray, settings: Settings) -> tuple[np.ndarray, float]:

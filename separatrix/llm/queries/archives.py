@@ -30,10 +30,12 @@ def op6_arc_to_warc(spark: SparkSession, folder: str) -> DataFrame:
     place = F.coalesce(F.concat(F.lit("X-Place: "), F.col("page_id").cast("string"), F.lit("\r\n")), F.lit(""))
     block = archives.http_block(F.coalesce("html", F.lit("")), place)
     rows = pages.select("url", F.lit("0.0.0.0").alias("ip"), F.lit(DATE).alias("date"), F.lit("text/html").alias("mime"), block.alias("block"))
-    scratch, old, new = Scratch(spark), fresh_path(spark, "arc"), fresh_path(spark, "warc")
+    scratch, new = Scratch(spark), fresh_path(spark, "warc")
+    old = scratch.own(fresh_path(spark, "arc"), "arc")
     archives.write_arc(rows, old)
     # Stored, as finding copies and writing both read the converted records.
     converted = scratch.keep(archives.convert(archives.sound(archives.read_arc(spark, old))), "converted")
+    scratch.drop("arc")
     archives.write_warc(archives.mark_revisits(converted), new)
     scratch.drop("converted")
 

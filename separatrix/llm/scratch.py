@@ -23,6 +23,11 @@ class Scratch:
         self.paths[name] = path
         return back
 
+    def own(self, path: str, name: str) -> str:
+        """A path that something else writes to, to be deleted by that name."""
+        self.paths[name] = path
+        return path
+
     def drop(self, *names: str) -> None:
         for name in names:
             if path := self.paths.pop(name, None):
