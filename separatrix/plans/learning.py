@@ -106,12 +106,14 @@ def perceptron_errors(spark, folder):
     return model.epochs(spark, "errors")
 
 
-SHARDS = 8
+# At least so many shards, and one for so many rows.
+SHARDS, ROWS_PER_SHARD = 8, 1_000_000
 
 
 def _mixing_sql(select: str) -> str:
     """Each shard's fold of an epoch starts from the last mixed weights; their mean goes on."""
-    shard = f"floor({fx.uniform_sql('flower_id', 0)} * {SHARDS})"
+    shards = f"greatest({SHARDS}, ceil(count(*) OVER () / {ROWS_PER_SHARD}::DOUBLE))"
+    shard = f"floor({fx.uniform_sql('flower_id', 0)} * {shards})"
     fold = _fold_sql(_PERCEPTRON_STEP, _PERCEPTRON_MISS)
     return with_sql(
         "scaled",
@@ -128,7 +130,8 @@ def _mixing_sql(select: str) -> str:
 
 def _mixed(spark, folder):
     flowers = scaled_flowers(spark, folder)
-    return perceptron.fit_mixing(flowers, ["x0", "x1"], "y", "flower_id", ETA, EPOCHS, SHARDS)
+    shards = max(SHARDS, -(-flowers.count() // ROWS_PER_SHARD))
+    return perceptron.fit_mixing(flowers, ["x0", "x1"], "y", "flower_id", ETA, EPOCHS, shards)
 
 
 @query("I1", _mixing_sql(_last_weights_sql()))
