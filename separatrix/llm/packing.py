@@ -203,7 +203,8 @@ def _packed(rows: DataFrame, parts: int, turn: int, capacity: int, key: str) ->
         return group
 
     more = ", ".join(f"__{c} long" for c in ("bin", "offset", "fill", "bins", "bound"))
-    return dealt.groupBy("__part").applyInArrow(work, f"{schema}, {more}")
+    # As many shuffle partitions as there are groups, so that tasks stay as large as a group at any size of the table.
+    return dealt.repartition(parts, "__part").groupBy("__part").applyInArrow(work, f"{schema}, {more}")
 
 
 def pack(cut_up: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, per_part: int = PIECES, exchanges: int = EXCHANGES) -> DataFrame:
