@@ -252,7 +252,8 @@ def _write(rows: DataFrame, size: Column, lines: Callable[[DataFrame, int], Data
     """Write ``lines`` of the rows to files of bounded size: large records go to files of fewer records."""
 
     def write(some: DataFrame, name: str, records: int) -> None:
-        writer = lines(some, records).write.option("lineSep", separator).option("compression", "gzip")
+        # The fastest level takes a third of the time and gives files an eighth larger.
+        writer = lines(some, records).write.option("lineSep", separator).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED")
         writer.option("maxRecordsPerFile", records).mode("errorifexists").text(path + name)
 
     write(rows.filter(size <= LARGE), "", min(records, FILE_BYTES // LARGE))
