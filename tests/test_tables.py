@@ -228,3 +228,11 @@ def test_points_of_different_lengths_are_an_error(spark):
     ragged = spark.createDataFrame([(1, 0, [0.0, 1.0]), (2, 0, [0.0, 1.0, 2.0, 3.0])], "id long, label long, x array<double>").coalesce(1)
     with pytest.raises(Exception, match="different lengths|inhomogeneous"):
         neighbours.neighbours(ragged, queries, 1).collect()
+
+
+def test_a_grid_that_one_outlier_stretches_is_an_error(spark, monkeypatch):
+    points = spark.createDataFrame([(0.0, 0.0), (1.0, 1e6)], "x double, y double")
+    assert grids.grid(points, "x", "y", step=1e4).count() == 101
+    monkeypatch.setattr(grids, "MOST_CELLS", 100)
+    with pytest.raises(ValueError, match="exceed 100"):
+        grids.grid(points, "x", "y", step=1e4)
