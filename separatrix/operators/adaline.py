@@ -30,6 +30,8 @@ from separatrix.storage import parallelism
 
 # Up to this many features the moments are one generated aggregate.
 AGGREGATE_LIMIT = 16
+# Beyond so many features, moments are larger than the gradients they save.
+MOMENT_LIMIT = 2000
 # Rows per triangular solve in a row-by-row sweep.
 BLOCK = 64
 # Neighbouring maps that one task composes.
@@ -49,7 +51,13 @@ def _labelled(df: DataFrame, columns: Sequence[str], label: str, *more) -> DataF
 
 
 def moments(df: DataFrame, columns: Sequence[str], label: str) -> np.ndarray:
-    """``[Z y]' [Z y]`` of the whole table in one job, as a ``(d+2, d+2)`` array."""
+    """``[Z y]' [Z y]`` of the whole table in one job, as a ``(d+2, d+2)`` array.
+
+    It goes through the driver, so more than ``MOMENT_LIMIT`` features are an error;
+    ``fit_batch_vectors`` takes any number.
+    """
+    if len(columns) > MOMENT_LIMIT:
+        raise ValueError(f"{len(columns)} features exceed {MOMENT_LIMIT}; put them into vectors")
     rows = _labelled(df, columns, label)
     size = len(columns) + 2
     if len(columns) <= AGGREGATE_LIMIT:
@@ -72,10 +80,9 @@ def moments(df: DataFrame, columns: Sequence[str], label: str) -> np.ndarray:
             [pa.array(np.arange(size * size)), pa.array(total.ravel())], names=["cell", "v"]
         )
 
-    cells = rows.mapInArrow(partial, "cell long, v double").groupBy("cell").agg(F.sum("v"))
+    cells = rows.mapInArrow(partial, "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v")).toArrow()
     out = np.zeros(size * size)
-    for cell, v in cells.collect():
-        out[cell] = v
+    out[cells.column("cell").to_numpy()] = cells.column("v").to_numpy()
     return out.reshape(size, size)
 
 

@@ -21,8 +21,9 @@ from separatrix.functions.vectors import affine
 from separatrix.operators.models import coefficient_frame
 
 
-# Words a dense weight vector may have; their list goes through the driver.
-MOST_WORDS = 5_000_000
+# Words a dense weight vector may have; their list goes through the driver. ``word_models``
+# fits more of them, as a table.
+MOST_WORDS = 500_000
 
 
 def binary_label(label: str) -> Column:
@@ -42,7 +43,7 @@ def word_logistic(train: DataFrame, tokens: str, label: str, words: Sequence[str
         each = train.select(F.explode(F.array_distinct(tokens)).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
         ranked = each.orderBy(F.desc("df"), "word").limit(MOST_WORDS + 1).collect()
         if len(ranked) > MOST_WORDS:
-            raise ValueError(f"more than {MOST_WORDS} words; give the words to use")
+            raise ValueError(f"more than {MOST_WORDS} words; give the words to use, or fit a table of weights")
         words = [r["word"] for r in ranked]
     counter = CountVectorizerModel.from_vocabulary(list(words), tokens, "features")
     learner = LogisticRegression(

@@ -126,3 +126,10 @@ def test_newton_without_two_classes(spark):
     one = newton.fit_classes(spark.createDataFrame([(1.0, 4.0)] * 3, "a double, y double"), ["a"], "y")
     assert one.classes == [4.0] and one.weights.tolist() == [[0.0, 0.0]]
     assert newton.fit_classes(spark.createDataFrame([], "a double, y double"), ["a"], "y").classes == []
+
+
+def test_moments_have_a_limit(spark, monkeypatch):
+    frame = spark.createDataFrame([(1.0, 2.0, 1)], "a double, b double, y int")
+    monkeypatch.setattr(adaline, "MOMENT_LIMIT", 1)
+    with pytest.raises(ValueError, match="exceed 1"):
+        adaline.fit_batch(frame, ["a", "b"], "y")
