@@ -8,12 +8,16 @@ categories and not as many as subsets. All nodes of a level are found together.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from separatrix.operators.trees import _gini, best_splits, bucketed
 
@@ -43,7 +47,10 @@ class MixedTree:
         return _category(feature).isin(list(where)) if isinstance(where, tuple) else column <= F.lit(where)
 
     def leaf(self, depth: int | None = None) -> Column:
-        """Number of the leaf a row falls into; the root is 1. ``depth`` cuts the tree off there."""
+        """Number of the leaf a row falls into; the root is 1. ``depth`` cuts the tree off there.
+
+        One expression for all nodes, so for small trees; ``with_leaf`` takes any.
+        """
         return self._below(1, depth)
 
     def _below(self, node: int, depth: int | None) -> Column:
@@ -52,6 +59,37 @@ class MixedTree:
         return F.when(self.goes_left(node), self._below(2 * node, depth)).otherwise(self._below(2 * node + 1, depth))
 
 
+def with_leaf(df: DataFrame, tree: MixedTree, depth: int | None = None, name: str = "leaf") -> DataFrame:
+    """``df`` with the number of the leaf of each row.
+
+    The tree goes to the tasks as it is: an expression with hundreds of branches would not
+    be compiled any more.
+    """
+    splits = sorted((n, s) for n, s in tree.splits.items() if depth is None or n < 2**depth)
+    columns = sorted({(f, isinstance(where, tuple)) for _, (f, where) in splits})
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leaf, held = np.ones(batch.num_rows, np.int32), {}
+            for f, categorical in columns:
+                column = batch.column(f)
+                held[f] = pc.fill_null(column.cast(pa.string()), NULL) if categorical else column.cast(pa.float64()).to_numpy(zero_copy_only=False)
+            # Parents have smaller numbers than their children.
+            for node, (f, where) in splits:
+                here = np.flatnonzero(leaf == node)
+                if not len(here):
+                    continue
+                if isinstance(where, tuple):
+                    left = pc.is_in(held[f].take(pa.array(here)), value_set=pa.array(where, pa.string())).to_numpy(zero_copy_only=False)
+                else:
+                    # Nulls are not a number here, and that is not below anything.
+                    left = held[f][here] <= where
+                leaf[here] = np.where(left, 2 * node, 2 * node + 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf)], [*batch.schema.names, name])
+
+    return df.mapInArrow(work, StructType([*df.schema.fields, StructField(name, IntegerType())]))
+
+
 def _category_splits(level: DataFrame, categorical: Sequence[str], label: str) -> DataFrame:
     """``(node, before, impurity, feature, place, left)``: the best subset of each node and column."""
     cells = [F.struct(F.lit(c).alias("feature"), _category(c).alias("category")) for c in categorical]
@@ -96,10 +134,10 @@ def grow(df: DataFrame, categorical: Sequence[str], numeric: Sequence[str], labe
             sizes = stored.agg(*(F.approx_count_distinct(c).alias(c) for c in categorical)).first()
             if max(sizes) > MOST_CATEGORIES:
                 raise ValueError(f"more than {MOST_CATEGORIES} categories: {sizes.asDict()}")
-        rows = (bucketed(stored, list(numeric)) if numeric else stored).withColumn("node", F.lit(1))
+        rows = bucketed(stored, list(numeric)) if numeric else stored
         order = {c: n for n, c in enumerate([*categorical, *numeric])}
         for depth in range(max_depth):
-            level = rows.withColumn("node", tree.leaf()).filter(F.col("node") >= 2**depth)
+            level = with_leaf(rows, tree, name="node").filter(F.col("node") >= 2**depth)
             kinds = []
             if categorical:
                 splits = _category_splits(level, categorical, label)
@@ -121,11 +159,11 @@ def grow(df: DataFrame, categorical: Sequence[str], numeric: Sequence[str], labe
 def leaf_shares(df: DataFrame, tree: MixedTree, label: str, depth: int | None = None) -> DataFrame:
     """``(leaf, probability_pos)``: the share of positive rows; a node that no row reaches has none."""
     positive = F.avg(F.when(F.col(label) == 1, 1.0).otherwise(0.0))
-    return df.groupBy(tree.leaf(depth).alias("leaf")).agg(positive.alias("probability_pos"))
+    return with_leaf(df, tree, depth).groupBy("leaf").agg(positive.alias("probability_pos"))
 
 
 def with_outputs(df: DataFrame, train: DataFrame, tree: MixedTree, label: str, depth: int | None = None) -> DataFrame:
     """Add ``leaf``, ``probability_pos`` and ``prediction_class`` (+1 above one half); the tree has few leaves."""
     shares = leaf_shares(train, tree, label, depth)
-    scored = df.withColumn("leaf", tree.leaf(depth)).join(shares, "leaf", "left")
+    scored = with_leaf(df, tree, depth).join(shares, "leaf", "left")
     return scored.withColumn("prediction_class", F.when(F.col("probability_pos") > 0.5, 1).otherwise(-1))

@@ -44,6 +44,8 @@ def test_each_split_is_the_best_of_all_subsets(spark, seed):
     tree = mixed_trees.grow(frame, ["a", "b"], ["x"], "y", 2)
     at = {r["i"]: r["leaf"] for r in frame.select("i", tree.leaf(1).alias("leaf")).collect()}
     below = {r["i"]: r["leaf"] for r in frame.select("i", tree.leaf().alias("leaf")).collect()}
+    for depth, want in ((1, at), (None, below)):
+        assert {r["i"]: r["leaf"] for r in mixed_trees.with_leaf(frame, tree, depth).collect()} == want
     for node, place in ((1, dict.fromkeys(at, 1)), (2, at), (3, at)):
         mine = [r for r in rows if place[r[3]] == node]
         children = at if node == 1 else below
