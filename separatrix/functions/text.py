@@ -53,7 +53,12 @@ def with_word_runs(df: DataFrame, text, lower: bool = True) -> DataFrame:
     distance between the ends of two runs. All of it happens inside a row: a
     text is counted whole and nothing is shuffled.
     """
-    ordered = df.withColumn("_sorted", F.sort_array(tokens(text, lower)))
+    return with_token_runs(df, tokens(text, lower))
+
+
+def with_token_runs(df: DataFrame, listed: Column) -> DataFrame:
+    """``with_word_runs`` of an array of tokens."""
+    ordered = df.withColumn("_sorted", F.sort_array(listed))
 
     def end_of_run(word: Column, at: Column) -> Column:
         last = F.coalesce(F.get("_sorted", at + 1) != word, F.lit(True))

@@ -19,9 +19,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from separatrix.functions.vectors import affine
 from separatrix.operators.models import coefficient_frame
+from separatrix.operators.wide_words import WideWordModel, fit_all_words
 
 
-# Words a dense weight vector may have; their list goes through the driver. ``word_models``
+# Words a dense weight vector may have; their list goes through the driver. ``wide_words``
 # fits more of them, as a table.
 MOST_WORDS = 500_000
 
@@ -31,6 +32,26 @@ def binary_label(label: str) -> Column:
     return F.when(F.col(label) == 1, 1.0).otherwise(0.0)
 
 
+def _vocabulary(train: DataFrame, tokens: str) -> list[str] | None:
+    """All words by document frequency, then word; none if they are more than ``MOST_WORDS``."""
+    each = train.select(F.explode(F.array_distinct(tokens)).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    each = each.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        if each.count() > MOST_WORDS:
+            return None
+        return [r["word"] for r in each.orderBy(F.desc("df"), "word").select("word").collect()]
+    finally:
+        each.unpersist()
+
+
+def all_word_logistic(train: DataFrame, tokens: str, label: str, penalty: float = 0.01, max_iter: int = 10) -> PipelineModel | WideWordModel:
+    """``word_logistic`` on all words, however many: beyond ``MOST_WORDS`` by ``wide_words``, with the same weights."""
+    words = _vocabulary(train, tokens)
+    if words is not None:
+        return word_logistic(train, tokens, label, words, penalty, max_iter)
+    return fit_all_words(train, tokens, binary_label(label), penalty, max_iter)
+
+
 def word_logistic(train: DataFrame, tokens: str, label: str, words: Sequence[str] | None = None,
                   penalty: float = 0.01, max_iter: int = 10) -> PipelineModel:
     """Logistic classifier on word counts: of all words, or of the given ones.
@@ -40,11 +61,9 @@ def word_logistic(train: DataFrame, tokens: str, label: str, words: Sequence[str
     """
     n = max(1, train.count())
     if words is None:
-        each = train.select(F.explode(F.array_distinct(tokens)).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-        ranked = each.orderBy(F.desc("df"), "word").limit(MOST_WORDS + 1).collect()
-        if len(ranked) > MOST_WORDS:
+        words = _vocabulary(train, tokens)
+        if words is None:
             raise ValueError(f"more than {MOST_WORDS} words; give the words to use, or fit a table of weights")
-        words = [r["word"] for r in ranked]
     counter = CountVectorizerModel.from_vocabulary(list(words), tokens, "features")
     learner = LogisticRegression(
         featuresCol="features", labelCol="_label", regParam=penalty / n, maxIter=max_iter
@@ -52,8 +71,10 @@ def word_logistic(train: DataFrame, tokens: str, label: str, words: Sequence[str
     return Pipeline(stages=[counter, learner]).fit(train.withColumn("_label", binary_label(label)))
 
 
-def word_coefficients(spark: SparkSession, model: PipelineModel) -> DataFrame:
+def word_coefficients(spark: SparkSession, model: PipelineModel | WideWordModel) -> DataFrame:
     """``(idx, name, value)`` of a word model, intercept first."""
+    if isinstance(model, WideWordModel):
+        return model.coefficients()
     counter, learner = model.stages
     return coefficient_frame(spark, counter.vocabulary, [learner.intercept, *learner.coefficients])
 
