@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from separatrix.functions.vectors import link, sign_strict
-from separatrix.operators import estimators, grids, logistic, metrics, mixed_trees, neighbours, ranking
+from separatrix.operators import estimators, grids, logistic, metrics, mixed_trees, neighbours, ranking, wide_words
 from separatrix.operators.models import LinearModel, weight_signs
 from separatrix.plans import fixtures as fx
 from separatrix.plans import learning as ln
@@ -220,7 +220,11 @@ def word_model_comparison(spark, folder):
     train = rows.filter("split = 'train'")
     parts = []
     for name, words in (("all words", None), ("given words", fx.review_words(spark, folder))):
-        model = estimators.word_logistic(train, "t", "sentiment", words)
-        scored = estimators.with_outputs(model, rows).withColumn("model", F.lit(name))
+        if words is None:
+            model = estimators.all_word_logistic(train, "t", "sentiment")
+        else:
+            model = estimators.word_logistic(train, "t", "sentiment", words)
+        wide = isinstance(model, wide_words.WideWordModel)
+        scored = (model.with_outputs(rows, "t") if wide else estimators.with_outputs(model, rows)).withColumn("model", F.lit(name))
         parts.append(metrics.accuracy(scored, "sentiment", "prediction_class", ["model", "split"]))
     return reduce(lambda a, b: a.unionByName(b), parts)

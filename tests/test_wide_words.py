@@ -44,3 +44,16 @@ def test_few_words_go_to_the_library_and_one_class_has_no_weights(spark, monkeyp
     model = estimators.all_word_logistic(df, "t", "y")
     assert sorted(map(tuple, model.coefficients().collect())) == [(0, "(intercept)", float("inf")), (1, "a", 0.0), (2, "b", 0.0)]
     assert {r["prediction_class"] for r in model.with_outputs(df, "t").collect()} == {1}
+
+
+def test_the_comparison_of_word_models_is_the_same_beyond_the_dense_limit(spark, monkeypatch):
+    from separatrix.plans import inspection
+
+    rows = reviews(spark).withColumnRenamed("y", "sentiment").withColumn("doc_id", F.monotonically_increasing_id())
+    rows = rows.withColumn("split", F.when(F.col("doc_id") % 4 == 0, "test").otherwise("train")).cache()
+    monkeypatch.setattr(inspection.ln, "_tagged_tokens", lambda *_: rows)
+    monkeypatch.setattr(inspection.fx, "review_words", lambda *_: ["w1", "w6"])
+    want = sorted(map(tuple, inspection.word_model_comparison(spark, "").collect()))
+    monkeypatch.setattr(estimators, "MOST_WORDS", 3)
+    found = inspection.word_model_comparison(spark, "")
+    assert sorted(map(tuple, found.collect())) == want and len(want) == 4
