@@ -29,7 +29,7 @@ MAX_PIVOTS = 2048
 # Rows measured against all pivots at once.
 SLICE = 256
 # Candidates that a group keeps before it drops all but the ``k`` best of each query.
-MOST_CANDIDATES = 1_000_000
+MOST_CANDIDATES = 250_000
 
 
 def _points(column) -> np.ndarray:
@@ -125,7 +125,7 @@ def _regions(pivots: np.ndarray, sizes: np.ndarray, most: int) -> np.ndarray:
             widest = np.ptp(pivots[cells], axis=0).argmax()
             cells = cells[pivots[cells, widest].argsort(kind="stable")]
             rows = sizes[cells].cumsum()
-            half = min(max(1, int(np.searchsorted(rows, rows[-1] / 2))), len(cells) - 1)
+            half = min(int(np.searchsorted(rows, rows[-1] / 2)) + 1, len(cells) - 1)
             todo += [cells[half:], cells[:half]]
         else:
             region[cells], n = n, n + 1

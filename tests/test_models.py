@@ -122,3 +122,32 @@ def test_kernel_machine_solves_xor(spark):
     assert metrics.accuracy(scored, "target", "prediction").first()["accuracy"] > 0.9
     line = estimators.linear_svm(points, ["x0", "x1"], "target", max_iter=20).transform(points)
     assert metrics.accuracy(line, "target", "prediction").first()["accuracy"] < 0.75
+
+
+def test_queries_go_to_regions_once_and_not_to_each_cell(spark):
+    pivots = np.arange(40.0)[:, None]
+    sizes = np.full(40, 10)
+    region = neighbours._regions(pivots, sizes, 100)
+    assert np.bincount(region, weights=sizes).max() <= 100 and len(set(region)) == 4
+    assert (np.diff(region) >= 0).all() or (np.diff(region) <= 0).all()
+    rows = [(1, [0.0], list(range(40))), (2, [5.0], [4, 5, 6])]
+    sent = neighbours._sent(spark.createDataFrame(rows, "qid long, x array<double>, cells array<int>"), region, sizes).collect()
+    # None of the cells stands for all of them.
+    assert sorted((r["qid"], r["region"]) for r in sent if not r["cells"]) == [(1, n) for n in range(4)]
+    assert [r["cells"] for r in sent if r["qid"] == 2] == [[4, 5, 6]]
+
+
+def test_memory_of_a_group_of_points_is_bounded():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng, n = np.random.default_rng(1), 3000
+    x = pa.array(list(rng.random((n, 2))), pa.list_(pa.float64()))
+    train = pa.table({"id": pa.array(range(n)), "label": pa.array([0] * n), "cell": pa.array([0] * n, pa.int32()), "x": x})
+    queries = pa.table({"qid": pa.array(range(n)), "x": x, "cells": pa.array([[]] * n, pa.list_(pa.int32()))})
+    tracemalloc.start()
+    found = neighbours._nearest(train, queries, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.num_rows == 2 * n and peak < 60_000_000
