@@ -66,11 +66,16 @@ def with_leaf(df: DataFrame, tree: MixedTree, depth: int | None = None, name: st
     be compiled any more.
     """
     splits = sorted((n, s) for n, s in tree.splits.items() if depth is None or n < 2**depth)
+    return _descended(df, splits, name)
+
+
+def _descended(df: DataFrame, splits: Sequence[tuple], name: str, begun: bool = False) -> DataFrame:
+    """``df`` with the node of each row below ``splits``, from the root or the node it has ``begun`` with."""
     columns = sorted({(f, isinstance(where, tuple)) for _, (f, where) in splits})
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leaf, held = np.ones(batch.num_rows, np.int32), {}
+            leaf, held = batch.column(name).to_numpy().copy() if begun else np.ones(batch.num_rows, np.int32), {}
             for f, categorical in columns:
                 column = batch.column(f)
                 held[f] = pc.fill_null(column.cast(pa.string()), NULL) if categorical else column.cast(pa.float64()).to_numpy(zero_copy_only=False)
@@ -85,9 +90,12 @@ def with_leaf(df: DataFrame, tree: MixedTree, depth: int | None = None, name: st
                     # Nulls are not a number here, and that is not below anything.
                     left = held[f][here] <= where
                 leaf[here] = np.where(left, 2 * node, 2 * node + 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf)], [*batch.schema.names, name])
+            same = batch.num_columns - begun
+            yield pa.RecordBatch.from_arrays([*batch.columns[:same], pa.array(leaf)], [*batch.schema.names[:same], name])
 
-    return df.mapInArrow(work, StructType([*df.schema.fields, StructField(name, IntegerType())]))
+    # A node begun with is the last column.
+    same = df.schema.fields[:-1] if begun else df.schema.fields
+    return df.mapInArrow(work, StructType([*same, StructField(name, IntegerType())]))
 
 
 def _category_splits(level: DataFrame, categorical: Sequence[str], label: str) -> DataFrame:
@@ -126,7 +134,7 @@ def grow(df: DataFrame, categorical: Sequence[str], numeric: Sequence[str], labe
     ones, then to the smaller threshold or subset. A column of more than ``MOST_CATEGORIES``
     categories is an error.
     """
-    tree = MixedTree({})
+    tree, levels = MixedTree({}), []
     doubles = [F.col(c).cast("double").alias(c) for c in numeric]
     stored = df.select(label, *(F.col(c).cast("string").alias(c) for c in categorical), *doubles).persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -137,7 +145,10 @@ def grow(df: DataFrame, categorical: Sequence[str], numeric: Sequence[str], labe
         rows = bucketed(stored, list(numeric)) if numeric else stored
         order = {c: n for n, c in enumerate([*categorical, *numeric])}
         for depth in range(max_depth):
-            level = with_leaf(rows, tree, name="node").filter(F.col("node") >= 2**depth)
+            # One level down from the rows of the last one: what did not split there is done.
+            last = [(n, s) for n, s in sorted(tree.splits.items()) if n >= 2 ** (depth - 1)]
+            level = _descended(rows, last, "node", depth > 0).filter(F.col("node") >= 2**depth).persist(StorageLevel.MEMORY_AND_DISK)
+            levels.append(level)
             kinds = []
             if categorical:
                 splits = _category_splits(level, categorical, label)
@@ -147,12 +158,16 @@ def grow(df: DataFrame, categorical: Sequence[str], numeric: Sequence[str], labe
                 kinds.append(splits.select("node", "before", "impurity", "feature", "threshold", F.lit(None).cast("array<string>").alias("left")))
             # One job for all nodes and columns of a level.
             found = reduce(DataFrame.union, kinds).filter("impurity < before").collect()
+            if len(levels) > 1:
+                levels.pop(0).unpersist()
+            rows = level
             if not found:
                 break
             for r in sorted(found, key=lambda r: (r["impurity"], order[r["feature"]]), reverse=True):
                 tree.splits[r["node"]] = (r["feature"], r["threshold"] if r["left"] is None else tuple(sorted(r["left"])))
     finally:
-        stored.unpersist()
+        for kept in [*levels, stored]:
+            kept.unpersist()
     return tree
 
 

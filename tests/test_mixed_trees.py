@@ -79,3 +79,13 @@ def test_whole_numbers_as_categories_and_limits(spark, monkeypatch):
     monkeypatch.setattr(mixed_trees, "MOST_CATEGORIES", 3)
     with pytest.raises(ValueError, match="categories"):
         mixed_trees.grow(frame, ["g"], [], "y", 1)
+
+
+def test_a_level_starts_from_the_last_one(spark, monkeypatch):
+    sent, real = [], mixed_trees._descended
+    monkeypatch.setattr(mixed_trees, "_descended", lambda df, splits, *more: sent.append([n for n, _ in splits]) or real(df, splits, *more))
+    frame = spark.createDataFrame(sample(160, 5), "a string, b string, x double, i int, y int")
+    tree = mixed_trees.grow(frame, ["a", "b"], ["x"], "y", 3)
+    assert sent == [[], [1], sorted(n for n in tree.splits if n in (2, 3))]
+    monkeypatch.undo()
+    assert {r["leaf"] for r in mixed_trees.with_leaf(frame, tree).collect()} == {r["l"] for r in frame.select(tree.leaf().alias("l")).collect()}
